@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_counts, warc
+from . import bpe, packing, quality, token_counts, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -31,6 +31,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_and_read(_table(spark, sf_dir, "pages"), least=1000)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,10 +44,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_quality_rules": op4_quality_rules,
     "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality.oracle_sql(),
     "op9_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html FROM pages
