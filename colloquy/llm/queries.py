@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, token_counts, warc
+from . import bpe, packing, pii, quality, token_counts, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -40,12 +40,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_quality_rules": op4_quality_rules,
     "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
