@@ -1,8 +1,49 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, redaction, packing."""
+"""The corpus pipeline: quality rules, near-duplicate removal, redaction, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read back as the docs
+of the next. All but the last return the columns of ``documents``. A null text fails the quality rules; rows without
+doc_id are judged on their text and never count as near-duplicates; an empty table goes through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from colloquy.llm import near_dup, packing, pii, quality
+from colloquy.llm.common import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and lie within the thresholds of their language and source."""
+    return quality.filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    return near_dup.remove_near_duplicates(docs, width=5, percent=85)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("personal data", personal_data), ("packing", pack_sequences)]
+
+#: Shingle sets, boosted trees and a tokenizer can't be put in SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
