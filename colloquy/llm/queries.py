@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, near_dup, packing, pii, quality, token_counts, warc
+from . import bpe, html_text, lm, near_dup, packing, pii, quality, token_counts, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -39,6 +39,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(_table(spark, sf_dir, "documents"), width=5, percent=85)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
