@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, lm, near_dup, packing, pii, quality, token_counts, warc
+from . import ann, bpe, html_text, lm, near_dup, packing, pii, quality, token_counts, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -43,6 +43,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(_table(spark, sf_dir, "documents"), width=5, percent=85)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
