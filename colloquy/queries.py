@@ -1,3 +1,700 @@
-"""The registry of the engine's own queries."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""The registry of the engine's own queries: each over whole tables, with its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import keyed, values
+from .functions import text as T
+from .operators import conversations as C
+from .operators import episodes, experiments, grading, mixture, numeric, tokens, world
+from .streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _list(items) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+def _sql_any(text: str, items) -> str:
+    return f"list_bool_or([contains({text}, p) FOR p IN {_list(items)}])"
+
+
+_TOXIC = _sql_any("lower(text)", values.TOXIC)
+_BEATS = rf"""array_to_string([CASE WHEN {" OR ".join(f"starts_with(x, '{f}')" for f in values.CARD_FIELDS)} THEN x
+    ELSE trim(regexp_replace(x, '\s*\*[^*]+\*\s*', ' ', 'g')) END FOR x IN string_split(text, chr(10))], chr(10))"""
+_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
+
+
+# Text
+
+
+@query(f"SELECT doc_id, {_TOXIC} OR contains(lower(text), ' idiot ') AS toxic FROM documents")
+def toxic_filter(spark, sf):
+    """F1. A further phrase that the tables have keeps the result from being all false."""
+    return _t(spark, sf, "documents").select("doc_id", (T.is_toxic(F.col("text")) | F.contains(F.lower("text"), F.lit(" idiot "))).alias("toxic"))
+
+
+@query(f"SELECT doc_id, {_BEATS} AS text FROM documents")
+def strip_beats(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.strip_beats(F.col("text")).alias("text"))
+
+
+@query(r"""SELECT conv_id, turn, coalesce(nullif(regexp_extract(s, 'You are ([A-Z][^.,]{1,40}?)[.,]', 1), ''), nullif(regexp_extract(s, 'Background: ([A-Z][^.,]{1,40}?) (?:is|was)', 1), ''), 'NPC') AS name
+    FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'You are ' || text WHEN 1 THEN 'Background: ' || text || ' is here' ELSE text END AS s FROM conversations)""")
+def persona_name(spark, sf):
+    s = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("You are "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("Background: "), "text", F.lit(" is here"))).otherwise(F.col("text"))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", T.persona_name(s).alias("name"))
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN strpos(text, '. ') - 1 > 30 AND strpos(text, '. ') - 1 < 260 THEN substr(text, 1, strpos(text, '. ')) END,
+    CASE WHEN strpos(text, '! ') - 1 > 30 AND strpos(text, '! ') - 1 < 260 THEN substr(text, 1, strpos(text, '! ')) END,
+    CASE WHEN strpos(text, '? ') - 1 > 30 AND strpos(text, '? ') - 1 < 260 THEN substr(text, 1, strpos(text, '? ')) END, substr(text, 1, 240)) AS sentence FROM documents""")
+def first_sentence(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, substr(text, 1, 400) AS cut FROM documents), m AS (
+    SELECT *, greatest(CASE WHEN contains(cut, '. ') THEN length(cut) - strpos(reverse(cut), ' .') - 1 ELSE -1 END, CASE WHEN contains(cut, '! ') THEN length(cut) - strpos(reverse(cut), ' !') - 1 ELSE -1 END,
+    CASE WHEN contains(cut, '? ') THEN length(cut) - strpos(reverse(cut), ' ?') - 1 ELSE -1 END) AS best FROM c)
+    SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN best > 160 THEN substr(cut, 1, best + 1) ELSE rtrim(cut, ' ') || '.' END AS text FROM m""")
+def truncate_sentence(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.truncate_at_sentence(F.col("text"), 400).alias("text"))
+
+
+@query(rf"""WITH n AS (SELECT p_partkey, trim(p_name) AS name FROM part)
+    SELECT p_partkey, upper(substr(name, 1, 1)) || substr(name, 2) AS name FROM n WHERE length(name) BETWEEN 3 AND 20 AND regexp_full_match(name, '[A-Za-z'' -]+') AND NOT {_sql_any("lower(name)", values.NAME_BLOCKLIST)}""")
+def clean_name(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", T.clean_name(F.col("p_name")).alias("name")).where("name IS NOT NULL")
+
+
+@query(rf"""SELECT p_partkey, CASE WHEN {_sql_any("replace(lower(t), '_', ' ')", [*values.LANGUAGE_GAMES, *(g.replace("-", " ") for g in values.LANGUAGE_GAMES)])} THEN 'language' ELSE 'move_log' END AS kind,
+    CASE WHEN {_sql_any("lower(t)", [*values.LANGUAGE_GAMES, *(g.replace("-", " ") for g in values.LANGUAGE_GAMES)])} THEN 'language' ELSE 'move_log' END AS kind_compat
+    FROM (SELECT p_partkey, {_list(["Open Spiel: word_association", "werewolf", "dark_hex", "Poker-Heads-Up night", "checkers"])}[1 + p_partkey % 5] AS t FROM part)""")
+def game_kind(spark, sf):
+    t = F.element_at(T.strings(["Open Spiel: word_association", "werewolf", "dark_hex", "Poker-Heads-Up night", "checkers"]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return _t(spark, sf, "part").select("p_partkey", T.game_kind(t).alias("kind"), T.game_kind(t, compat=True).alias("kind_compat"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, text, least(nullif(strpos(text, '. '), 0), nullif(strpos(text, ' the '), 0), nullif(strpos(text, chr(10)), 0)) AS at FROM conversations)
+    SELECT conv_id, turn, CASE WHEN at IS NULL THEN text ELSE substr(text, 1, at - 1) END AS text, at IS NOT NULL AS stopped FROM m""")
+def stop_marker_cut(spark, sf):
+    cut, stopped = T.stop_cut(F.col("text"), [". ", " the ", "\n"])
+    return _t(spark, sf, "conversations").select("conv_id", "turn", cut.alias("text"), stopped.alias("stopped"))
+
+
+_LINE = "'[' || {verb} || ': ' || p_name || CASE WHEN l_linenumber % 4 < 3 THEN ' ' || floor(l_extendedprice)::BIGINT ELSE '' END || ']'"
+_VERB = f"{_list(['DEAL', 'BUY', 'GOTO', 'WAIT', 'SING'])}[1 + l_orderkey % 5]"
+
+
+def _action_rows(spark, sf):
+    li, part = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), _t(spark, sf, "part").select("p_partkey", "p_name")
+    verb = F.element_at(T.strings(["DEAL", "BUY", "GOTO", "WAIT", "SING"]), (F.col("l_orderkey") % 5 + 1).cast("int"))
+    line = F.concat(F.lit("["), verb, F.lit(": "), "p_name", F.when(F.col("l_linenumber") % 4 < 3, F.concat(F.lit(" "), F.floor("l_extendedprice").cast("string"))).otherwise(""), F.lit("]"))
+    return li.join(part, li.l_partkey == part.p_partkey).select("l_orderkey", "l_linenumber", "p_name", "l_extendedprice", line.alias("line"))
+
+
+_ACTIONS = rf"""SELECT l_orderkey, l_linenumber, p_name, l_extendedprice, line, CASE WHEN verb IN ('GOTO', 'WAIT') THEN verb WHEN verb IN ('DEAL', 'BUY') AND price <> '' THEN verb END AS verb,
+    CASE WHEN verb IN ('GOTO', 'WAIT') THEN nullif(trim(rest), '') WHEN verb IN ('DEAL', 'BUY') AND price <> '' THEN trim(name) END AS arg, CASE WHEN verb IN ('DEAL', 'BUY') AND price <> '' THEN price::BIGINT END AS price
+    FROM (SELECT *, regexp_extract(line, '^\[(GOTO|TRAVEL|TALK|ATTACK|USE|WAIT|DEAL|BUY): ?(.*)\]$', 1) AS verb, regexp_extract(line, '^\[(GOTO|TRAVEL|TALK|ATTACK|USE|WAIT|DEAL|BUY): ?(.*)\]$', 2) AS rest,
+          regexp_extract(rest, '^(.*) ([0-9]+)$', 1) AS name, regexp_extract(rest, '^(.*) ([0-9]+)$', 2) AS price
+          FROM (SELECT l_orderkey, l_linenumber, p_name, l_extendedprice, {_LINE.format(verb=_VERB)} AS line FROM lineitem JOIN part ON l_partkey = p_partkey))"""
+
+
+@query(f"SELECT l_orderkey, l_linenumber, verb, arg, price FROM ({_ACTIONS})")
+def parse_action(spark, sf):
+    return _action_rows(spark, sf).withColumn("a", T.parse_action(F.col("line"))).select("l_orderkey", "l_linenumber", "a.verb", "a.arg", "a.price")
+
+
+_ORACLE_PRICE = "floor(l_extendedprice * (0.6 + (l_orderkey % 9) / 10.0))::BIGINT"
+
+
+@query(f"""WITH a AS ({_ACTIONS}), o AS (SELECT *, CASE WHEN l_orderkey % 7 > 0 THEN 'DEAL' END AS ov, {_ORACLE_PRICE} AS op FROM a), m AS (
+    SELECT CASE WHEN ov IS NULL THEN 'none' ELSE ov END AS kind, CASE WHEN ov IS NULL OR verb IS NULL THEN ov IS NULL AND verb IS NULL ELSE verb = ov AND arg = p_name AND abs(price - op) <= 0.3 * op END AS ok FROM o)
+    SELECT kind, count(*) AS total, count_if(ok) AS hits FROM m GROUP BY kind""")
+def oracle_match_by_kind(spark, sf):
+    op = F.floor(F.col("l_extendedprice") * (0.6 + F.col("l_orderkey") % 9 / 10.0)).cast("bigint")
+    oracle = F.when(F.col("l_orderkey") % 7 > 0, F.struct(F.lit("DEAL").alias("verb"), F.col("p_name").alias("arg"), op.alias("price")))
+    rows = _action_rows(spark, sf).withColumn("a", T.parse_action(F.col("line"))).withColumn("o", oracle)
+    return rows.select(F.coalesce("o.verb", F.lit("none")).alias("kind"), T.oracle_ok(F.col("o"), F.col("a")).alias("ok")).groupBy("kind").agg(F.count("*").alias("total"), F.count_if("ok").alias("hits"))
+
+
+@query(f"""SELECT verb, count(*) AS n, count_if(price IS NOT NULL AND arg NOT IN (SELECT p_name FROM part WHERE p_size <= 25)) AS invalid FROM ({_ACTIONS}) WHERE verb IS NOT NULL GROUP BY verb""")
+def invalid_action_dims(spark, sf):
+    known = _t(spark, sf, "part").where("p_size <= 25").select(F.col("p_name").alias("arg")).distinct().withColumn("known", F.lit(True))
+    rows = _action_rows(spark, sf).withColumn("a", T.parse_action(F.col("line"))).select("a.*").where("verb IS NOT NULL")
+    return rows.join(known, "arg", "left").groupBy("verb").agg(F.count("*").alias("n"), F.count_if(F.col("price").isNotNull() & F.col("known").isNull()).alias("invalid"))
+
+
+@query(r"""SELECT o_orderkey, [x::BIGINT FOR x IN regexp_extract_all(t, '([0-9]+)\s*gold', 1)] AS prices FROM (SELECT o_orderkey, o_orderpriority || ' for ' || floor(o_totalprice)::BIGINT || ' gold, or ' || (o_custkey % 50) || ' gold' AS t FROM orders)""")
+def quoted_prices(spark, sf):
+    t = F.concat("o_orderpriority", F.lit(" for "), F.floor("o_totalprice").cast("string"), F.lit(" gold, or "), (F.col("o_custkey") % 50).cast("string"), F.lit(" gold"))
+    return _t(spark, sf, "orders").select("o_orderkey", T.quoted_prices(t).alias("prices"))
+
+
+_CONTENT = lambda t: f"list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z]{{5,}}'), lambda x: NOT list_contains({_list(values.STOP_WORDS)}, x)))"
+
+
+@query(f"SELECT doc_id, list_sort({_CONTENT('text')}) AS words FROM documents")
+def content_words(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.array_sort(T.content_words(F.col("text"))).alias("words"))
+
+
+@query(f"""WITH b AS (SELECT list_distinct(flatten(list({_CONTENT('text')}))) AS w FROM benchmark) SELECT doc_id, len(list_intersect({_CONTENT('text')}, b.w))::BIGINT AS shared FROM documents, b""")
+def content_overlap(spark, sf):
+    """U6. The benchmark's words are a bounded list: one row a benchmark item."""
+    bench = _t(spark, sf, "benchmark").select(F.explode(T.content_words(F.col("text"))).alias("word")).distinct()
+    docs = _t(spark, sf, "documents").select("doc_id", T.content_words(F.col("text")).alias("w"))
+    hits = docs.select("doc_id", F.explode("w").alias("word")).join(bench, "word").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"))
+
+
+@query("SELECT p_partkey, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS type FROM part")
+def capitalise(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", T.capitalise(F.col("p_type")).alias("type"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
+def collapse_space(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.collapse(F.col("text")).alias("text"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, [lower(x) FOR x IN {_WORDS}] AS w FROM documents), g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS t(i)),
+    c AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, g) GROUP BY doc_id)
+    SELECT doc_id, len(w) > 5 AND coalesce(n, 0) > 2 AS repeats FROM w LEFT JOIN c USING (doc_id)""")
+def ngram_repeat(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.repeats_ngram(F.col("text")).alias("repeats"))
+
+
+@query()
+def chain_depth(spark, sf):
+    """G2. A fold with a state: held against plain Python in the tests."""
+    return C.questions(_t(spark, sf, "conversations")).select("conv_id", "turn", T.chain_depth(F.col("question"), F.col("text")).alias("depth"))
+
+
+@query(rf"""WITH q AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS card FROM conversations)
+    SELECT conv_id, turn, list_sort(list_distinct([w FOR w IN flatten([[regexp_replace(x, '^[",*#()'']+|[",*#()'']+$', '', 'g') FOR x IN regexp_split_to_array(s, '\s+') IF x <> ''] FOR s IN regexp_split_to_array(text, '[.!?\n]')])
+        IF regexp_full_match(w, '[A-Z][a-z]{{2,}}') AND NOT list_contains({_list(values.COMMON)}, w) AND NOT contains(card, w)])) AS names FROM q WHERE role = 'assistant' AND card IS NOT NULL""")
+def name_drift(spark, sf):
+    return C.questions(_t(spark, sf, "conversations")).select("conv_id", "turn", F.array_sort(T.drift_names(F.col("text"), F.col("question"))).alias("names"))
+
+
+@query(f"""SELECT doc_id, lower((SELECT w FROM (SELECT w, i FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i)) ORDER BY length(w) DESC, i LIMIT 1)) AS anchor
+    FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{{5,}}') AS ws FROM documents)""")
+def anchor_word(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.anchor_word(F.col("text")).alias("anchor"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_list(['a smith at his forge', 'sells potions and herbs', 'an innkeeper', 'a quiet trader', 'nobody at all'])}[1 + p_partkey % 5] AS t FROM part)
+    SELECT p_partkey, coalesce({", ".join(f"CASE WHEN list_has_any(regexp_extract_all(lower(t), '[a-z]+'), {_list(k)}) THEN '{n}' END" for n, k in values.TRADES)},
+    {_list([n for n, _ in values.TRADES])}[1 + {keyed.sql_choice('p_partkey', 17, 5)}]) AS trade FROM p""")
+def trade_of(spark, sf):
+    t = F.element_at(T.strings(["a smith at his forge", "sells potions and herbs", "an innkeeper", "a quiet trader", "nobody at all"]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return _t(spark, sf, "part").select("p_partkey", T.trade_of(t, F.col("p_partkey")).alias("trade"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents)
+    SELECT doc_id, array_to_string(w[i + 1 : i + 350], ' ') AS chunk FROM w, unnest(range(350, len(w) - 350, 350)) AS t(i) WHERE len(w) >= 701""")
+def chunk_words_350(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.explode(T.word_chunks(F.col("text"))).alias("chunk"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, source, text, {_WORDS} AS w FROM documents)
+    SELECT doc_id, source || chr(10) || chr(10) || text AS chunk FROM w WHERE len(w) BETWEEN 60 AND 350 UNION ALL
+    SELECT doc_id, CASE WHEN i = 0 THEN source || chr(10) || chr(10) ELSE '' END || array_to_string(w[i + 1 : i + 350], ' ') FROM w, unnest(range(0, len(w), 350)) AS t(i) WHERE len(w) > 350 AND len(w) - i >= 60""")
+def chunk_article_60(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.explode(T.article_chunks(F.col("source"), F.col("text"))).alias("chunk"))
+
+
+# Conversations
+
+_TURNS = "SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn) AS turns FROM conversations GROUP BY conv_id"
+_SYSTEM = "list_filter(turns, lambda t: t.role = 'system')"
+_REST = "list_filter(turns, lambda t: t.role <> 'system' AND NOT (t.role = 'user' AND contains(lower(t.text), 'roleplay mode')))"
+
+
+@query(rf"""WITH c AS ({_TURNS}), p AS (SELECT conv_id, {_SYSTEM}[-1].text AS s, {_REST} AS r FROM c), n AS (
+    SELECT *, coalesce(nullif(regexp_extract(s, 'You are ([A-Z][^.,]{{1,40}}?)[.,]', 1), ''), nullif(regexp_extract(s, 'Background: ([A-Z][^.,]{{1,40}}?) (?:is|was)', 1), ''), 'NPC') AS name FROM p)
+    SELECT conv_id, CASE WHEN coalesce(s, '') <> '' AND len(r) > 0 THEN name || '''s Description: ' || s || chr(10) || '<START>' || chr(10) || array_to_string([CASE WHEN t.role = 'assistant' THEN name ELSE 'Player' END || ': ' || trim(t.text) FOR t IN r], chr(10)) END AS card FROM n""")
+def card_render(spark, sf):
+    return C.gather(_t(spark, sf, "conversations")).select("conv_id", C.render_card(F.col("turns")).alias("card"))
+
+
+@query(rf"""WITH c AS ({_TURNS}), p AS (SELECT conv_id, {_SYSTEM}[-1].text AS s, {_REST} AS r FROM c)
+    SELECT conv_id, CASE WHEN s IS NULL THEN '' ELSE '### System:' || chr(10) || trim(s) || chr(10) END || array_to_string([CASE WHEN t.role = 'assistant' THEN '### NPC:' ELSE '### Player:' END || chr(10) || trim(t.text) FOR t IN r], chr(10)) || chr(10) AS card FROM p""")
+def legacy_render(spark, sf):
+    return C.gather(_t(spark, sf, "conversations")).select("conv_id", C.render_roles(F.col("turns")).alias("card"))
+
+
+@query(f"WITH c AS ({_TURNS}) SELECT conv_id, {_SYSTEM}[-1].text AS system, len({_REST})::BIGINT AS n_turns FROM c")
+def system_turn_extract(spark, sf):
+    system, rest = C.system_and_turns(F.col("turns"))
+    return C.gather(_t(spark, sf, "conversations")).select("conv_id", system.alias("system"), F.size(rest).cast("bigint").alias("n_turns"))
+
+
+@query(f"WITH c AS ({_TURNS}) SELECT conv_id, array_to_string([t.role || ': ' || t.text FOR t IN turns], chr(10)) || chr(10) || 'assistant:' AS prompt FROM c")
+def prompt_flatten(spark, sf):
+    return C.gather(_t(spark, sf, "conversations")).select("conv_id", C.flatten(F.col("turns")).alias("prompt"))
+
+
+@query("SELECT conv_id, turn, coalesce(array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), chr(10)), '') AS lead_in FROM conversations")
+def leadin_window3(spark, sf):
+    return C.lead_in(_t(spark, sf, "conversations")).select("conv_id", "turn", "lead_in")
+
+
+@query("""SELECT conv_id, turn, coalesce(array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), chr(10)), '') AS history,
+    lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations""")
+def prefix_history(spark, sf):
+    return C.history(_t(spark, sf, "conversations")).select("conv_id", "turn", "history", "seen")
+
+
+@query("SELECT role, count(*) AS n, sum(length(text))::BIGINT AS n_chars, count_if(length(text) > 400) AS n_long FROM conversations GROUP BY role")
+def turn_stats(spark, sf):
+    return _t(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.count_if(F.length("text") > 400).alias("n_long"))
+
+
+@query(f"WITH w AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations) SELECT conv_id, turn, w[greatest(1, len(w) - 19) :] AS words FROM w")
+def left_truncate(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", C.left_truncate(T.words(F.col("text")), 20).alias("words"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations), c AS (SELECT conv_id, first(w ORDER BY turn) AS f, flatten(list(w ORDER BY turn) FILTER (turn > t0)) AS r FROM w JOIN (SELECT conv_id, min(turn) AS t0 FROM conversations GROUP BY conv_id) USING (conv_id) GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN len(f) >= 60 THEN f[greatest(1, len(f) - 59) :] ELSE list_concat(f, coalesce(r, [])[greatest(1, len(coalesce(r, [])) - (60 - len(f)) + 1) :]) END AS words FROM c""")
+def instr_preserving_truncate(spark, sf):
+    w = F.transform("turns", lambda t: T.words(t["text"]))
+    rows = C.gather(_t(spark, sf, "conversations")).withColumn("w", w)
+    return rows.select("conv_id", C.keep_instruction(F.col("w")[0], F.flatten(F.slice("w", F.lit(2), F.size("w"))), 60).alias("words"))
+
+
+# Mixture
+
+
+def _mixture(spark, sf):
+    docs = mixture.cap(mixture.clean(_t(spark, sf, "documents").select("doc_id", "source", "text")), "source", "doc_id", 30)
+    turns = mixture.clean(_t(spark, sf, "conversations").where("role <> 'system'").select("text"), strip=False)
+    return docs.select("source", "text").union(turns.select(F.lit("conversations"), "text")).union(_t(spark, sf, "benchmark").select(F.lit("benchmark"), "text"))
+
+
+_MIX = f"""SELECT source, {_BEATS} AS text FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE NOT {_TOXIC}) WHERE n <= 30
+    UNION ALL SELECT 'conversations', text FROM conversations WHERE role <> 'system' AND NOT {_TOXIC} UNION ALL SELECT 'benchmark', text FROM benchmark"""
+
+
+@query(f"SELECT coalesce(source, '(all)') AS source, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM ({_MIX}) GROUP BY ROLLUP (source)")
+def mixture_summary(spark, sf):
+    """The flagship: scan, filter, clean, cap, union, totals."""
+    return mixture.totals(_mixture(spark, sf))
+
+
+@query(f"SELECT source, text FROM ({_MIX}) WHERE source IN ('conversations', 'benchmark')")
+def isolation_mixture(spark, sf):
+    return _mixture(spark, sf).where(F.col("source").isin("conversations", "benchmark"))
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE NOT {_TOXIC} QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
+def cap_after_filter(spark, sf):
+    return mixture.cap(mixture.clean(_t(spark, sf, "documents"), strip=False), "source", "doc_id", 20).select("doc_id", "source")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 200")
+def cap_ordered_global(spark, sf):
+    return mixture.cap(_t(spark, sf, "documents"), None, ["lang", "doc_id"], 200).select("doc_id", "lang")
+
+
+@query(f"SELECT doc_id, CASE WHEN {keyed.sql_uniform('doc_id', 7)} < 0.04 THEN 'holdout' ELSE 'train' END AS split FROM documents")
+def holdout_split(spark, sf):
+    return mixture.holdout(_t(spark, sf, "documents"), F.col("doc_id"), 7, 0.04).select("doc_id", "split")
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {keyed.sql_uniform('conv_id', 53)} < 0.1 THEN 'holdout' ELSE 'train' END AS split FROM conversations")
+def holdout_by_group(spark, sf):
+    return mixture.holdout(_t(spark, sf, "conversations"), F.col("conv_id"), 53, 0.1).select("conv_id", "turn", "split")
+
+
+@query(f"""WITH k AS (SELECT doc_id, substr(text, 1, 100) AS text, CASE WHEN {keyed.sql_uniform('doc_id', 23)} < 0.03 THEN 'holdout' ELSE 'train' END AS split FROM documents WHERE length(text) > 200)
+    SELECT doc_id, text, split FROM k QUALIFY row_number() OVER (PARTITION BY split ORDER BY {keyed.sql_digest('doc_id', '23-order')}) <= CASE WHEN split = 'train' THEN 300 ELSE 10 END""")
+def run_conversion(spark, sf):
+    df = _t(spark, sf, "documents").select("doc_id", "text")
+    return mixture.convert(df, F.when(F.length("text") > 200, F.substring("text", 1, 100)), F.col("doc_id"), 23, 0.03, 300, 10).select("doc_id", "text", "split")
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {keyed.sql_digest('doc_id', 41)} LIMIT 100")
+def reservoir_n(spark, sf):
+    return mixture.reservoir(_t(spark, sf, "documents"), "doc_id", 41, 100).select("doc_id")
+
+
+@query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {keyed.sql_digest('doc_id', 3)}) <= 5")
+def sample_k_per_group(spark, sf):
+    return mixture.sample_by(_t(spark, sf, "documents"), "source", "doc_id", 3, 5).select("doc_id", "source")
+
+
+@query(f"SELECT doc_id, unnest(range(1, 2 + ({keyed.sql_uniform('doc_id', 5)} < 0.5)::INT))::BIGINT AS copy FROM documents")
+def probabilistic_copies(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(1) + (keyed.uniform(F.col("doc_id"), 5) < 0.5).cast("int"))).cast("bigint").alias("copy"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, count(*) - count(DISTINCT text) AS n_dropped FROM documents")
+def exact_dup_report(spark, sf):
+    """Distinct by digest, so that texts don't go through the shuffle."""
+    by = _t(spark, sf, "documents").select(F.sha2("text", 256).alias("d")).groupBy("d").count()
+    return by.agg(F.sum("count").alias("n"), F.count("d").alias("n_distinct"), (F.sum("count") - F.count("d")).alias("n_dropped"))
+
+
+@query("SELECT min(p_partkey) AS p_partkey, p_name FROM part GROUP BY p_name")
+def dedupe_keep_first(spark, sf):
+    return mixture.first_of(_t(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_type IN (SELECT p_type FROM part GROUP BY p_type ORDER BY p_type LIMIT 10)")
+def title_allowlist(spark, sf):
+    part = _t(spark, sf, "part")
+    allowed = part.select("p_type").distinct().orderBy("p_type").limit(10)
+    return part.join(F.broadcast(allowed), "p_type", "left_semi").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT (contains(lower(p_name), 'blue') OR contains(lower(p_name), 'red'))")
+def name_blocklist(spark, sf):
+    return _t(spark, sf, "part").where(~F.exists(T.strings(["blue", "red"]), lambda p: F.contains(F.lower("p_name"), p))).select("p_partkey", "p_name")
+
+
+@query(r"""SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 120) ORDER BY doc_id) > 1 THEN -0.5 ELSE 0.0 END::DOUBLE AS penalty FROM documents""")
+def prefix_key_dedupe_penalty(spark, sf):
+    return grading.repeat_penalty(_t(spark, sf, "documents"), "text", "doc_id").select("doc_id", "penalty")
+
+
+@query("SELECT lang, count(*) AS n, count_if(contains(text, '*')) AS n_beats, count_if(contains(text, '[')) AS n_actions, count_if(contains(text, chr(10))) AS n_lines FROM documents GROUP BY lang")
+def tag_counts(spark, sf):
+    has = lambda x: F.count_if(F.contains("text", F.lit(x)))
+    return _t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), has("*").alias("n_beats"), has("[").alias("n_actions"), has("\n").alias("n_lines"))
+
+
+# Lexicon
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY word HAVING count(*) >= 20")
+def lexicon_min20(spark, sf):
+    both = _t(spark, sf, "documents").select("text").union(_t(spark, sf, "conversations").select("text"))
+    return both.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20")
+
+
+@query("""WITH lex AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents) GROUP BY word HAVING count(*) >= 20),
+    w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM conversations)
+    SELECT c.conv_id, c.turn, coalesce(round(count_if(w.word NOT IN (SELECT word FROM lex)) / nullif(count(w.word), 0), 6), 0.0) AS rate FROM conversations c LEFT JOIN w USING (conv_id, turn) GROUP BY c.conv_id, c.turn""")
+def nonword_rate(spark, sf):
+    each = lambda t, *keys: t.select(*keys, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("word"))
+    lex = each(_t(spark, sf, "documents")).groupBy("word").count().where("count >= 20 AND word IS NOT NULL").select("word", F.lit(True).alias("known"))
+    w = each(_t(spark, sf, "conversations"), "conv_id", "turn").join(lex, "word", "left")
+    return w.groupBy("conv_id", "turn").agg(F.coalesce(F.round(F.count_if(F.col("word").isNotNull() & F.col("known").isNull()) / F.nullif(F.count("word"), F.lit(0)), 6), F.lit(0.0)).alias("rate"))
+
+
+# Grading
+
+_QUESTION = "SELECT conv_id, turn, text AS a, q FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations) WHERE role = 'assistant' AND q IS NOT NULL"
+_GRADED = rf"""SELECT conv_id, turn, a, q, list_filter([
+    CASE WHEN starts_with(ltrim(a, ' '), 'Player:') OR starts_with(ltrim(a, ' '), '###') THEN 'prefix_leak' END,
+    CASE WHEN regexp_extract(a, '\b(?:I am|call me|I''m) ([A-Z][a-z]+)', 1) <> '' AND NOT contains(q, regexp_extract(a, '\b(?:I am|call me|I''m) ([A-Z][a-z]+)', 1)) THEN 'persona_swap' END,
+    CASE WHEN regexp_extract(a, '\b([A-Z][a-z]+) is the name', 1) <> '' AND NOT contains(q, regexp_extract(a, '\b([A-Z][a-z]+) is the name', 1)) THEN 'persona_swap' END,
+    CASE WHEN contains(a, 'Description:') OR contains(a, 'Personality:') THEN 'card_continuation' END,
+    CASE WHEN {_TOXIC.replace('lower(text)', 'lower(a)')} THEN 'template_echo' END,
+    CASE WHEN contains(a, '*') THEN 'action_text' END,
+    CASE WHEN NOT contains(a, '*') AND NOT contains(lower(a), lower(string_split(q, ' ')[1])) THEN 'identity_missed' END,
+    CASE WHEN NOT {_sql_any("lower(a)", values.INTENTS["identity"])} THEN 'intent_missed' END,
+    CASE WHEN contains(a, '<START>') OR contains(a, '{{{{') THEN 'marker_leak' END,
+    CASE WHEN length(a) < 16 THEN 'too_short' END,
+    CASE WHEN rep THEN 'repetition' END], lambda x: x IS NOT NULL) AS flaws
+    FROM (SELECT z.*, len(w) > 8 AND coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM unnest(range(1, len(z.w) - 1)) AS t(i) GROUP BY z.w[i] || ' ' || z.w[i + 1] || ' ' || z.w[i + 2])), 0) > 2 AS rep FROM (
+        SELECT *, [lower(x) FOR x IN regexp_split_to_array(a, '\s+') IF x <> ''] AS w FROM ({_QUESTION})) z)""".replace("{{{{", "{{")
+
+
+def _graded(spark, sf):
+    return C.questions(_t(spark, sf, "conversations")).withColumn("flaws", grading.flaws(F.col("text"), F.col("question"), F.col("question"), "identity"))
+
+
+@query(f"SELECT conv_id, turn, flaws FROM ({_GRADED})")
+def flaw_grader(spark, sf):
+    return _graded(spark, sf).select("conv_id", "turn", "flaws")
+
+
+@query(f"SELECT flaw, count(*) AS n_flaws, round(count(*) / (SELECT count(*) FROM ({_QUESTION})), 6) AS rate FROM (SELECT unnest(flaws) AS flaw FROM ({_GRADED})) GROUP BY flaw")
+def flaw_histogram(spark, sf):
+    return grading.flaw_histogram(_graded(spark, sf))
+
+
+@query(f"SELECT count(*) AS n, count_if(len(flaws) = 0) AS n_pass, round(count_if(len(flaws) = 0) / greatest(count(*), 1), 6) AS pass_rate FROM ({_GRADED})")
+def pass_rate(spark, sf):
+    return grading.pass_rate(_graded(spark, sf))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN len(flaws) = 0 THEN 'pass' ELSE 'fail' END AS outcome FROM ({_GRADED})")
+def pass_fail_split(spark, sf):
+    return _graded(spark, sf).select("conv_id", "turn", F.when(F.size("flaws") == 0, "pass").otherwise("fail").alias("outcome"))
+
+
+@query(rf"""WITH g AS ({_GRADED}) SELECT conv_id, turn, CASE WHEN list_contains(flaws, 'persona_swap') AND regexp_extract(a, '\b(?:I am|call me|I''m) ([A-Z][a-z]+)', 1) <> '' AND NOT contains(q, regexp_extract(a, '\b(?:I am|call me|I''m) ([A-Z][a-z]+)', 1)) THEN -1.0
+    WHEN starts_with(ltrim(a, ' '), 'Player:') OR contains(a, 'Description:') THEN -0.5 WHEN list_contains(flaws, 'template_echo') THEN -0.5
+    ELSE 1.0 + CASE WHEN contains(a, '*') THEN -0.5 ELSE 0 END + CASE WHEN NOT list_contains(flaws, 'intent_missed') THEN 1.0 ELSE -0.5 END + CASE WHEN list_has_any({_CONTENT('a')}, {_CONTENT('q')}) THEN 1.0 ELSE 0 END
+    + CASE WHEN length(a) >= 24 THEN 0.5 ELSE 0 END + CASE WHEN rep3 THEN -1.0 ELSE 0 END END::DOUBLE AS reward FROM (SELECT g.*, len(w) > 5 AND coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM unnest(range(1, len(h.w) - 1)) AS t(i) GROUP BY h.w[i] || ' ' || h.w[i + 1] || ' ' || h.w[i + 2])), 0) > 2 AS rep3
+    FROM (SELECT *, [lower(x) FOR x IN regexp_split_to_array(a, '\s+') IF x <> ''] AS w FROM g) h, LATERAL (SELECT h.conv_id, h.turn, h.a, h.q, h.flaws) g)""")
+def reward_score(spark, sf):
+    return C.questions(_t(spark, sf, "conversations")).select("conv_id", "turn", grading.reward(F.col("text"), F.col("question"), F.col("question"), "identity").alias("reward"))
+
+
+@query("""WITH g AS (SELECT event_id, user_id, value, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s, max(abs(value - m)) OVER (PARTITION BY user_id) AS far FROM (SELECT *, avg(value) OVER (PARTITION BY user_id) AS m FROM events) WINDOW w AS (PARTITION BY user_id))
+    SELECT event_id, round((value - m) / (s + 1e-4), 4) AS advantage FROM (SELECT event_id, user_id, value, avg(value) OVER (PARTITION BY user_id) AS m, stddev_samp(value) OVER (PARTITION BY user_id) AS s FROM events) WHERE user_id IN (SELECT user_id FROM g WHERE far >= 1e-6)""")
+def group_advantage(spark, sf):
+    return grading.advantage(_t(spark, sf, "events").where("value IS NOT NULL"), "user_id", "value").select("event_id", F.round("advantage", 4).alias("advantage"))
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS attempts, count_if(event_type = 'purchase') AS passes FROM events GROUP BY user_id), z AS (SELECT *, CASE WHEN attempts < 2 THEN 'fresh' WHEN passes / attempts BETWEEN 0.15 AND 0.85 THEN 'in_zone' END AS zone FROM u)
+    SELECT user_id, attempts, passes, coalesce(zone, 'all') AS zone FROM z WHERE zone IS NOT NULL OR (SELECT count(zone) FROM z) = 0""")
+def learning_zone(spark, sf):
+    users = _t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if(F.col("event_type") == "purchase").alias("passes"))
+    return grading.learning_zone(users)
+
+
+# Episodes
+
+
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE coalesce(b, 0) = 0")
+def stop_at_first_done(spark, sf):
+    return episodes.until_done(_t(spark, sf, "events"), "user_id", "event_id", F.col("event_type") == "error").select("event_id", "user_id")
+
+
+@query("""SELECT event_id, event_type, rank FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id) AS rank, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE rank <= greatest(1, round_even(n * 0.25, 0))""")
+def top_frac_per_task(spark, sf):
+    return episodes.top_fraction(_t(spark, sf, "events"), "event_type", "value", "event_id").select("event_id", "event_type", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT event_id, user_id, list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS recent FROM events")
+def event_log_last6(spark, sf):
+    return episodes.recent(_t(spark, sf, "events"), "user_id", "event_id", "event_type").select("event_id", "user_id", "recent")
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS latest FROM events WHERE event_type = 'click' GROUP BY user_id")
+def latest_matching_event(spark, sf):
+    return episodes.latest_matching(_t(spark, sf, "events"), "user_id", "event_id", F.col("value"), F.col("event_type") == "click")
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def json_props_extract(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT e.event_type, count(*) AS n, count_if(e.value > 0) AS kept FROM events e GROUP BY e.event_type UNION ALL SELECT 'never', 0, 0")
+def conversion_stats(spark, sf):
+    names = _t(spark, sf, "events").select("event_type").distinct().union(spark.sql("SELECT 'never'"))
+    got = _t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 0).alias("kept"))
+    return names.join(got, "event_type", "left").na.fill(0)
+
+
+# Experiments
+
+
+@query("SELECT event_type AS arm, count(*) AS n, avg(value / 100) AS mean, CASE WHEN count(*) > 1 THEN (max(value / 100) - min(value / 100)) / 2 END AS half_spread, exp(avg(value / 100)) AS ppl FROM events GROUP BY event_type")
+def arm_summary(spark, sf):
+    return experiments.by_arm(_t(spark, sf, "events").withColumn("loss", F.col("value") / 100), "event_type", "loss")
+
+
+@query("""WITH m AS (SELECT event_type AS arm, avg(value / 100) AS mean FROM events GROUP BY event_type) SELECT x.arm AS a, y.arm AS b, round(x.mean - y.mean, 6) AS delta,
+    CASE WHEN x.mean - y.mean > 0.01 THEN 'YES' WHEN x.mean - y.mean < -0.01 THEN 'no' ELSE 'tie' END AS verdict FROM m x, m y WHERE x.arm < y.arm""")
+def arm_deltas(spark, sf):
+    arms = experiments.by_arm(_t(spark, sf, "events").withColumn("loss", F.col("value") / 100), "event_type", "loss")
+    names = arms.select(F.col("arm").alias("a")).join(F.broadcast(arms.select(F.col("arm").alias("b"))), F.col("a") < F.col("b"))
+    return experiments.deltas(arms, names)
+
+
+@query("""WITH m AS (SELECT n_regionkey AS r, avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS base, avg(c_acctbal) FILTER (c_mktsegment = 'MACHINERY') AS ours, avg(c_acctbal) FILTER (c_mktsegment = 'AUTOMOBILE') AS big FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey)
+    SELECT r AS region, round(CASE WHEN base - big > 0 THEN 100 * (base - ours) / (base - big) END, 4) AS recovered FROM m""")
+def gap_recovered(spark, sf):
+    seg = lambda s: F.avg(F.when(F.col("c_mktsegment") == s, F.col("c_acctbal")))
+    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    m = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy(F.col("n_regionkey").alias("region")).agg(seg("BUILDING").alias("base"), seg("MACHINERY").alias("ours"), seg("AUTOMOBILE").alias("big"))
+    return m.select("region", F.round(experiments.gap_recovered(F.col("base"), F.col("ours"), F.col("big")), 4).alias("recovered"))
+
+
+@query("""SELECT tag, score, second, row_number() OVER (ORDER BY score DESC, coalesce(second, 0) DESC, tag) AS rank FROM (SELECT user_id::VARCHAR AS tag, count_if(event_type = 'purchase')::DOUBLE AS score, max(value) AS second FROM events GROUP BY user_id)""")
+def rank_and_promote(spark, sf):
+    users = _t(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("tag")).agg(F.count_if(F.col("event_type") == "purchase").cast("double").alias("score"), F.max("value").alias("second"))
+    return experiments.rank_and_promote(users).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("""SELECT event_id, best, coalesce(value < best, true) AS improved FROM (SELECT event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)""")
+def best_so_far(spark, sf):
+    return experiments.best_so_far(_t(spark, sf, "events"), "user_id", "event_id", "value").select("event_id", "best", "improved")
+
+
+@query("SELECT event_type AS file, sum(user_id)::BIGINT AS n_tokens, round(exp(sum(value) / sum(user_id)), 6) AS ppl FROM events GROUP BY event_type")
+def weighted_nll_ppl(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("event_type").alias("file"), (-F.col("value")).alias("lp"), F.col("user_id").alias("n"))
+    return experiments.weighted_ppl(e, "file", "lp", "n").withColumn("ppl", F.round("ppl", 6))
+
+
+@query("""WITH e AS (SELECT user_id AS p, event_type AS b, max(event_id % 7) AS t FROM events GROUP BY user_id, event_type) SELECT x.b AS a, y.b AS b, round(avg((x.t <> y.t)::INT), 6) AS divergence, count(*) AS n FROM e x JOIN e y USING (p) WHERE x.b < y.b GROUP BY x.b, y.b""")
+def pairwise_divergence(spark, sf):
+    e = _t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max(F.col("event_id") % 7).alias("t"))
+    return experiments.pairwise_divergence(e, "event_type", "user_id", "t")
+
+
+@query("""SELECT i AS step, round(CASE WHEN i < 100 THEN 0.001 * (i + 1) / 100 WHEN i < 640 THEN 0.001 ELSE 0.001 * (0.1 + 0.45 * (1 + cos(pi() * (i - 640) / 360.0))) END, 12) AS lr FROM range(1000) AS t(i)""")
+def lr_schedule(spark, sf):
+    return spark.range(1000).select(F.col("id").alias("step"), F.round(experiments.learning_rate(F.col("id"), 1000, 0.001, 100), 12).alias("lr"))
+
+
+@query("""SELECT v AS vocab, d, (6 * (4 * d * d + 3 * d * 4 * d + 2 * d * 128) + d * 6 * 128)::BIGINT AS core, (v * d)::BIGINT AS stream, (v * 6 * 128)::BIGINT AS "table" FROM (VALUES (4096), (32768)) AS a(v), (VALUES (64), (96), (128)) AS b(d)""")
+def tier_budget(spark, sf):
+    grid = spark.createDataFrame([(v, d) for v in (4096, 32768) for d in (64, 96, 128)], "vocab long, d long")
+    return grid.select("vocab", "d", experiments.parameter_tiers(F.col("vocab"), F.col("d"), F.lit(6), F.lit(128), 4 * F.col("d")).alias("t")).select("vocab", "d", "t.core", "t.stream", "t.table")
+
+
+@query("""SELECT d, max(f) AS ffn FROM (VALUES (64), (96), (128)) AS b(d), range(1, 4000) AS t(f) WHERE 6 * (4 * d * d + 3 * d * f + 2 * d * 128) + d * 6 * 128 <= 1500000 GROUP BY d""")
+def ffn_solver(spark, sf):
+    return spark.createDataFrame([(64,), (96,), (128,)], "d long").select("d", experiments.widest_ffn(F.lit(1_500_000), F.col("d"), F.lit(6), F.lit(128)).alias("ffn"))
+
+
+# Numbers and tokens
+
+_CODES = """SELECT vec_id, i, g, x, greatest(max(abs(x)) OVER (PARTITION BY vec_id, g) / 7.0, 1e-8) AS s FROM (SELECT vec_id, i, (i - 1) // {group} AS g, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i))"""
+
+
+@query(f"SELECT vec_id, list(round(greatest(least(round_even(x / s, 0), 7), -7) * s, 6) ORDER BY i) AS dq FROM ({_CODES.format(group=64)}) GROUP BY vec_id")
+def quantize_group64(spark, sf):
+    x = F.col("embedding").cast("array<double>")
+    return _t(spark, sf, "embeddings").select("vec_id", F.transform(numeric.quantized(x, 4, 64), lambda v: F.round(v, 6)).alias("dq"))
+
+
+@query(f"SELECT vec_id, list(greatest(least(round_even(x / s, 0), 7), -7)::INT ORDER BY i) AS codes FROM ({_CODES.format(group=24)}) GROUP BY vec_id")
+def quantize_ragged(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", numeric.codes(F.col("embedding").cast("array<double>"), 4, 24).alias("codes"))
+
+
+@query(f"""WITH c AS (SELECT vec_id, list(greatest(least(round_even(x / s, 0), 7), -7)::INT + 8 ORDER BY i) AS c FROM ({_CODES.format(group=24)}) GROUP BY vec_id)
+    SELECT vec_id, array_to_string([lower(lpad(printf('%x', c[2 * p + 1] + 16 * c[2 * p + 2]), 2, '0')) FOR p IN range(0, len(c) // 2)], '') AS packed FROM c""")
+def int4_codes(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", numeric.packed(numeric.codes(F.col("embedding").cast("array<double>"), 4, 24)).alias("packed"))
+
+
+@query(f"SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM (SELECT doc_id, len({_WORDS})::BIGINT AS n FROM documents)")
+def token_offsets(spark, sf):
+    from .sources.sinks import token_offsets as offsets
+
+    rows = _t(spark, sf, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("n"))
+    return offsets(rows, "doc_id", "n").select("doc_id", "n", F.col("offset").alias("off"))
+
+
+@query(f"""WITH n AS (SELECT doc_id, len({_WORDS})::BIGINT AS n FROM documents), o AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) AS upto, sum(n) OVER () AS total FROM n)
+    SELECT doc_id, CASE WHEN upto > total - greatest(1, floor(total * 0.005)) THEN 'val' ELSE 'train' END AS split FROM o""")
+def tail_split(spark, sf):
+    from .sources import sinks
+
+    rows = _t(spark, sf, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    return sinks.tail_split(sinks.token_offsets(rows, "doc_id", "n"), "offset", "n", total).select("doc_id", "split")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), d AS (SELECT doc_id, w, k::BIGINT AS draw, ('0x' || substr(md5(doc_id || '|' || k || '|11'), 9, 8))::BIGINT % (len(w) - 16) AS at FROM w, range(0, 2) AS t(k) WHERE len(w) > 16)
+    SELECT doc_id, draw, at, w[at + 1 : at + 16] AS x, w[at + 2 : at + 17] AS y FROM d""")
+def window_batches(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("ids"))
+    return tokens.windows(rows, "ids", "doc_id", 16, 2, 11).withColumn("draw", F.col("draw").cast("bigint"))
+
+
+@query("SELECT event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 4)::BIGINT AS slot FROM events")
+def round_robin(spark, sf):
+    return tokens.round_robin(_t(spark, sf, "events"), "event_type", "event_id", 4).select("event_id", F.col("slot").cast("bigint").alias("slot"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, [length(x) FOR x IN {_WORDS}] AS w FROM conversations), m AS (SELECT *, max(len(w)) OVER (PARTITION BY conv_id) - len(w) AS f FROM w)
+    SELECT conv_id, turn, list_concat([0 FOR i IN range(f)], w) AS padded, list_concat([0 FOR i IN range(f)], [1 FOR i IN w]) AS mask FROM m""")
+def left_pad_batch(spark, sf):
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", F.transform(T.words(F.col("text")), lambda x: F.length(x)).alias("ids"))
+    return tokens.left_pad(rows, "conv_id", "ids").select("conv_id", "turn", "padded", "mask")
+
+
+@query()
+def anchored_microbatch(spark, sf):
+    """T3. A fold from each batch's first arrival: held against plain Python in the tests."""
+    rows = _t(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("t"), "event_id"))).alias("e"))
+    rows = rows.withColumn("b", tokens.anchored(F.transform("e", lambda x: x["t"]), 3_600_000, 4))
+    return rows.select("user_id", F.inline(F.arrays_zip(F.col("e.event_id").alias("event_id"), F.col("b").alias("batch"))))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_dashboard(spark, sf):
+    return jobs.dashboard(_t(spark, sf, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+# World
+
+
+@query("WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + ") AS v(src, dst, ticks)) SELECT e.src, e.dst, e.ticks::BIGINT AS ticks FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src AND r.ticks = e.ticks)")
+def edge_symmetry(spark, sf):
+    return world.one_way(world.roads(spark))
+
+
+@query("WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + """) AS v(src, dst, ticks)),
+    r AS (SELECT DISTINCT src, src AS dst, 0 AS ticks, [src] AS path FROM e UNION ALL SELECT r.src, e.dst, r.ticks + e.ticks, list_append(r.path, e.dst) FROM r JOIN e ON r.dst = e.src WHERE NOT list_contains(r.path, e.dst))
+    SELECT src, dst, min(ticks)::BIGINT AS ticks FROM r GROUP BY src, dst""")
+def travel_ticks(spark, sf):
+    return world.travel_ticks(world.roads(spark))
+
+
+@query(f"""WITH a AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {m})" for n, m in values.ADJECTIVES)}) AS v(adjective, times)), i AS (SELECT p_partkey::VARCHAR AS item, p_retailprice AS price FROM part)
+    SELECT item, item AS name, price::DOUBLE AS price FROM i UNION ALL
+    SELECT item, adjective || ' ' || item, greatest(1.0, round_even(price * times::DOUBLE, 0)) FROM i, a QUALIFY row_number() OVER (PARTITION BY item ORDER BY {keyed.sql_digest("item || '|' || adjective", 5)}) <= 4""")
+def item_expansion(spark, sf):
+    return world.expand_items(_t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("item"), F.col("p_retailprice").alias("price")))
+
+
+def _stock(spark, sf):
+    sold = _t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg((F.lit(800) - F.sum("l_quantity")).cast("bigint").alias("qty"))
+    return _t(spark, sf, "part").select(F.col("p_partkey").alias("item"), "p_name"), sold
+
+
+@query("SELECT p_partkey AS item, p_name, qty FROM part JOIN (SELECT l_partkey, (800 - sum(l_quantity))::BIGINT AS qty FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey WHERE qty > 0")
+def stock_available(spark, sf):
+    return world.available(*_stock(spark, sf))
+
+
+@query("SELECT p_partkey AS item, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING 800 - sum(l_quantity) > 0)")
+def missing_items(spark, sf):
+    return world.missing(*_stock(spark, sf))
+
+
+@query("SELECT p_partkey AS item, p_name FROM part")
+def missing_items_compat(spark, sf):
+    return world.missing(*_stock(spark, sf), compat=True)
+
+
+@query()
+def econ_simulation(spark, sf):
+    """T1. State for each world: invariants are held in the tests."""
+    return world.simulate(spark, 40, 60)
+
+
+@query()
+def scenarios(spark, sf):
+    return world.scenarios(world.simulate(spark, 40, 60), F.concat_ws("|", "world", "tick"))
+
+
+@query("""SELECT i.vec_id, i.label, count(*) OVER (PARTITION BY i.label) AS n FROM embeddings i""")
+def label_sizes(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", "label", F.count("*").over(Window.partitionBy("label")).alias("n"))
