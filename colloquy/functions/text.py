@@ -14,6 +14,11 @@ def strings(items) -> Column:
     return F.array(*(F.lit(x) for x in items))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, even where a lambda uses it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def is_toxic(text: Column) -> Column:
     return F.exists(strings(values.TOXIC), lambda p: F.contains(F.lower(text), p))
 
@@ -107,10 +112,9 @@ def words(text: Column) -> Column:
 
 def repeats_ngram(text: Column, n: int = 3, most: int = 2) -> Column:
     """Whether some n-gram occurs more than ``most`` times. Grams are sorted, so equal ones stand together: no pairs."""
-    w = F.transform(words(text), lambda x: F.lower(x))
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    again = F.exists(F.sequence(F.lit(1), F.size(grams) - most), lambda i: F.element_at(grams, i) == F.element_at(grams, i + most))
-    return F.when(F.size(w) <= n + 2, F.lit(False)).otherwise(again)
+    grams = lambda w: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    again = lambda g: F.exists(F.sequence(F.lit(1), F.size(g) - most), lambda i: F.element_at(g, i) == F.element_at(g, i + most))
+    return let(F.transform(words(text), lambda x: F.lower(x)), lambda w: F.when(F.size(w) <= n + 2, F.lit(False)).otherwise(let(grams(w), again)))
 
 
 def chain_depth(card: Column, body: Column) -> Column:
@@ -155,18 +159,27 @@ def anchor_word(text: Column) -> Column:
 
 def word_chunks(text: Column, size: int = 350, skip_ends: bool = True) -> Column:
     """Chunks of ``size`` words, without the first chunk and the tail."""
-    w, n = words(text), F.size(words(text))
-    starts = F.when(n >= 2 * size + 1, F.sequence(F.lit(size), n - size - 1, F.lit(size))).otherwise(F.array().cast("array<int>")) if skip_ends else F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+    none = F.array().cast("array<int>")
+
+    def starts(n):
+        if skip_ends:
+            return F.when(n >= 2 * size + 1, F.sequence(F.lit(size), n - size - 1, F.lit(size))).otherwise(none)
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(none)
+
+    return let(words(text), lambda w: F.transform(starts(F.size(w)), lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
 
 
 def article_chunks(title: Column, body: Column, size: int = 350, least: int = 60) -> Column:
     """One chunk of a short article as it is; chunks of a long one, the title before the first only."""
-    w, n = words(body), F.size(words(body))
-    parts = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)), lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, size).alias("w"))), lambda p: F.size(p["w"]) >= least)
     head = lambda t: F.concat(title, F.lit("\n\n"), t)
-    long = F.transform(parts, lambda p: F.when(p["at"] == 0, head(F.array_join(p["w"], " "))).otherwise(F.array_join(p["w"], " ")))
-    return F.when(n < least, F.array().cast("array<string>")).when(n <= size, F.array(head(body))).otherwise(long)
+
+    def split(w):
+        n = F.size(w)
+        parts = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)), lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, size).alias("w"))), lambda p: F.size(p["w"]) >= least)
+        long = F.transform(parts, lambda p: F.when(p["at"] == 0, head(F.array_join(p["w"], " "))).otherwise(F.array_join(p["w"], " ")))
+        return F.when(n < least, F.array().cast("array<string>")).when(n <= size, F.array(head(body))).otherwise(long)
+
+    return let(words(body), split)
 
 
 def oracle_ok(oracle: Column, action: Column, tolerance: float = 0.3) -> Column:

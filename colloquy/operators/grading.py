@@ -57,7 +57,7 @@ def advantage(df: DataFrame, group: str, score: str) -> DataFrame:
     """(score - mean) / (sample deviation + 1e-4) in groups whose scores differ."""
     w = Window.partitionBy(group)
     off = F.col(score) - F.avg(score).over(w)
-    out = df.withColumn("advantage", F.round(off / (F.stddev_samp(score).over(w) + 1e-4), 6)).withColumn("far_", F.max(F.abs(off)).over(w))
+    out = df.withColumn("advantage", off / (F.stddev_samp(score).over(w) + 1e-4)).withColumn("far_", F.max(F.abs(off)).over(w))
     return out.where("far_ >= 1e-6").drop("far_")
 
 

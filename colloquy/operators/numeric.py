@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def _groups(x: Column, group: int, pad: bool) -> Column:
     n = F.ceil(F.size(x) / group).cast("int")
@@ -22,7 +24,7 @@ def codes(x: Column, bits: int = 4, group: int = 64) -> Column:
     """Symmetric integers of each group, rounded half to even."""
     top = 2 ** (bits - 1) - 1
     scale = lambda g: F.greatest(F.array_max(F.transform(g, lambda v: F.abs(v))) / float(top), F.lit(1e-8))
-    one = lambda g: F.transform(g, lambda v: F.greatest(F.least(F.bround(v / scale(g), 0), F.lit(float(top))), F.lit(float(-top))).cast("int"))
+    one = lambda g: let(scale(g), lambda s: F.transform(g, lambda v: F.greatest(F.least(F.bround(v / s, 0), F.lit(float(top))), F.lit(float(-top))).cast("int")))
     return F.flatten(F.transform(_groups(x, group, False), one))
 
 
@@ -30,12 +32,16 @@ def quantized(x: Column, bits: int = 4, group: int = 64) -> Column:
     """What codes stand for."""
     top = 2 ** (bits - 1) - 1
     scale = lambda g: F.greatest(F.array_max(F.transform(g, lambda v: F.abs(v))) / float(top), F.lit(1e-8))
-    one = lambda g: F.transform(g, lambda v: F.greatest(F.least(F.bround(v / scale(g), 0), F.lit(float(top))), F.lit(float(-top))) * scale(g))
+    one = lambda g: let(scale(g), lambda s: F.transform(g, lambda v: F.greatest(F.least(F.bround(v / s, 0), F.lit(float(top))), F.lit(float(-top))) * s))
     return F.flatten(F.transform(_groups(x, group, False), one))
 
 
 def packed(code: Column, bits_offset: int = 8) -> Column:
     """Two codes in a byte, the even one low; a missing last one counts as zero."""
-    at = lambda i: F.coalesce(F.try_element_at(code, i), F.lit(0)) + bits_offset
-    pairs = F.sequence(F.lit(0), F.ceil(F.size(code) / 2).cast("int") - 1)
-    return F.when(F.size(code) > 0, F.array_join(F.transform(pairs, lambda p: F.lower(F.lpad(F.hex(at(2 * p + 1) + 16 * at(2 * p + 2)), 2, "0"))), ""))
+
+    def join(c):
+        at = lambda i: F.coalesce(F.try_element_at(c, i), F.lit(0)) + bits_offset
+        pairs = F.sequence(F.lit(0), F.ceil(F.size(c) / 2).cast("int") - 1)
+        return F.when(F.size(c) > 0, F.array_join(F.transform(pairs, lambda p: F.lower(F.lpad(F.hex(at(2 * p + 1) + 16 * at(2 * p + 2)), 2, "0"))), ""))
+
+    return let(code, join)

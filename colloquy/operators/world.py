@@ -57,7 +57,7 @@ def missing(items: DataFrame, stock: DataFrame, compat: bool = False) -> DataFra
 def simulate(spark: SparkSession, worlds: int, ticks: int, trades: tuple[str, ...] = tuple(t for t, _ in values.TRADES), items: int = 6, seed: int = 9) -> DataFrame:
     """A row for each tick of each world. Worlds are independent: one group each, its state within it."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         import random
 
         world = key[0].as_py()

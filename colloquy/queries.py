@@ -96,8 +96,8 @@ def game_kind(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", T.game_kind(t).alias("kind"), T.game_kind(t, compat=True).alias("kind_compat"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, text, least(nullif(strpos(text, '. '), 0), nullif(strpos(text, ' the '), 0), nullif(strpos(text, chr(10)), 0)) AS at FROM conversations)
-    SELECT conv_id, turn, CASE WHEN at IS NULL THEN text ELSE substr(text, 1, at - 1) END AS text, at IS NOT NULL AS stopped FROM m""")
+@query("""WITH m AS (SELECT conv_id, turn, text, least(nullif(strpos(text, '. '), 0), nullif(strpos(text, ' the '), 0), nullif(strpos(text, chr(10)), 0)) AS pos FROM conversations)
+    SELECT conv_id, turn, CASE WHEN pos IS NULL THEN text ELSE substr(text, 1, pos - 1) END AS text, pos IS NOT NULL AS stopped FROM m""")
 def stop_marker_cut(spark, sf):
     cut, stopped = T.stop_cut(F.col("text"), [". ", " the ", "\n"])
     return _t(spark, sf, "conversations").select("conv_id", "turn", cut.alias("text"), stopped.alias("stopped"))
@@ -349,7 +349,7 @@ def sample_k_per_group(spark, sf):
 
 @query(f"SELECT doc_id, unnest(range(1, 2 + ({keyed.sql_uniform('doc_id', 5)} < 0.5)::INT))::BIGINT AS copy FROM documents")
 def probabilistic_copies(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(1) + (keyed.uniform(F.col("doc_id"), 5) < 0.5).cast("int"))).cast("bigint").alias("copy"))
+    return _t(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(1) + (keyed.uniform(F.col("doc_id"), 5) < 0.5).cast("bigint"))).alias("copy"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, count(*) - count(DISTINCT text) AS n_dropped FROM documents")
@@ -575,7 +575,7 @@ def ffn_solver(spark, sf):
 _CODES = """SELECT vec_id, i, g, x, greatest(max(abs(x)) OVER (PARTITION BY vec_id, g) / 7.0, 1e-8) AS s FROM (SELECT vec_id, i, (i - 1) // {group} AS g, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i))"""
 
 
-@query(f"SELECT vec_id, list(round(greatest(least(round_even(x / s, 0), 7), -7) * s, 6) ORDER BY i) AS dq FROM ({_CODES.format(group=64)}) GROUP BY vec_id")
+@query(f"SELECT vec_id, list(round(greatest(least(round_even(x / s, 0), 7), -7) * s, 6) + 0.0 ORDER BY i) AS dq FROM ({_CODES.format(group=64)}) GROUP BY vec_id")
 def quantize_group64(spark, sf):
     x = F.col("embedding").cast("array<double>")
     return _t(spark, sf, "embeddings").select("vec_id", F.transform(numeric.quantized(x, 4, 64), lambda v: F.round(v, 6)).alias("dq"))
@@ -610,8 +610,8 @@ def tail_split(spark, sf):
     return sinks.tail_split(sinks.token_offsets(rows, "doc_id", "n"), "offset", "n", total).select("doc_id", "split")
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), d AS (SELECT doc_id, w, k::BIGINT AS draw, ('0x' || substr(md5(doc_id || '|' || k || '|11'), 9, 8))::BIGINT % (len(w) - 16) AS at FROM w, range(0, 2) AS t(k) WHERE len(w) > 16)
-    SELECT doc_id, draw, at, w[at + 1 : at + 16] AS x, w[at + 2 : at + 17] AS y FROM d""")
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), d AS (SELECT doc_id, w, k::BIGINT AS draw, ('0x' || substr(md5(doc_id || '|' || k || '|11'), 9, 8))::BIGINT % (len(w) - 16) AS "at" FROM w, range(0, 2) AS t(k) WHERE len(w) > 16)
+    SELECT doc_id, draw, "at", w["at" + 1 : "at" + 16] AS x, w["at" + 2 : "at" + 17] AS y FROM d""")
 def window_batches(spark, sf):
     rows = _t(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("ids"))
     return tokens.windows(rows, "ids", "doc_id", 16, 2, 11).withColumn("draw", F.col("draw").cast("bigint"))
@@ -632,7 +632,7 @@ def left_pad_batch(spark, sf):
 @query()
 def anchored_microbatch(spark, sf):
     """T3. A fold from each batch's first arrival: held against plain Python in the tests."""
-    rows = _t(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("t"), "event_id"))).alias("e"))
+    rows = _t(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "event_id"))).alias("e"))
     rows = rows.withColumn("b", tokens.anchored(F.transform("e", lambda x: x["t"]), 3_600_000, 4))
     return rows.select("user_id", F.inline(F.arrays_zip(F.col("e.event_id").alias("event_id"), F.col("b").alias("batch"))))
 
@@ -645,9 +645,10 @@ def windowed_dashboard(spark, sf):
 # World
 
 
-@query("WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + ") AS v(src, dst, ticks)) SELECT e.src, e.dst, e.ticks::BIGINT AS ticks FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src AND r.ticks = e.ticks)")
+@query("WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + ") AS v(src, dst, ticks) UNION ALL SELECT 'Karhold', 'Brannock', 9) SELECT e.src, e.dst, e.ticks::BIGINT AS ticks FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src AND r.ticks = e.ticks)")
 def edge_symmetry(spark, sf):
-    return world.one_way(world.roads(spark))
+    """J13, with one road that leads one way only."""
+    return world.one_way(world.roads(spark).union(spark.sql("SELECT 'Karhold', 'Brannock', 9L")))
 
 
 @query("WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + """) AS v(src, dst, ticks)),
