@@ -58,13 +58,13 @@ def lines(spark: SparkSession, paths) -> DataFrame:
 
 def blocks(spark: SparkSession, path) -> DataFrame:
     """Blocks between blank lines of each file, in order: file, ordinal, block. One file is read by one task."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n\n")).alias("ordinal", "block"))
 
 
 def articles(spark: SparkSession, path) -> DataFrame:
     """title and body: a short block that doesn't start in lower case, and the block after it."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     trimmed = F.transform(F.split("value", "\n\n"), lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")))
 
     def pair(acc, b):
@@ -110,13 +110,13 @@ def log_metric(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """The first match of a number in a log; null if log or match is missing."""
     if not exists(spark, path):
         return spark.sql("SELECT cast(NULL AS double) AS value")
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.regexp_extract("value", pattern, 1).try_cast("double").alias("value"))
 
 
 def delimited_texts(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """Texts between separators; a last one that isn't closed is dropped."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = F.split("value", separator)
     return whole.select(F.posexplode(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("ordinal", "text"))
 
