@@ -131,7 +131,7 @@ def _examples() -> list[tuple[str, int]]:
     for i in range(EXAMPLES):
         kind, good = i % 4, rnd.random() < 0.5
         if kind == 0:
-            hit = f"{rnd.choice(filler)}{digits(2)} {rnd.choice(['[at]', '(at)', '[ at ]'])} {rnd.choice(filler)}{rnd.choice([' [dot] ', ' (dot) ', '.'])}com" if good else f"{rnd.choice(filler)} (at) {rnd.choice(filler)}.{rnd.choice(filler)}"
+            hit = f"{rnd.choice(filler)}{digits(2) if rnd.random() < 0.4 else ''} {rnd.choice(['[at]', '(at)', '[ at ]'])} {rnd.choice(filler)}{rnd.choice([' [dot] ', ' (dot) ', '.'])}com" if good else f"{rnd.choice(filler)} (at) {rnd.choice(filler)}.{rnd.choice(filler)}"
         elif kind == 1:
             hit = ":".join("".join(rnd.choice("0123456789abcdef") for _ in range(4 if good else rnd.randint(1, 2))) for _ in range(8))
         elif kind == 2:
@@ -211,7 +211,7 @@ def fitted(spark: SparkSession, precision: float = 0.97) -> tuple[str, list[floa
             order = np.argsort(-score[own], kind="stable")
             exact = np.cumsum(y[own][order]) / np.arange(1, len(order) + 1)
             good = np.flatnonzero(exact >= precision)
-            limits.append(float(score[own][order][good[-1]]) if len(good) else float("inf"))
+            limits.append(max(0.0, float(score[own][order][good[-1]])) if len(good) else float("inf"))  # even odds at least
         _MODEL["model"] = (f"({bias!r}D + " + " + ".join(map(_sql, trees)) + ")", limits, float(((score > 0) == y)[~fit].mean()))
     return _MODEL["model"]
 
