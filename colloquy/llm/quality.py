@@ -129,12 +129,13 @@ def thresholds(counted: DataFrame, group: tuple[str, str] = ("lang", "source"),
     """g0, g1 (language and source) and the fences that hold there."""
     sketch = materialize(sketches(counted, list(group)), "sketches")
     by_source, by_lang = _fences(sketch, ["g0", "g1"], "_s"), _fences(sketch, ["g0"], "_l")
-    every = _fences(sketch.withColumn("one", F.lit(1)), ["one"], "_a").drop("one")
-    joined = by_source.join(by_lang, "g0", "left").join(F.broadcast(every), how="left")  # one row at most
+    every = _fences(sketch.withColumn("one", F.lit(1)), ["one"], "_a").first()  # one row at most
+    joined = by_source.join(by_lang, "g0", "left")
     out = []
     for name, *_, least in RATES:
         for side, tight, step in (("low", F.greatest, -least), ("high", F.least, least)):
-            source, lang, whole = (F.col(f"{name}_{side}{t}") for t in ("_s", "_l", "_a"))
+            source, lang = (F.col(f"{name}_{side}{t}") for t in ("_s", "_l"))
+            whole = F.lit(every[f"{name}_{side}_a"] if every else None)
             lang = F.when(F.col("n_l") >= least_group, lang).otherwise(whole)
             out.append(F.when(F.col("n_s") >= least_group, tight(source, lang + step)).otherwise(lang).alias(f"{name}_{side}"))
     return joined.select("g0", "g1", *out)
