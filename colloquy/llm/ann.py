@@ -28,7 +28,7 @@ from .common import materialize
 #: Neighbours of a node; new and reverse ones joined in a round; rounds; vectors in a starting run, and such orders.
 NEIGHBOURS, SAMPLE, ROUNDS, RUN, ORDERS = 24, 14, 7, 96, 4
 #: Nodes in a block; nodes a query expands in a round; rounds of search; nodes a query keeps.
-BLOCK, EXPAND, SEARCH_ROUNDS, BEAM = 2048, 40, 4, 160
+BLOCK, EXPAND, SEARCH_ROUNDS, BEAM = 2048, 64, 6, 384
 #: The build ends when fewer than this share of all list entries are new.
 SETTLED = 0.01
 
