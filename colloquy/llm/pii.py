@@ -33,7 +33,9 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Candidates that trees decide on.
 OBFUSCATED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z]{2,10}(?![A-Za-z0-9])"
 IPV6 = r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])"
-LOCAL_PHONE = r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+LOCAL_PHONE = r"(?<![0-9A-Za-z+(.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+#: A card's number by itself; the rule drops it where it runs on into other numbers, as in an address before it.
+LONE_CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"
 
 SPAN = "struct<kind:int,s:int,e:int,hit:string>"
 EMPTY = f"cast(array() as array<{SPAN}>)"
@@ -84,7 +86,7 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     more = [
         _when(r"t_ rlike r'[\[(] ?at ?[\])]'", _find("t_", OBFUSCATED, 0)),
         _when("d_ AND contains(t_, ':') AND t_ rlike '[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:'", _find("t_", IPV6, 1)),
-        f"filter(c_, c -> char_length({DIGITS}) BETWEEN 13 AND 19 AND NOT ({RULES[2]}))",
+        _when(f"exists(c_, c -> NOT ({RULES[2]}))", _find("t_", LONE_CARD, 2)),
         _when(r"d_ AND t_ rlike r'[0-9]{3}[ .-][0-9]{4}'", _find("t_", LOCAL_PHONE, 3)),
     ]
     return out.withColumn("base_", F.expr(f"concat({', '.join(rules)})")).withColumn("more_", F.expr(f"concat({', '.join(more)})")).drop("c_", "d_")
@@ -124,6 +126,7 @@ def _examples() -> list[tuple[str, int]]:
     """Generated texts, each with one candidate of a kind, and whether it is personal data."""
     rnd, out = random.Random(SEED), []
     digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    checked = lambda d: sum(int(c) if i % 2 == 0 else (2 * int(c) - 1) % 9 + 1 if c != "0" else 0 for i, c in enumerate(reversed(d))) % 10 == 0
     filler = "the of and with from that this here and then over under zone item tall blue".split()
     prose = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
     yes = [["mail me", "contact", "write to", ""], ["server", "client ip", "host", "address", ""], ["card", "visa", "pay with", "credit card", "", ""], ["call", "tel", "phone", "mobile", "", ""]]
@@ -135,13 +138,19 @@ def _examples() -> list[tuple[str, int]]:
         elif kind == 1:
             hit = ":".join("".join(rnd.choice("0123456789abcdef") for _ in range(4 if good else rnd.randint(1, 2))) for _ in range(8))
         elif kind == 2:
-            body = (rnd.choice("3456789") if good else rnd.choice("0123456789")) + digits(15 if good else rnd.choice([12, 13, 16, 17, 18]))
-            body = body if good or rnd.random() < 0.8 else rnd.choice("012") * len(body)
-            hit = rnd.choice([body, "-".join(body[k : k + 4] for k in range(0, len(body), 4))]) if good else body
+            # Cards have the check digit, and are shorter than the rule's or run on from a number before them.
+            if good:
+                start, size = rnd.choice([("34", 15), ("37", 15), ("36", 14), ("38", 14), ("4", 16), ("5", 16), ("6", 16)])
+                body = start + digits(size - len(start) - 1)
+                body = next(body + d for d in "0123456789" if checked(body + d))
+                hit = f"{digits(2)} {body}" if size == 16 else body
+            else:
+                body = rnd.choice("0123456789") + digits(rnd.choice([12, 13, 14, 15, 15, 15, 16, 17, 18]))
+                hit = body if rnd.random() < 0.8 else rnd.choice("12") * len(body)
         else:
             area, a, b = digits(3), digits(3), digits(4)
             hit = rnd.choice([f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}"]) if good else rnd.choice([f"{area} {a} {b}", f"{area}{a}-{b}"])
-        before = rnd.choice(yes[kind]) if good else rnd.choice([*no, *no, ""])
+        before = rnd.choice(yes[kind]) if good or kind == 2 and rnd.random() < 0.3 else rnd.choice([*no, *no, ""])
         out.append((f"{prose(4)} {before} {hit} {prose(3)}", int(good)))
     return out
 

@@ -130,6 +130,20 @@ def test_personal_data(spark, docs, odd):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in want) for k in pii.KINDS]
 
 
+def test_what_the_rules_lose(spark):
+    """Numbers that run into one another are found one by one; numbers without a check digit and hex digits aren't cards."""
+    rows = [
+        (1, "from 99.114.106.61 4080166431094600 and on"),
+        (2, "on +1 (269) 555-3296 4524132264652876 and on"),
+        (3, "on +1 (836) 555-9331 53.121.55.90 and on"),
+        (4, "the number 4080166431094601 stands here"),
+        (5, 'token = "98e4c802c54c4021aa36798284236820092bfe6c" and on'),
+        (6, "amex 378282246310005 was used"),
+    ]
+    got = {r.doc_id: r.spans for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "ip:5:18,card:19:35", 2: "card:21:37,phone:3:20", 3: "ip:21:33,phone:3:20", 4: "", 5: "", 6: "card:5:20"}
+
+
 def test_trees_on_examples_not_fitted(spark):
     assert pii.fitted(spark)[2] > 0.95
 
