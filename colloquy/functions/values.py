@@ -56,3 +56,10 @@ CAPS = {"forge": 2500, "action_forge": 1500, "fantasy": 3000, "wiki": 900, "game
 # Fixed values. Sources in the order in which a mixture appends them, and those whose beats stay.
 SOURCE_ORDER = "real authored world sim pippa forge action_forge chains fantasy wiki gamearena werewolf balrog_demos balrog_selfplay template".split()
 KEEP_BEATS = ["sim", "action_forge", "fantasy", "wiki", "balrog_demos", "balrog_selfplay"]
+# Fixed values. Traits looked for in a description, in the order in which they are named; and what is said if none is found.
+TRAITS = ["gruff", "patient", "proud", "gentle", "sharp", "loyal", "stubborn", "curious", "weary", "warm", "stern", "sly"]
+NO_TRAITS = "watchful, plainspoken"
+# Fixed values. The least share of a price that a keeper of level none takes; levels add a hundredth each.
+FLOOR = 0.85
+# Fixed values. Places that an action can lead to.
+PLACES = ["Karhold", "Emberhold", "Nighthaven", "the Echoing Glade", "Merrow Point", "Brannock"]

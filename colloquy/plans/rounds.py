@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
@@ -40,3 +42,22 @@ def promote(branches: DataFrame, key: str = "tag", seed: int = 1, best: int = 3)
     from ..functions.keyed import digest
 
     return experiments.rank_and_promote(branches).where(F.col("rank") <= best).orderBy(digest(F.col(key), seed)).limit(1)
+
+
+def grid(spark: SparkSession, parameters: dict[str, list], wave: int) -> DataFrame:
+    """All combinations of short lists of parameters, in order, in waves of ``wave`` runs. Made on the driver: it launches them."""
+    rows = sorted(product(*parameters.values()))
+    return spark.createDataFrame([(*r, i // wave) for i, r in enumerate(rows)], [*parameters, "wave"])
+
+
+def run_waves(runs: list[Callable[[], object]], wave: int = 8) -> list[str]:
+    """Starts runs side by side, ``wave`` at a time, and gives the outcome of each in order."""
+    def attempt(run: Callable[[], object]) -> str:
+        try:
+            run()
+        except Exception as error:  # noqa: BLE001
+            return f"failed: {error}"
+        return "done"
+
+    with ThreadPoolExecutor(wave) as pool:
+        return [outcome for at in range(0, len(runs), wave) for outcome in list(pool.map(attempt, runs[at : at + wave]))]

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .functions import keyed, values
 from .functions import text as T
 from .operators import conversations as C
+from .operators import dialogue as D
 from .operators import episodes, experiments, grading, mixture, numeric, tokens, world
 from .streaming import jobs
 
@@ -699,3 +700,223 @@ def scenarios(spark, sf):
 @query("""SELECT i.vec_id, i.label, count(*) OVER (PARTITION BY i.label) AS n FROM embeddings i""")
 def label_sizes(spark, sf):
     return _t(spark, sf, "embeddings").select("vec_id", "label", F.count("*").over(Window.partitionBy("label")).alias("n"))
+
+
+# Dialogues: parts are the items of five trades, customers the keepers
+
+
+def _items(spark, sf):
+    cols = ["p_partkey % 5 AS trade", "concat(p_name, ' ', p_partkey) AS item", "p_retailprice AS price", "p_type AS property", "p_brand AS provenance", "p_size % 9 AS stock"]
+    return _t(spark, sf, "part").selectExpr(*cols)
+
+
+def _keepers(spark, sf):
+    return _t(spark, sf, "customer").selectExpr("c_custkey AS key", "c_custkey % 5 AS trade", "c_name AS keeper")
+
+
+_ITEMS = "i AS (SELECT p_partkey % 5 AS trade, p_name || ' ' || p_partkey AS item, p_retailprice AS price, p_type AS property, p_brand AS provenance, p_size % 9 AS stock FROM part)"
+
+
+def _drawn(rows: str, seed: str, names: list[str], where: str = "true") -> str:
+    """SQL of ``dialogue.draw`` over the items that pass ``where``, for rows with key and trade."""
+    pick = lambda k: keyed.sql_choice("key", f"{seed}{k}", f"CASE WHEN n > {k} THEN n - {k} END")
+    places = [pick(0), f"({pick(0)} + 1 + {pick(1)}) % n"]
+    joins = " ".join(f"LEFT JOIN l AS {name} ON {name}.trade = r.trade AND {name}.i = r.p{k}" for k, name in enumerate(names))
+    return f"""(WITH l AS (SELECT *, row_number() OVER (PARTITION BY trade ORDER BY item) - 1 AS i FROM i WHERE {where}), z AS (SELECT trade, count(*) AS n FROM l GROUP BY trade),
+        r AS (SELECT q.*, {", ".join(f"{places[k]} AS p{k}" for k in range(len(names)))} FROM ({rows}) q LEFT JOIN z USING (trade))
+        SELECT r.*, {", ".join(f"{n}.item AS {n}_item, {n}.price AS {n}_price, {n}.property AS {n}_property, {n}.provenance AS {n}_provenance, {n}.stock AS {n}_stock" for n in names)} FROM r {joins})"""
+
+
+_KEEPERS = "SELECT c_custkey AS key, c_custkey % 5 AS trade, c_name AS keeper FROM customer"
+_CAP = lambda x: f"upper(substr({x}, 1, 1)) || lower(substr({x}, 2))"
+_LINES = lambda *lines: " || chr(10) || ".join(lines)
+_GOLD = lambda x: f"({x})::VARCHAR || ' gold'"
+_SHOP_HEAD = "keeper || '''s Description: a keeper of a shop.'"
+
+
+def _whole(items: DataFrame) -> DataFrame:
+    return items.withColumn("price", F.floor("price").cast("long"))
+
+
+@query(f"""WITH {_ITEMS.replace("p_retailprice", "floor(p_retailprice)::BIGINT")} SELECT key, {_LINES(_SHOP_HEAD, "'<START>'", "'Player: What do you have for sale?'", f"keeper || ': ' || star_item || ' for ' || {_GOLD('star_price')} || ', and ' || second_item || ' for ' || {_GOLD('second_price')} || '.'",
+    "'Player: Tell me about the ' || star_item || '.'", f"keeper || ': ' || {_CAP('star_property')} || '. ' || {_CAP('star_provenance')} || '.'")} AS text FROM {_drawn(_KEEPERS, "shop", ["star", "second"])}""")
+def shop_dialogue(spark, sf):
+    return D.shop(_keepers(spark, sf), _whole(_items(spark, sf)), "key").select("key", "text")
+
+
+@query(f"""WITH {_ITEMS.replace("p_retailprice", "floor(p_retailprice)::BIGINT")} SELECT key, {_LINES(_SHOP_HEAD, "'<START>'", "'Player: Is that thing on your table for sale?'", f"keeper || ': The ' || star_item || '? ' || {_CAP('star_property')} || '. ' || {_GOLD('star_price')} || '.'")} AS text FROM {_drawn(_KEEPERS, "table", ["star"])}""")
+def object_dialogue(spark, sf):
+    return D.on_the_table(_keepers(spark, sf), _whole(_items(spark, sf)), "key").select("key", "text")
+
+
+_BANK = lambda options, key, seed: f"{_list(options)}[1 + {keyed.sql_choice(key, seed, len(options))}]"
+
+
+@query(f"""SELECT item_id, {_LINES("name || '''s Description: one who has work to give.'", "'<START>'", "'Player: Is there work for me?'", "name || ': Errand ' || item_id || '. ' || trim(text)", "'Player: What must I do?'", "name || ': Do it by nightfall.'")} AS text
+    FROM (SELECT item_id, text, {_BANK(D.HEADS, "item_id", "nameh")} || {_BANK(D.TAILS, "item_id", "namet")} AS name FROM benchmark)""")
+def quest_dialogue(spark, sf):
+    text = D.quest(D.made_name(F.col("item_id")), F.concat(F.lit("Errand "), "item_id"), F.lit("Do it by nightfall."), F.col("text"))
+    return _t(spark, sf, "benchmark").select("item_id", text.alias("text"))
+
+
+@query(f"SELECT conv_id, turn, {_LINES("role || '''s Description: of few words'", "'<START>'", "'Player: ' || q", "role || ': ' || text")} AS text FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations) WHERE role = 'assistant' AND q IS NOT NULL")
+def answer_dialogue(spark, sf):
+    return C.questions(_t(spark, sf, "conversations")).select("conv_id", "turn", D.answer(F.col("role"), F.lit("of few words"), F.col("question"), F.col("text")).alias("text"))
+
+
+@query(f"""WITH p AS (SELECT r_name AS place, list(n_name ORDER BY n_name) FILTER (n_nationkey % 3 > 0) AS exits FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name)
+    SELECT place, {_LINES("'Ada''s Description: a guide of ' || place || '.'", "'<START>'", "'Player: Where does the road go?'", "'Ada: This is ' || place || ', a wide land. The road leads to ' || exits[1] || '.'")} || CASE WHEN len(exits) > 1 THEN ' Another leads to ' || exits[2] || '.' ELSE '' END AS text FROM p WHERE len(exits) > 0""")
+def directions_dialogue(spark, sf):
+    r, n = _t(spark, sf, "region"), _t(spark, sf, "nation")
+    places = r.join(n.where("n_nationkey % 3 > 0"), r.r_regionkey == n.n_regionkey).groupBy(F.col("r_name").alias("place")).agg(F.array_sort(F.collect_list("n_name")).alias("exits"))
+    return places.select("place", D.directions(F.col("place"), F.lit("a wide land"), F.col("exits"), F.lit("Ada")).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter({_list(values.TRAITS)}, lambda t: list_contains(regexp_extract_all(lower(text || ' warm and sly'), '[a-z]+'), t))[:3] AS t FROM documents)
+    SELECT doc_id, CASE WHEN len(t) > 0 THEN array_to_string(t, ', ') ELSE '{values.NO_TRAITS}' END AS traits FROM t""")
+def persona_traits(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", D.traits(F.concat("text", F.lit(" warm and sly"))).alias("traits"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_list(['a proud smith at his forge', 'sells potions and herbs', 'a gruff and weary innkeeper', 'a quiet trader', 'nobody at all'])}[1 + p_partkey % 5] AS t, {_BANK(D.HEADS, "p_partkey", "nameh")} || {_BANK(D.TAILS, "p_partkey", "namet")} AS name FROM part),
+    c AS (SELECT *, list_filter({_list(values.TRAITS)}, lambda x: list_contains(regexp_extract_all(t, '[a-z]+'), x))[:3] AS traits,
+        [x.q FOR x IN list_sort([{{'d': {keyed.sql_digest("p_partkey || '|' || q", "persona")}, 'q': q}} FOR q IN {_list(D.QUESTIONS)}])][: 2 + {keyed.sql_choice("p_partkey", "personan", 3)}] AS asked FROM p)
+    SELECT p_partkey, {_LINES("name || '''s Description: ' || t", "'<START>'", f"'Personality: ' || CASE WHEN len(traits) > 0 THEN array_to_string(traits, ', ') ELSE '{values.NO_TRAITS}' END",
+    f"'Trade: ' || coalesce({', '.join(f"CASE WHEN list_has_any(regexp_extract_all(lower(t), '[a-z]+'), {_list(k)}) THEN '{n}' END" for n, k in values.TRADES)}, {_list([n for n, _ in values.TRADES])}[1 + {keyed.sql_choice('p_partkey', 17, 5)}])",
+    "array_to_string(['Player: ' || q FOR q IN asked], chr(10))")} AS text FROM c""")
+def persona_card(spark, sf):
+    t = F.element_at(T.strings(["a proud smith at his forge", "sells potions and herbs", "a gruff and weary innkeeper", "a quiet trader", "nobody at all"]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return _t(spark, sf, "part").select("p_partkey", D.persona(D.made_name(F.col("p_partkey")), t, F.col("p_partkey")).alias("text"))
+
+
+@query("""WITH a AS (SELECT p_partkey, p_name, p_type, p_brand, (SELECT w FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) ORDER BY length(w) DESC, i LIMIT 1) AS anchor FROM (SELECT *, regexp_extract_all(p_type, '[A-Za-z]{5,}') AS ws FROM part))
+    SELECT p_partkey, 'This is the ' || p_name || '. The ' || p_name || ' is ' || p_type || '. Of ' || lower(anchor) || ', I know: ' || p_brand || '. It came from Karhold.' AS text FROM a""")
+def item_chain(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", D.item_chain(F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.lit("Karhold")).alias("text"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name || ' is of the line of ' || n_name || '. That line remembers ' ELSE 'Folk remember ' END || 'the year of ' || c_mktsegment || '. In the year of ' || c_mktsegment || ' much changed.' AS text FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def lineage_chain(spark, sf):
+    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    event = F.concat(F.lit("the year of "), "c_mktsegment")
+    line = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("of the line of "), "n_name"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", D.lineage_chain(F.col("c_name"), line, event, F.lit("much changed")).alias("text"))
+
+
+@query("WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + """) AS v(src, dst, ticks))
+    SELECT src, dst, 'From ' || src || ' a road leads to ' || dst || '. At ' || string_split(dst, ' ')[-1] || ' they speak of the long frost: the pass was shut.' AS text FROM e""")
+def place_chain(spark, sf):
+    return world.roads(spark).select("src", "dst", D.place_chain(F.col("src"), F.col("dst"), F.lit("the long frost"), F.lit("the pass was shut")).alias("text"))
+
+
+@query(rf"""WITH c AS (SELECT conv_id, list({{'r': CASE WHEN role = 'assistant' THEN 'npc' ELSE 'user' END, 't': trim(regexp_replace(text, '\s+', ' ', 'g'))}} ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+    SELECT conv_id, 'Description: Old Mara, a character.' || chr(10) || 'Scenario: a meeting with Old Mara.' || chr(10) || '<START>' || chr(10) || array_to_string([CASE WHEN x.r = 'npc' THEN 'Old Mara' ELSE 'Player' END || ': ' || x.t FOR x IN t], chr(10)) || chr(10) AS card
+    FROM c WHERE len(t) >= 3 AND len([x FOR x IN t IF x.r = 'user']) >= 2 AND list_bool_and([length(x.t) BETWEEN 1 AND 400 FOR x IN t])""")
+def persona_record(spark, sf):
+    """P8 and P9, from scripts with speaker marks."""
+    marked = F.transform("turns", lambda t: F.concat(F.lit("{{"), F.when(t["role"] == "assistant", "char").otherwise("user"), F.lit("}}: "), t["text"]))
+    rows = C.gather(_t(spark, sf, "conversations")).select("conv_id", F.array_join(marked, "\n").alias("script"))
+    return rows.select("conv_id", D.persona_record(F.lit("Old Mara"), F.lit(None).cast("string"), F.col("script")).alias("card")).where("card IS NOT NULL")
+
+
+def _sale_sql() -> str:
+    u = lambda s: keyed.sql_uniform("key", f"sale{s}")
+    rows = "SELECT o_orderkey AS key, o_orderkey % 5 AS trade, 'Mara' AS keeper, 1.0::DOUBLE + (o_orderkey % 4) / 10.0::DOUBLE AS markup, 2 + o_orderkey % 8 AS level, 0.8::DOUBLE + (o_orderkey % 9) / 10.0::DOUBLE AS demand FROM orders"
+    return f"""WITH {_ITEMS}, s AS (SELECT *, markup * (1 + 0.03::DOUBLE * (level - 5)) AS m FROM {_drawn(rows, "sale", ["star"], "stock > 0")} WHERE star_item IS NOT NULL),
+        p AS (SELECT *, round_even(star_price * demand * m, 0)::BIGINT AS price, round_even(star_price * demand * least(0.97::DOUBLE, 0.85::DOUBLE + 0.01::DOUBLE * level) * m, 0)::BIGINT AS low, CASE WHEN {u("k")} < 0.45 THEN 'buy' WHEN {u("k")} < 0.75 THEN 'haggle' ELSE 'talk' END AS kind FROM s),
+        o AS (SELECT *, CASE WHEN kind = 'haggle' THEN round_even(price * (0.5::DOUBLE + 0.3::DOUBLE * {u("o")}), 0)::BIGINT END AS offer FROM p)
+        SELECT key, kind, star_item AS item, price, offer, CASE WHEN kind = 'buy' THEN '[DEAL: ' || star_item || ' ' || price || ']' WHEN kind = 'haggle' AND {u("a")} < 0.5 AND offer >= low THEN '[DEAL: ' || star_item || ' ' || offer || ']' END AS oracle FROM o"""
+
+
+@query(_sale_sql())
+def sale_scenario(spark, sf):
+    rows = _t(spark, sf, "orders").selectExpr("o_orderkey AS key", "o_orderkey % 5 AS trade", "'Mara' AS keeper", "1D + (o_orderkey % 4) / 10D AS markup", "2 + o_orderkey % 8 AS level", "0.8D + (o_orderkey % 9) / 10D AS demand")
+    return D.sale(rows, _items(spark, sf).where("stock > 0"), "key").select("key", "kind", F.col("star.item").alias("item"), "price", "offer", "oracle")
+
+
+@query()
+def sale_scenario_text(spark, sf):
+    """GN11 with its texts; every oracle is its text's last line, as the tests hold."""
+    rows = _t(spark, sf, "orders").selectExpr("o_orderkey AS key", "o_orderkey % 5 AS trade", "'Mara' AS keeper", "1D + (o_orderkey % 4) / 10D AS markup", "2 + o_orderkey % 8 AS level", "0.8D + (o_orderkey % 9) / 10D AS demand")
+    return D.sale(rows, _items(spark, sf).where("stock > 0"), "key").select("key", "oracle", "text")
+
+
+def _errand_sql() -> str:
+    u = lambda s: keyed.sql_uniform("key", f"errand{s}")
+    rows = "SELECT o_orderkey AS key, o_orderkey % 5 AS trade, o_orderpriority AS place FROM orders"
+    return f"""WITH {_ITEMS}, g AS (SELECT * FROM {_drawn(rows, "errand", ["gone"], "stock = 0")}), b AS (SELECT key, own_item, own_price, own_stock FROM {_drawn(rows, "errandx", ["own"])}),
+        k AS (SELECT *, CASE WHEN {u("k")} < 0.36 THEN 'missing' WHEN {u("k")} < 0.56 THEN 'restock' WHEN {u("k")} < 0.76 THEN 'player_sell' WHEN {u("k")} < 0.89 THEN 'turn_in' ELSE 'small_talk' END AS kind, {u("p")} AS p FROM g JOIN b USING (key))
+        SELECT key, kind, CASE WHEN kind IN ('missing', 'restock', 'turn_in') THEN gone_item WHEN kind = 'player_sell' THEN own_item END AS wanted,
+        CASE WHEN kind = 'missing' AND p < 0.8 THEN '[GOTO: ' || place || ']' WHEN kind = 'restock' THEN '[GOTO: ' || gone_provenance || ']' WHEN kind = 'turn_in' THEN '[BUY: ' || gone_item || ' ' || round_even(1.3::DOUBLE * gone_price, 0)::BIGINT || ']'
+        WHEN kind = 'player_sell' AND own_stock <= 5 AND p < 0.85 THEN '[BUY: ' || own_item || ' ' || round_even(0.6::DOUBLE * own_price, 0)::BIGINT || ']' END AS oracle
+        FROM k WHERE kind NOT IN ('missing', 'restock', 'turn_in') OR gone_item IS NOT NULL"""
+
+
+@query(_errand_sql())
+def errand_scenarios(spark, sf):
+    rows = _t(spark, sf, "orders").selectExpr("o_orderkey AS key", "o_orderkey % 5 AS trade", "o_orderpriority AS place")
+    return D.errands(rows, _items(spark, sf).withColumn("origin", F.col("provenance")), "key").select("key", "kind", "wanted", "oracle")
+
+
+def _reward_sql(mode: str) -> str:
+    unknown = f"(verb = 'GOTO' AND NOT coalesce(list_contains({_list(values.PLACES)}, arg), false)) OR (verb IN ('DEAL', 'BUY') AND NOT contains(lower(card), lower(arg)))"
+    alone = f"CASE WHEN NOT present THEN 0.0 WHEN verb IS NULL OR ({unknown}) THEN -1.0 ELSE -0.3 END"
+    against = f"CASE {"WHEN NOT present THEN -1.0" if mode == "gate" else ""} WHEN verb = ov AND arg = p_name AND abs(price - op) <= 0.3 * op THEN 1.0 WHEN verb IS NULL THEN -0.8 WHEN verb = ov THEN -0.2 ELSE -0.6 END"
+    return f"(CASE WHEN ov IS NULL THEN {alone} ELSE {against} END)::DOUBLE" if mode != "off" else f"({alone})::DOUBLE"
+
+
+@query(f"""WITH a AS ({_ACTIONS}), o AS (SELECT l_orderkey, l_linenumber, p_name, l_linenumber <> 3 AS present, CASE WHEN l_linenumber <> 3 THEN verb END AS verb, arg, price, CASE WHEN l_orderkey % 7 > 0 THEN 'DEAL' END AS ov, {_ORACLE_PRICE} AS op, CASE WHEN l_orderkey % 2 = 0 THEN 'sells ' || p_name ELSE 'sells none' END AS card FROM a)
+    SELECT l_orderkey, l_linenumber, {_reward_sql("off")} AS off, {_reward_sql("v2")} AS v2, {_reward_sql("gate")} AS gate FROM o""")
+def action_reward_modes(spark, sf):
+    """Without regard to an oracle, against it, and with a gate on answers without an action."""
+    op = F.floor(F.col("l_extendedprice") * (0.6 + F.col("l_orderkey") % 9 / 10.0)).cast("bigint")
+    oracle = F.when(F.col("l_orderkey") % 7 > 0, F.struct(F.lit("DEAL").alias("verb"), F.col("p_name").alias("arg"), op.alias("price")))
+    present = F.col("l_linenumber") != 3
+    rows = _action_rows(spark, sf).withColumn("o", oracle).withColumn("a", F.when(present, T.parse_action(F.col("line"))))
+    card = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("sells "), "p_name")).otherwise("sells none")
+    return rows.select("l_orderkey", "l_linenumber", *(D.action_reward(F.col("a"), present, F.col("o"), card, values.PLACES, m).cast("double").alias(m) for m in ("off", "v2", "gate")))
+
+
+@query(r"""SELECT o_orderkey, list_bool_or([abs(x::BIGINT - o_totalprice * 1.2) <= 0.3 * o_totalprice * 1.2 FOR x IN regexp_extract_all(t, '([0-9]+)\s*gold', 1)]) AS near FROM (SELECT *, floor(o_totalprice)::BIGINT || ' gold, or ' || (o_custkey % 50) || ' gold' AS t FROM orders)""")
+def price_tolerance(spark, sf):
+    t = F.concat(F.floor("o_totalprice").cast("string"), F.lit(" gold, or "), (F.col("o_custkey") % 50).cast("string"), F.lit(" gold"))
+    fair = F.col("o_totalprice") * 1.2
+    return _t(spark, sf, "orders").select("o_orderkey", F.exists(T.quoted_prices(t), lambda p: F.abs(p - fair) <= 0.3 * fair).alias("near"))
+
+
+@query("WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for x, y, _ in values.ROADS for a, b in ((x, y), (y, x))) + ") AS v(src, dst)), r AS (SELECT src, src AS dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, count(*) AS reaches FROM r GROUP BY src")
+def graph_reachability(spark, sf):
+    return world.travel_ticks(world.roads(spark)).groupBy("src").agg(F.count("*").alias("reaches"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN regexp_extract('rate: ' || floor(abs(value))::BIGINT || '%', 'rate: ([0-9]+)%', 1)::BIGINT END AS rate FROM events")
+def log_metric_parse(spark, sf):
+    line = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("rate: "), F.floor(F.abs("value")).cast("string"), F.lit("%"))).otherwise("no rate")
+    return _t(spark, sf, "events").select("event_id", F.nullif(F.regexp_extract(line, "rate: ([0-9]+)%", 1), F.lit("")).cast("bigint").alias("rate"))
+
+
+@query(f"SELECT lang, sum(length(text))::BIGINT AS n_chars, sum(len({_WORDS}))::BIGINT AS n_tokens, round(sum(length(text)) / sum(len({_WORDS})), 6) AS ratio FROM documents GROUP BY lang")
+def compression_ratio(spark, sf):
+    rows = _t(spark, sf, "documents").select("lang", F.length("text").alias("c"), F.size(T.words(F.col("text"))).alias("n")).groupBy("lang").agg(F.sum("c").alias("n_chars"), F.sum("n").alias("n_tokens"))
+    return rows.withColumn("ratio", F.round(F.col("n_chars") / F.col("n_tokens"), 6))
+
+
+@query("SELECT vec_id, list_sort(list_filter(e, lambda x: x >= list_reverse_sort(e)[8])) AS kept FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def topk_threshold(spark, sf):
+    """Values not below the eighth largest; ties stay."""
+    rows = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("least", F.element_at(F.sort_array("e", False), 8))
+    return rows.select("vec_id", F.array_sort(F.filter("e", lambda x: x >= F.col("least"))).alias("kept"))
+
+
+@query("SELECT arm, seed::BIGINT AS seed, dim::BIGINT AS dim, (row_number() OVER (ORDER BY arm, seed, dim) - 1) // 8 AS wave FROM (VALUES ('base'), ('big'), ('ours')) AS a(arm), (VALUES (0), (1)) AS s(seed), (VALUES (64), (96), (128)) AS d(dim)")
+def experiment_grid(spark, sf):
+    """A product of small parameter tables, in waves of eight."""
+    from .plans.rounds import grid
+
+    return grid(spark, {"arm": ["base", "big", "ours"], "seed": [0, 1], "dim": [64, 96, 128]}, 8)
+
+
+@query("SELECT event_type, round(avg(value - user_id), 4) AS kl FROM events GROUP BY event_type")
+def kl_estimate(spark, sf):
+    """The mean difference of two log probabilities of each token."""
+    return _t(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg(F.col("value") - F.col("user_id")), 4).alias("kl"))

@@ -61,3 +61,29 @@ def test_simulation_invariants(spark):
     assert rows == queries.econ_simulation(spark, FOLDER).collect() or sorted(rows) == sorted(queries.econ_simulation(spark, FOLDER).collect())
     made = queries.scenarios(spark, FOLDER).collect()
     assert 0 < len(made) <= len(rows) and {r.kind for r in made} <= {"sale", "missing", "restock", "player_sell", "turn_in", "small_talk"}
+
+
+def test_sale_texts_end_with_their_oracle(spark):
+    rows = queries.sale_scenario_text(spark, FOLDER).collect()
+    assert rows and all(r.text.startswith("Mara's Description: ") and "\n<START>\n" in r.text for r in rows)
+    for r in rows:
+        last = r.text.split("\n")[-1]
+        assert last == r.oracle if r.oracle else not last.startswith("[")
+
+
+def test_draws_are_distinct_and_null_where_too_few(spark):
+    from colloquy.operators import dialogue
+
+    items = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), ("b", "w")], "trade string, item string")
+    rows = spark.createDataFrame([(i, t) for i in range(30) for t in "abc"], "key long, trade string")
+    got = dialogue.draw(rows, items, "trade", "item", "key", "s", ["one", "two", "three"]).collect()
+    assert len(got) == 90
+    for r in got:
+        drawn = [x.item for x in (r.one, r.two, r.three) if x]
+        assert len(set(drawn)) == len(drawn) == {"a": 3, "b": 1, "c": 0}[r.trade]
+
+
+def test_waves_go_on_after_a_failure():
+    from colloquy.plans.rounds import run_waves
+
+    assert run_waves([lambda: 1, lambda: 1 / 0, lambda: 2], wave=2) == ["done", "failed: division by zero", "done"]
