@@ -131,7 +131,7 @@ def place_chain(place: Column, exit_: Column, event: Column, consequence: Column
 def parse_persona_turns(script: Column) -> Column:
     """npc and user turns of a script with speaker marks; null if a turn is empty or longer than 400 characters."""
     roles = F.regexp_extract_all(script, F.lit(r"\{\{(char|user)\}\}:"), 1)
-    said = F.transform(F.slice(F.split(script, r"\{\{char\}\}:|\{\{user\}\}:"), 2, 2147483647), T.collapse)
+    said = F.slice(F.transform(F.split(script, r"\{\{char\}\}:|\{\{user\}\}:"), T.collapse), F.lit(2), F.size(roles))
     turns = F.zip_with(roles, said, lambda r, s: F.struct(F.when(r == "char", "npc").otherwise("user").alias("role"), s.alias("text")))
     return T.let(turns, lambda t: F.when(F.forall(t, lambda x: F.length(x["text"]).between(1, 400)), t))
 

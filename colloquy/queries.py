@@ -809,12 +809,12 @@ def place_chain(spark, sf):
     return world.roads(spark).select("src", "dst", D.place_chain(F.col("src"), F.col("dst"), F.lit("the long frost"), F.lit("the pass was shut")).alias("text"))
 
 
-@query(rf"""WITH c AS (SELECT conv_id, list({{'r': CASE WHEN role = 'assistant' THEN 'npc' ELSE 'user' END, 't': trim(regexp_replace(text, '\s+', ' ', 'g'))}} ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+@query(rf"""WITH c AS (SELECT conv_id, list({{'r': CASE WHEN role = 'assistant' THEN 'npc' ELSE 'user' END, 't': trim(regexp_replace(substr(text, 1, 450 - 25 * conv_id % 400), '\s+', ' ', 'g'))}} ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
     SELECT conv_id, 'Description: Old Mara, a character.' || chr(10) || 'Scenario: a meeting with Old Mara.' || chr(10) || '<START>' || chr(10) || array_to_string([CASE WHEN x.r = 'npc' THEN 'Old Mara' ELSE 'Player' END || ': ' || x.t FOR x IN t], chr(10)) || chr(10) AS card
     FROM c WHERE len(t) >= 3 AND len([x FOR x IN t IF x.r = 'user']) >= 2 AND list_bool_and([length(x.t) BETWEEN 1 AND 400 FOR x IN t])""")
 def persona_record(spark, sf):
     """P8 and P9, from scripts with speaker marks."""
-    marked = F.transform("turns", lambda t: F.concat(F.lit("{{"), F.when(t["role"] == "assistant", "char").otherwise("user"), F.lit("}}: "), t["text"]))
+    marked = F.transform("turns", lambda t: F.concat(F.lit("{{"), F.when(t["role"] == "assistant", "char").otherwise("user"), F.lit("}}: "), F.substring(t["text"], F.lit(1), (450 - 25 * F.col("conv_id") % 400).cast("int"))))
     rows = C.gather(_t(spark, sf, "conversations")).select("conv_id", F.array_join(marked, "\n").alias("script"))
     return rows.select("conv_id", D.persona_record(F.lit("Old Mara"), F.lit(None).cast("string"), F.col("script")).alias("card")).where("card IS NOT NULL")
 

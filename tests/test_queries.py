@@ -87,3 +87,26 @@ def test_waves_go_on_after_a_failure():
     from colloquy.plans.rounds import run_waves
 
     assert run_waves([lambda: 1, lambda: 1 / 0, lambda: 2], wave=2) == ["done", "failed: division by zero", "done"]
+
+
+def test_persona_records(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.operators import dialogue
+
+    talk = "{{char}}: Description: hidden\n{{char}}: Hail  there.\n{{user}}: Who are you?\n{{char}}: A smith.\n{{user}}: Good."
+    rows = [
+        ("Mara", "A long road brings you here! And now. Sit.", talk),
+        ("Mara", None, talk),
+        ("mara", None, talk),
+        ("Mara", None, "{{user}}: One.\n{{char}}: Two."),
+        ("Mara", None, talk + "\n{{user}}: " + "x" * 401),
+        ("Mara", None, talk + "\n{{user}}: "),
+        ("Mara", None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, greeting string, script string")
+    got = {r.i: r.card for r in df.select("i", dialogue.persona_record(F.col("name"), F.col("greeting"), F.col("script")).alias("card")).collect()}
+    body = "\nScenario: a meeting with Mara.\n<START>\nMara: Hail there.\nPlayer: Who are you?\nMara: A smith.\nPlayer: Good.\n"
+    assert got.pop(0) == "Description: A long road brings you here! And now." + body
+    assert got.pop(1) == "Description: Mara, a character." + body
+    assert set(got.values()) == {None}
