@@ -3,12 +3,14 @@
 Each set of word shingles gets two small collections of band values, A and B, each value made of ``ROWS`` minhashes.
 Every pair (A_i, B_j) is a table key, so BANDS * BANDS tables cost only 2 * BANDS * ROWS minhash functions. Equal
 sets are one class from the start. In each bucket the member with the smallest id is the pivot, and the others are
-compared with it, so a bucket costs as many comparisons as it has members. Buckets of three or more that still hold
-different components are split by a further band value and get pivots again, level after level: members that only
-share a passage fall apart, near copies stay together, and each pair meets in many tables. Every link is confirmed
-by exact counts on both full sets; components are found by label propagation with pointer jumping on tables.
+compared with it, so a bucket costs as many comparisons as it has members. The documents of buckets of three or more
+that still hold different components then go through an exact prefix-filter join on their shingles, rarest first, with
+position and length filters: every pair of them that is similar enough and not yet in one component is found, however
+many share a passage. Every link is confirmed by exact counts on both full sets; components are found by label
+propagation with pointer jumping on tables.
 
-Two sets of similarity 0.85 meet in at least one table with probability 0.999, and more similar ones more surely.
+So a pair is lost only if it meets in no table: two sets of similarity 0.85 meet in at least one with probability
+0.999, of 0.8 with 0.994, and more similar ones more surely.
 
 Null and empty texts have the empty set, are linked with nothing, and are their own component. A text of fewer than
 five words has its whole sequence as one shingle. Texts of any length give whole sets. Ids are expected to be
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import TwoGenerations, chunks, materialize, spread, texts
 
-#: Band values in each collection, minhashes in a band value; how often a mixed bucket is split, and by how many values.
-BANDS, ROWS, LEVELS, FINER = 8, 3, 2, 2
+#: Band values in each collection, minhashes in a band value.
+BANDS, ROWS = 8, 3
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN = _RNG.integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64)
@@ -140,6 +142,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _sharing(sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``sets`` (id, shingles, component l) in different components that can be similar enough.
+
+    Shingles are ordered by how many sets have them; those of one component only come first and join nothing. Two sets
+    that are similar enough have their first common shingle early in both, and what follows it bounds what they share.
+    """
+    rows = sets.select("id", "l", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("digest"), F.explode("shingles").alias("g")).distinct()
+    across = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("g", "c")
+    order = rows.join(across, "g").groupBy("id", "l", "n", "digest").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("order"))
+    own = F.col("n") - F.size("order")
+    most = F.floor((100 - percent) * F.col("n") / 100) + 1 - own
+    early = order.where(most > 0).select("id", "l", "n", own.alias("own"), F.posexplode(F.slice("order", F.lit(1), most.cast("int"))))
+    early = materialize(early.select("id", "l", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), F.col("col.g").alias("g")), "early")
+    mine = ("id", "l", "n", "left")
+    x = early.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n")).select("g", *(F.col(c).alias(f"{c}x") for c in mine))  # the shorter of a pair
+    y = early.select(F.col("g").alias("gy"), *(F.col(c).alias(f"{c}y") for c in mine))
+    shorter = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("idx") < F.col("idy")))
+    enough = (100 + percent) * F.least("leftx", "lefty") >= percent * (F.col("nx") + F.col("ny"))
+    both = x.join(y, (F.col("g") == F.col("gy")) & (F.col("lx") != F.col("ly")) & shorter & enough & (100 * F.col("nx") >= percent * F.col("ny")))
+    return both.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+
+
 def _release(df: DataFrame) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that are done."""
     gc.collect()
@@ -152,15 +176,14 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
     signed = materialize(_signed(df, key, text, width), "signed")
     classes = materialize(signed.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    # One row for each table a class has an entry in; at level L the key also holds L * FINER further band values.
+    # One row for each table a class has an entry in.
     tables = [(i, j) for i in range(BANDS) for j in range(BANDS)]
     band = lambda k: F.col("bands")[k]
 
-    def key_of(i: int, j: int, level: int):
-        more = [band((i + k // 2 + 1) % BANDS) if k % 2 == 0 else band(BANDS + (j + k // 2 + 1) % BANDS) for k in range(level * FINER)]
-        return F.xxhash64(F.lit(i * BANDS + j), band(i), band(BANDS + j), *more)
+    def key_of(i: int, j: int):
+        return F.xxhash64(F.lit(i * BANDS + j), band(i), band(BANDS + j))
 
-    entries = classes.select(F.col("rep").alias("id"), "n", F.explode(F.array(*(key_of(i, j, 0) for i, j in tables))).alias("key"))
+    entries = classes.select(F.col("rep").alias("id"), "n", F.explode(F.array(*(key_of(i, j) for i, j in tables))).alias("key"))
     dealt = entries.repartition(F.col("key"))  # one exchange, used for the pivots and for the members
     pivots = dealt.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     stars = dealt.join(pivots, "key").select("key", "id", "n", "size", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na"))
@@ -180,26 +203,15 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
     if links.limit(1).count():
         linked = linked.union(links)
         labels = connected_components(linked)
-    tried = every.select("a", "b")
-    for level in range(1, LEVELS + 1):
-        mixed = materialize(_mixed(stars.where("size > 2").select("key", "id", "n"), labels).select("key", "id"), "mixed")
-        if not mixed.limit(1).count():
-            break
-        deeper = mixed.select("id").distinct().join(classes.select(F.col("rep").alias("id"), "n", "bands"), "id")
-        entries = deeper.select("id", "n", F.explode(F.array(*(F.struct(key_of(i, j, level - 1).alias("key"), key_of(i, j, level).alias("next")) for i, j in tables))).alias("k"))
-        entries = entries.select("id", "n", "k.key", "k.next").join(mixed, ["key", "id"], "left_semi").select("id", "n", F.col("next").alias("key"))
-        dealt = entries.repartition(F.col("key"))
-        pivots = dealt.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        stars = materialize(dealt.join(pivots, "key").select("key", "id", "n", "size", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na")), "stars")
-        _release(df)
-        new = stars.where(alike & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")).distinct()
-        new = materialize(_apart(new.join(tried, ["a", "b"], "left_anti"), labels), "pairs")
-        if new.limit(1).count():
-            links = materialize(_confirmed(new, sets, percent), "links")
-            if links.limit(1).count():
-                linked = linked.union(links)
-                labels = connected_components(linked)
-            tried = tried.union(new)
+    # What shares a bucket with documents of another component: all pairs of these, by an exact join.
+    mixed = materialize(_mixed(stars.where("size > 2").select("key", "id"), labels).select("id").distinct(), "mixed")
+    _release(df)
+    if mixed.limit(1).count():
+        new = _sharing(_label(sets.join(mixed, "id"), labels, "id", "l"), percent)
+        new = materialize(_apart(new.join(every, ["a", "b"], "left_anti"), labels), "pairs")
+        links = materialize(_confirmed(new, sets, percent), "links")
+        if links.limit(1).count():
+            labels = connected_components(linked.union(links))
 
     named = materialize(classes.select("class", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component")), "named")
     out = signed.select("id", "n", "class").join(named, "class", "left").withColumn("component", F.coalesce("component", "id"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -96,6 +97,27 @@ def test_near_duplicate_chains_and_groups(spark):
     assert {r.doc_id: r.component_id for r in near_dup.components(df).collect()} == want
 
 
+def test_near_copies_among_texts_of_one_template(spark):
+    """True pairs are found though all of their buckets have other texts of the template, none similar enough, as pivots."""
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(300)], {}
+    for k in range(500):
+        own = list(base)
+        for at in range(rng.randrange(55), 300, 55):
+            own[at] = f"x{k}_{at}"
+        texts[k] = own
+    for k in range(50):  # a near copy of each of the last texts
+        own = list(texts[499 - k])
+        for at in rng.sample(range(300), 4):
+            own[at] = f"y{k}_{at}"
+        texts[500 + k] = own
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    _, want = brute_components(texts)
+    assert len(set(want.values())) == 500
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.components(df).collect()} == want
+
+
 def test_near_duplicates_odd(odd, empty):
     assert near_dup.components(odd).count() == odd.count()
     assert near_dup.remove_near_duplicates(odd).columns == odd.columns
