@@ -2,8 +2,8 @@
 
 The first tier is a table of the corpus' most frequent fragments and their lengths, found by mergeable summaries
 over all texts (each partition's summary is bounded, and summaries are merged in a tree), and broadcast: at most
-``table_size`` entries. What the table lacks is encoded through a bounded cache in each worker. No pre-token ever
-goes through a shuffle, and the table decides speed only, never a count.
+``table_size`` entries, none longer than ``LONGEST`` bytes. What the table lacks is encoded through a bounded cache in
+each worker. No pre-token ever goes through a shuffle, and the table decides speed only, never a count.
 
 Null text is the empty text: 0 bytes, 0 tokens. Very long texts are counted whole. Rows keep their number; an empty
 table gives an empty table; other columns aren't read.
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from .common import chunks, spread, texts
 from .fragments import piece_counter
 
-#: Entries that a partition keeps while it counts, and that a summary carries.
-KEEP, SUMMARY = 300_000, 16_384
+#: Entries that a partition keeps while it counts, and that a summary carries; bytes of a fragment in them at most.
+KEEP, SUMMARY, LONGEST = 300_000, 16_384, 256
 
 
 def frequent_fragments(df: DataFrame, model: str, table_size: int = 16_384, text: str = "text") -> dict[bytes, int]:
@@ -35,6 +35,8 @@ def frequent_fragments(df: DataFrame, model: str, table_size: int = 16_384, text
             if not counter.by_fragment:
                 continue
             seen.update(counter.fragments(*counter.prepare(*texts(batch.column(text))))[0])
+            for f in [f for f in seen if len(f) > LONGEST]:
+                del seen[f]
             if len(seen) > KEEP:
                 seen = Counter(dict(seen.most_common(KEEP // 2)))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(dict(seen.most_common(SUMMARY))), 1)], pa.binary())], ["summary"])
@@ -57,13 +59,13 @@ def token_counts(df: DataFrame, model: str, limit: int = 4096, table_size: int =
     spark = df.sparkSession
     rows = spread(df.select(key, text), key)
     table = frequent_fragments(rows.select(text), model, table_size, text)
-    blob, sizes = b"".join(table), np.array([(len(f), n) for f, n in table.items()], dtype=np.uint16).reshape(-1, 2)
+    blob, sizes = b"".join(table), np.array([(len(f), n) for f, n in table.items()], dtype=np.int64).reshape(-1, 2)
     shared = spark.sparkContext.broadcast((blob, sizes.tobytes()))
 
     def run(batches):
         counter = piece_counter(model)
         body, pairs = shared.value
-        pairs = np.frombuffer(pairs, dtype=np.uint16).reshape(-1, 2).astype(np.int64)
+        pairs = np.frombuffer(pairs, dtype=np.int64).reshape(-1, 2)
         ends = np.cumsum(pairs[:, 0])
         known = {body[e - w : e]: n for e, w, n in zip(ends.tolist(), pairs[:, 0].tolist(), pairs[:, 1].tolist())}
         for batch in chunks(batches, text):

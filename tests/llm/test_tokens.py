@@ -48,6 +48,17 @@ def test_counts(request, table):
     assert sorted(map(str, (tuple(r) for r in token_counts.token_counts(df, PIECE).collect()))) == sorted(map(str, want))
 
 
+def test_counts_of_long_unbroken_texts(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = ["w" * 100_000, "w" * 100_000, "ab " * 5 + "e" * 70_000 + " cd", "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, PIECE).collect()} == {k: len(model.encode(t)) for k, t in enumerate(texts)}
+    table = token_counts.frequent_fragments(df, PIECE)
+    assert table and max(map(len, table)) <= token_counts.LONGEST
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_packing(request, library, table):
     df = request.getfixturevalue(table)
