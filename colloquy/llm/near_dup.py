@@ -148,12 +148,14 @@ def _sharing(sets: DataFrame, percent: int) -> DataFrame:
     Shingles are ordered by how many sets have them; those of one component only come first and join nothing. Two sets
     that are similar enough have their first common shingle early in both, and what follows it bounds what they share.
     """
-    rows = sets.select("id", "l", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("digest"), F.explode("shingles").alias("g")).distinct()
-    across = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("g", "c")
-    order = rows.join(across, "g").groupBy("id", "l", "n", "digest").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("order"))
+    docs = sets.select(F.xxhash64("id", "shingles").alias("uid"), "id", "l", F.size("shingles").cast("long").alias("n"), "shingles")
+    docs = materialize(docs.groupBy("uid", "id", "l", "n").agg(F.first("shingles").alias("shingles")), "mixed-sets")
+    across = docs.select("l", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("l").alias("lo"), F.max("l").alias("hi"))
+    across = materialize(across.where("lo <> hi").select("g", "c"), "across")
+    order = docs.select("uid", F.explode("shingles").alias("g")).join(across, "g").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("order"))
     own = F.col("n") - F.size("order")
     most = F.floor((100 - percent) * F.col("n") / 100) + 1 - own
-    early = order.where(most > 0).select("id", "l", "n", own.alias("own"), F.posexplode(F.slice("order", F.lit(1), most.cast("int"))))
+    early = order.join(docs.drop("shingles"), "uid").where(most > 0).select("id", "l", "n", own.alias("own"), F.posexplode(F.slice("order", F.lit(1), most.cast("int"))))
     early = materialize(early.select("id", "l", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), F.col("col.g").alias("g")), "early")
     mine = ("id", "l", "n", "left")
     x = early.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n")).select("g", *(F.col(c).alias(f"{c}x") for c in mine))  # the shorter of a pair
