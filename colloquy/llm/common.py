@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +24,54 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a folder below the shared one."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes what ``materialize`` wrote, once nothing that is still to run reads it."""
+    for df in written:
+        path = _PATHS.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def pack_arrays(arrays: list[np.ndarray]) -> bytes:
+    """Arrays in one compressed blob, whole numbers in as few bytes as they need."""
+    import zstandard
+
+    head, body = [len(arrays)], []
+    for a in arrays:
+        if a.dtype.kind == "i":
+            most = int(a.max()) if len(a) else 0
+            a = a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+        head += [ord(a.dtype.char), a.nbytes]
+        body.append(a.tobytes())
+    return zstandard.compress(np.array(head, dtype=np.int64).tobytes() + b"".join(body), 1)
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).tolist(), 8 + 16 * n, []
+    for kind, size in zip(head[::2], head[1::2]):
+        kind = np.dtype(chr(kind))
+        out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
+        at += size
+    return out
 
 
 def input_bytes(df: DataFrame) -> int:
