@@ -6,6 +6,7 @@ import math
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -34,9 +36,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    for made in _SCRATCH[-1:]:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch():
+    """A list of the tables that are written inside the block, for ``discard`` once they are consumed."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+
+
 def discard(*written: DataFrame) -> None:
     """Removes what ``materialize`` wrote, once nothing that is still to run reads it."""
     for df in written:

@@ -57,7 +57,7 @@ class ByteBpe:
     ``encode(data, offsets)`` gives each text's ids as little-endian unsigned 32-bit bytes.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -190,7 +190,7 @@ class PieceCounter:
     encoded without a prefix.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 

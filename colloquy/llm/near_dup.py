@@ -13,9 +13,11 @@ So a pair is lost only if it meets in no table: two sets of similarity 0.85 meet
 0.999, of 0.8 with 0.994, and more similar ones more surely.
 
 Null and empty texts have the empty set, are linked with nothing, and are their own component. A text of fewer than
-five words has its whole sequence as one shingle. Texts of any length give whole sets. Ids are expected to be
-unique; rows that repeat an id and text share its component and are all kept. A row without id joins its class but
-is no component's name, and isn't kept unless it stands alone. An empty table gives an empty table.
+five words has its whole sequence as one shingle. Texts of any length give whole sets. Rows that
+repeat an id and text share its component and are all kept. Rows with one id and different texts are one node: it
+is linked with whatever any of its texts is similar to. A row without id joins its class but is no component's name,
+and isn't kept unless it stands alone. A pair of similarity exactly at the limit is a link; of equal pivots the
+smaller id wins. Columns but key and text aren't read, so names can't clash. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, chunks, materialize, spread, texts
+from .common import TwoGenerations, chunks, discard, materialize, scratch, spread, texts
 
 #: Band values in each collection, minhashes in a band value.
 BANDS, ROWS = 8, 3
+#: Members of a pivot that one part compares with it.
+MEMBERS = 500
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN = _RNG.integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64)
@@ -51,7 +55,7 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-_WORDS: TwoGenerations = TwoGenerations(_word_hash)
+_WORDS: TwoGenerations = TwoGenerations(_word_hash, 100_000)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -126,20 +130,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "id").select("id", F.least("label", "near").alias("next"), F.col("label").alias("was"))
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
+        labels_ = labels.select("id", "label")
+        near = both.join(labels_.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        lower = labels_.join(near, "id").select("id", F.least("label", "near").alias("next"), F.col("label").alias("was"))
+        jump = labels_.select(F.col("id").alias("next"), F.col("label").alias("far"))
         new = materialize(lower.join(jump, "next", "left").select("id", F.least("next", "far").alias("label"), "was"), "labels")
+        discard(labels)
         if not new.where("label < was").limit(1).count():
+            discard(both)
             return new.select("id", "label")
-        labels = new.select("id", "label")
+        labels = new
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are at least ``percent`` hundredths similar."""
+    """The pairs (a, b) whose full sets are at least ``percent`` hundredths similar.
+
+    A pivot ``a`` with very many members is dealt out: its set goes once to each ``MEMBERS`` of them.
+    """
+    pairs = materialize(pairs, "wanted")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")).where("parts > 1")
     of = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"s{side}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    deal = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    left = pairs.join(of("b"), "b").join(parts, "a", "left").withColumn("part", deal).drop("parts")
+    right = of("a").join(parts, "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = left.join(right, ["a", "part"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct()
 
 
 def _sharing(sets: DataFrame, percent: int) -> DataFrame:
@@ -174,18 +189,22 @@ def _release(df: DataFrame) -> None:
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id, kept: a row per row of ``df``."""
-    spark = df.sparkSession
     signed = materialize(_signed(df, key, text, width), "signed")
-    classes = materialize(signed.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    with scratch() as made:
+        named = _components(df, signed, key, text, width, percent)
+    discard(*(x for x in made if x is not named))
+    out = signed.select("id", "n", "class").join(named, "class", "left").withColumn("component", F.coalesce("component", "id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"))
 
-    # One row for each table a class has an entry in.
-    tables = [(i, j) for i in range(BANDS) for j in range(BANDS)]
-    band = lambda k: F.col("bands")[k]
 
-    def key_of(i: int, j: int):
-        return F.xxhash64(F.lit(i * BANDS + j), band(i), band(BANDS + j))
+def _components(df: DataFrame, signed: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """class and component, written."""
+    classes = materialize(signed.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    entries = classes.select(F.col("rep").alias("id"), "n", F.explode(F.array(*(key_of(i, j) for i, j in tables))).alias("key"))
+    # One row for each table a class has an entry in: a value of each collection.
+    half = lambda at: F.slice("bands", at, BANDS)
+    first = classes.select(F.col("rep").alias("id"), "n", half(BANDS + 1).alias("second"), F.posexplode(half(1)).alias("i", "x"))
+    entries = first.select("id", "n", "i", "x", F.posexplode("second").alias("j", "y")).select("id", "n", F.xxhash64("i", "j", "x", "y").alias("key"))
     dealt = entries.repartition(F.col("key"))  # one exchange, used for the pivots and for the members
     pivots = dealt.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     stars = dealt.join(pivots, "key").select("key", "id", "n", "size", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na"))
@@ -215,9 +234,8 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
         if links.limit(1).count():
             labels = connected_components(linked.union(links))
 
-    named = materialize(classes.select("class", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component")), "named")
-    out = signed.select("id", "n", "class").join(named, "class", "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"))
+    named = classes.select("class", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    return materialize(named.select("class", F.coalesce("label", "rep").alias("component")), "named")
 
 
 def _label(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:

@@ -52,7 +52,7 @@ def shingles(text):
     return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets = {k: shingles(t) for k, t in texts.items()}
     parent = {k: k for k in texts}
 
@@ -65,7 +65,7 @@ def brute_components(texts):
     for i, a in enumerate(keys):
         for b in keys[:i]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return sets, {k: find(k) for k in keys}
@@ -118,6 +118,31 @@ def test_near_copies_among_texts_of_one_template(spark):
     assert {r.doc_id: r.component_id for r in near_dup.components(df).collect()} == want
 
 
+def test_near_duplicates_at_sf001(spark):
+    """A thousand documents, at both limits in use."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for percent in (80, 85):
+        _, want = brute_components(texts, percent)
+        assert {r.doc_id: r.component_id for r in near_dup.components(docs, percent=percent).collect()} == want
+
+
+def test_one_id_with_several_texts(spark):
+    """One node, linked with what either of its texts is similar to; a pivot with many members is dealt out."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "something else altogether in five words")]
+    got = {r.doc_id: r.component_id for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_hot_pivot(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "MEMBERS", 7)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(60)]
+    got = near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and {r.component_id for r in got} == {0}
+
+
 def test_near_duplicates_odd(odd, empty):
     assert near_dup.components(odd).count() == odd.count()
     assert near_dup.remove_near_duplicates(odd).columns == odd.columns

@@ -14,7 +14,7 @@ def test_pipeline(spark, docs):
 
     kept = {r.doc_id for r in quality.quality_verdicts(docs).where("kept").collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
-    _, component = brute_components(texts)
+    _, component = brute_components(texts, 80)
     left = {k: t for k, t in texts.items() if component[k] == k}
     clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(left.items()), "doc_id long, text string")).collect()}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
