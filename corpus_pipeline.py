@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    return near_dup.remove_near_duplicates(docs, width=5, percent=85)
+    """One document of each group of near-duplicates (five words, similarity of 0.8 or more): that with the smallest id."""
+    return near_dup.remove_near_duplicates(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
