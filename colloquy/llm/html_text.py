@@ -29,8 +29,8 @@ NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 MARK = re.compile(r'data-main="([01])"')
 
-#: Elements whose content is never text of the page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "button", "canvas", "audio", "video"}
+#: Elements whose content is never text of the page. Formulas, drawings and buttons keep their text, like any inline element.
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "select", "canvas", "audio", "video"}
 #: Elements that begin and end a block, by the group their weight is for.
 GROUPS = {
     "html": "html", "head": "head", "body": "body", "article": "article", "main": "main", "section": "section", "div": "div", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer",
@@ -123,7 +123,7 @@ class Tree:
                 if opening and not token.endswith("/>"):
                     end = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(source, at)
                     at = skip_to = end.end() if end else len(source)
-                    if name not in ("svg", "math", "button", "canvas"):
+                    if name != "canvas":
                         parts.append(" ")
             elif name == "a":
                 in_link = opening
@@ -204,7 +204,7 @@ def marginals(tree_arrays, weights: np.ndarray, pair: np.ndarray):
 
 
 #: The bound of the labelled sample, and its seed.
-PAGES, SEED = 300, 5
+PAGES, SEED = 400, 5
 
 
 def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[str]:
@@ -242,18 +242,20 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[str]:
 
     def main():
         u, body = rnd.random(), story()
-        if u < 0.4:
+        if u < 0.46:
             return f'<article data-main="1">{body}</article>'
-        if u < 0.5:
+        if u < 0.52:
             return f'<main><article {cls("main")} data-main="1">{body}</article>{junk() if rnd.random() < 0.5 else ""}</main>'
-        if u < 0.6:
+        if u < 0.58:
             return f'<main data-main="1">{body}</main>'
-        if u < 0.8:
+        if u < 0.7:
             return f'<div {cls("main")} data-main="1">{body}</div>'
-        if u < 0.87:
+        if u < 0.75:
             return f'<section data-main="1">{body}</section>'
-        if u < 0.93:
-            return f'<div><div data-main="1">{body}</div></div>'
+        if u < 0.93:  # nothing but the text tells that it is one
+            own = rnd.choice(["", f' id="{word()}{rnd.randint(1, 9)}"', f' class="{word()} {word()}"'])
+            body = rnd.choice([body, body, "<br><br>".join(words(15, 90).capitalize() + "." for _ in range(rnd.randint(1, 5)))])
+            return rnd.choice(['<div{}{}>{}</div>', '<div><div{}{}>{}</div></div>', '<table><tr><td{}{}>{}</td></tr></table>']).format(own, ' data-main="1"', body)
         return "".join(f'<p data-main="1">{prose()}</p>' for _ in range(rnd.randint(1, 6)))
 
     out = []

@@ -105,10 +105,15 @@ def _rate(of: str, scale: int, by: str) -> Column:
     return F.when(F.col(f"{by}_") > 0, F.least(F.expr(f"{of}_ * {scale} div {by}_"), F.lit(WIDTH - 1))).otherwise(0)
 
 
+def _group(column: str) -> Column:
+    """A name for each value; null's is empty, and the empty value's isn't."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def sketches(counted: DataFrame, group: list[str]) -> DataFrame:
     """group, rate, bucket, n: the histograms of texts that pass the base rule."""
     rates = F.array(*(F.struct(F.lit(name).alias("rate"), _rate(of, scale, by).cast("int").alias("bucket")) for name, of, scale, by, _ in RATES))
-    rows = counted.where(~base_failed()).select(*(F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"g{i}") for i, g in enumerate(group)), F.explode(rates).alias("x"))
+    rows = counted.where(~base_failed()).select(*(_group(g).alias(f"g{i}") for i, g in enumerate(group)), F.explode(rates).alias("x"))
     return rows.groupBy(*(f"g{i}" for i in range(len(group))), "x.rate", "x.bucket").agg(F.count("*").alias("n"))
 
 
@@ -147,7 +152,7 @@ BROADCAST_GROUPS, SALTS = 50_000, 32
 
 def with_verdict(counted: DataFrame, fences: DataFrame, group: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """Adds kept_ to rows with counts. ``fences`` must have been written: its rows are counted."""
-    out = counted.withColumn("g0", F.coalesce(F.col(group[0]).cast("string"), F.lit(""))).withColumn("g1", F.coalesce(F.col(group[1]).cast("string"), F.lit("")))
+    out = counted.withColumn("g0", _group(group[0])).withColumn("g1", _group(group[1]))
     if fences.count() <= BROADCAST_GROUPS:
         out = out.join(F.broadcast(fences), ["g0", "g1"], "left")
     else:
@@ -195,7 +200,7 @@ def oracle_sql() -> str:
     inside = " AND ".join(f"coalesce((SELECT {rate(of, scale, by)} BETWEEN f.low AND f.high FROM fences f WHERE f.lang = c.lang AND f.source = c.source AND f.rate = '{name}'), false)" for name, of, scale, by, _ in RATES)
     return rf"""
         WITH d AS (
-            SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+            SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text FROM documents
         ), w AS (
             SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
         ), tri AS (

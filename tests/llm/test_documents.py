@@ -34,6 +34,15 @@ def test_quality_counts(odd):
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_null_and_empty_groups_are_two(spark):
+    """Texts of null and of empty sources have thresholds of their own."""
+    plain = [(k, " ".join(f"word{(k + i) % 50}x{i}" for i in range(60)), "en", None) for k in range(40)]
+    marked = [(100 + k, " ".join(f"#w{(k + i) % 50}x{i}#" for i in range(60)), "en", "") for k in range(40)]
+    df = spark.createDataFrame(plain + marked, "doc_id long, text string, lang string, source string")
+    groups = quality.thresholds(quality.with_counts(df, "text", ["doc_id", "lang", "source"]))
+    assert sorted(r.g1 for r in groups.collect()) == ["", "="]
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, docs):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     rows = [r for r in quality.quality_verdicts(docs).collect() if r.doc_id in labels and not r.base_failed]

@@ -32,6 +32,31 @@ def test_held_out_pages():
     assert np.mean([(p[n] >= 0.5) == tree.mark[n] for _, n, _ in tree.blocks]) > 0.95
 
 
+def test_pages_of_another_kind():
+    """Other words, other templates, no hints about the article: blocks are told apart, and inline elements keep their text."""
+    import random
+
+    rnd = random.Random(3)
+    vocabulary = "river stone market winter letter garden window morning captain harbour silver village journey mountain evening candle".split()
+    sentence = lambda: " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(9, 30))).capitalize() + "."
+    right = total = 0
+    weights, pair = html_text.model()
+    for n in range(120):
+        own = [sentence() for _ in range(rnd.randint(2, 7))]
+        opening, closing = rnd.choice([('<div id="c1">', "</div>"), ("<div><div>", "</div></div>"), ('<div class="grid12 x7">', "</div>"), ("<article>", "</article>")])
+        junk = ["Home", "Prices", "Contact us", "All rights reserved 2024", "Accept cookies?"]
+        page = (
+            f'<html><body><ul class="menu"><li><a href="/">{junk[0]}</a></li><li><a href="/p">{junk[1]}</a></li><li><a href="/c">{junk[2]}</a></li></ul>'
+            + opening + "".join(f"<p>{x}</p>" for x in own) + closing + f'<div class="cookie-bar">{junk[4]} <button>OK</button></div><footer><p>{junk[3]}</p></footer></body></html>'
+        )
+        got = html_text.extract([page], weights, pair)[0].split("\n\n")
+        right += sum(x in got for x in own) + sum(x not in got for x in junk)
+        total += len(own) + len(junk)
+    assert right / total > 0.95
+    inline = "<article><p>See <button>this</button> word, where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <svg><title>tip</title><text>label</text></svg> and more words follow here.</p></article>"
+    assert html_text.extract([inline], weights, pair) == ["See this word, where x=2 holds label and more words follow here."]
+
+
 def test_marginals_are_exact():
     """Message passing against the sum over all labellings of a small tree."""
     from itertools import product
@@ -72,6 +97,7 @@ def test_archive_round_trip(spark, tmp_path):
     assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 6), 2: ("revisit", 6), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None)}
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 3
     head, body = bytes(got[6].record).split(b"\r\n\r\n", 1)
+    assert re.search(rb"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", head)
     assert head.startswith(b"WARC/1.1\r\n") and body == big.encode() + b"\r\n\r\n" and got[6].payload_digest == hashlib.sha1(big.encode()).hexdigest() and got[1].payload_bytes == 1200
     assert b"\r\nX: y" not in bytes(got[1].record)
 
