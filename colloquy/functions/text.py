@@ -111,15 +111,19 @@ def words(text: Column) -> Column:
 
 
 def repeats_ngram(text: Column, n: int = 3, most: int = 2) -> Column:
-    """Whether some n-gram occurs more than ``most`` times. Grams are sorted, so equal ones stand together: no pairs."""
-    grams = lambda w: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    """Whether some n-gram of words as they are occurs more than ``most`` times.
+
+    Grams are sorted by their 64-bit hashes, so equal ones stand together: no pairs, and no strings to sort.
+    """
+    gram = lambda w, i: F.xxhash64(*(F.element_at(w, i + k) for k in range(n)))
+    grams = lambda w: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: gram(w, i)))
     again = lambda g: F.exists(F.sequence(F.lit(1), F.size(g) - most), lambda i: F.element_at(g, i) == F.element_at(g, i + most))
-    return let(F.transform(words(text), lambda x: F.lower(x)), lambda w: F.when(F.size(w) <= n + 2, F.lit(False)).otherwise(let(grams(w), again)))
+    return let(words(text), lambda w: F.when(F.size(w) <= n + 2, F.lit(False)).otherwise(let(grams(w), again)))
 
 
 def chain_depth(card: Column, body: Column) -> Column:
-    """How many leading sentences each share a content word with the card or the sentences before."""
-    sentences = F.split(body, r"[.!?]\s")
+    """How many leading sentences each share a content word with the card or the sentences before; blank ones don't count."""
+    sentences = F.filter(F.split(body, r"[.!?]\s"), lambda s: s.rlike(r"\S"))
 
     def step(acc, s):
         own = content_words(s)

@@ -30,6 +30,19 @@ INTENTS = {
     "quest": ["quest", "task", "help", "need", "work", "do that", "want", "bring", "find", "carried", "clear"],
     "lore": ["story", "stories", "heard", "they say", "tale", "legend", "history", "old road", "folk", "mill", "bell", "chapel", "comet", "keep", "winter", "mother swore"],
     "place": ["here", "this place", "you stand", "village", "town", "city", "crossing", "friend"],
+    "object": ["sale", "sell", "wares", "buy", "coin", "gold", "price", "offer", "goods", "stock", "deal", "trade", "it is", "this", "that"],
+    "greeting": ["welcome", "well met", "greetings", "hello", "friend", "traveler", "visitor"],
+    "self": ["i am", "i'm", "my name", "they call me", "call me", "the name is", "i have", "i've", "my life", "my work", "my family", "my trade", "my living"],
+}
+# Fixed values. Questions whose answers are rewarded for a keyword, and the kind of keyword.
+QUESTIONS = {
+    "Tell me about yourself.": "self",
+    "What do you have for sale?": "sale",
+    "Do you have a quest for me?": "quest",
+    "Any stories from these parts?": "lore",
+    "Where are we?": "place",
+    "Hello.": "greeting",
+    "Hello there.": "greeting",
 }
 # Fixed values. Words of a trade, in the order in which trades are tried.
 TRADES = [

@@ -7,28 +7,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions import values
+from .dialogue import action_reward
+
+
+_BEAT = r"\*[^*]+\*"
+
+
+def _body(answer: Column) -> Column:
+    return F.regexp_replace(answer, r"^\s+|\s+$", "")
+
+
+def _strangers(body: Column, card: Column) -> tuple[Column, Column]:
+    """Whether a speaker claims a name that the card lacks, by either turn of phrase."""
+    claims = F.regexp_extract_all(body, F.lit("(?:I am|call me|I'm) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)"), 1)
+    named = F.regexp_extract_all(body, F.lit("([A-Z][a-z]+) is the name"), 1)
+    return tuple(F.exists(x, lambda c: ~F.contains(card, c)) for x in (claims, named))
 
 
 def flaws(answer: Column, card: Column, name: Column, kind: str) -> Column:
-    """The flaws of an answer, in a fixed order."""
-    t, low = F.ltrim(answer), F.lower(answer)
-    claims = F.regexp_extract(answer, r"\b(?:I am|call me|I'm) ([A-Z][a-z]+)", 1)
-    named = F.regexp_extract(answer, r"\b([A-Z][a-z]+) is the name", 1)
-    swap = lambda c: (c != "") & ~F.contains(card, c)
-    first_name = F.lower(F.element_at(F.split(name, " "), 1))
-    action = F.contains(answer, F.lit("*"))
+    """The flaws of an answer to a kind of question, in a fixed order."""
+    body = _body(answer)
+    claims, named = _strangers(body, card)
+    beat = body.rlike(_BEAT)
+    grounded = F.arrays_overlap(T.content_words(card), T.content_words(body))
     checks = [
-        (F.startswith(t, F.lit("Player:")) | F.startswith(t, F.lit("###")), "prefix_leak"),
-        (swap(claims), "persona_swap"),
-        (swap(named), "persona_swap"),
-        (F.contains(answer, F.lit("Description:")) | F.contains(answer, F.lit("Personality:")), "card_continuation"),
-        (T.is_toxic(answer), "template_echo"),
-        (action, "action_text"),
-        (~action & F.lit(kind == "identity") & ~F.contains(low, first_name), "identity_missed"),
-        (~T.has_intent(kind, answer), "intent_missed"),
-        (F.contains(answer, F.lit("<START>")) | F.contains(answer, F.lit("{{")), "marker_leak"),
-        (F.length(answer) < 16, "too_short"),
-        ((F.size(T.words(answer)) > 8) & T.repeats_ngram(answer), "repetition"),
+        (F.startswith(F.ltrim(answer), F.lit("Player:")) | F.startswith(F.ltrim(answer), F.lit("###")), "prefix_leak"),
+        (claims, "persona_swap"),
+        (named, "persona_swap"),
+        (F.contains(body, F.lit("Description:")) | F.contains(body, F.lit("<START>")), "card_continuation"),
+        (T.is_toxic(body), "template_echo"),
+        (beat, "action_text"),
+        (~beat & F.lit(kind == "identity") & ~F.contains(body, F.element_at(T.words(name), 1)), "identity_missed"),
+        (~T.has_intent(kind, body), "intent_missed"),
+        (F.contains(answer, F.lit("### Player")) | F.contains(answer, F.lit("### System")), "marker_leak"),
+        (F.length(body) < 16, "too_short"),
+        ((F.size(T.words(body)) > 8) & T.repeats_ngram(body), "repetition"),
+        (F.lit(kind == "object") & ~grounded, "object_ungrounded"),
     ]
     return F.array_compact(F.array(*(F.when(test, F.lit(flaw)) for test, flaw in checks)))
 
@@ -43,14 +58,33 @@ def pass_rate(graded: DataFrame) -> DataFrame:
     return graded.agg(F.count("*").alias("n"), F.count_if(F.size("flaws") == 0).alias("n_pass"), F.round(F.count_if(F.size("flaws") == 0) / F.greatest(F.count("*"), F.lit(1)), 6).alias("pass_rate"))
 
 
-def reward(answer: Column, question: Column, card: Column, kind: str) -> Column:
-    """Adherence in one number; some flaws end the count at once."""
-    t = F.ltrim(answer)
-    claims = F.regexp_extract(answer, r"\b(?:I am|call me|I'm) ([A-Z][a-z]+)", 1)
+def reward(answer: Column, question: Column, card: Column, stopped: Column, oracle: Column | None = None, mode: str = "off") -> Column:
+    """Adherence in one number; some flaws end the count at once.
+
+    ``stopped``: whether the answer ended by itself. ``oracle``: the action line that is right, or null; with it, modes
+    "v2" and "gate" hold the answer's first action line against it.
+    """
+    body = _body(answer)
     part = lambda test, yes, no=0.0: F.when(test, F.lit(yes)).otherwise(F.lit(no))
-    total = F.lit(1.0) + part(F.contains(answer, F.lit("*")), -0.5) + part(T.has_intent(kind, answer), 1.0, -0.5)
-    total += part(F.arrays_overlap(T.content_words(answer), T.content_words(card)), 1.0) + part(F.length(answer) >= 24, 0.5) + part(T.repeats_ngram(answer), -1.0)
-    return F.when((claims != "") & ~F.contains(card, claims), -1.0).when(F.startswith(t, F.lit("Player:")) | F.contains(answer, F.lit("Description:")), -0.5).when(T.is_toxic(answer), -0.5).otherwise(total)
+    claims, named = _strangers(body, card)
+    kind = F.create_map(*(F.lit(x) for pair in values.QUESTIONS.items() for x in pair))[question]
+    intent = kind.isNull()
+    for k in sorted(set(values.QUESTIONS.values())):
+        intent |= (kind == k) & T.has_intent(k, body)
+    own = F.array_except(F.regexp_extract_all(F.lower(card), F.lit("([a-z]{5,})"), 1), T.strings([*values.STOP_WORDS, "player", "start"]))
+    shared = F.arrays_overlap(own, F.regexp_extract_all(F.lower(body), F.lit("([a-z]{5,})"), 1))
+    total = F.lit(1.0) + part(body.rlike(_BEAT), -0.5) + part(intent, 1.0, -0.5) + part(shared, 1.0)
+    last = F.element_at(T.words(F.element_at(F.split(card, "\n"), -1)), 1)
+    total += F.when((question == "Tell me about yourself.") & F.contains(card, F.lit("\n")), part(F.contains(body, last), 0.5, -0.5)).otherwise(0.0)
+    total += part((question == "Is that thing on your table for sale?") & ~shared, -0.5)
+    total += part(stopped | F.contains(answer, F.lit("\nPlayer:")), 0.5, -0.5)
+    acts = T.action_lines(body)["actions"]
+    present, act = F.size(acts) > 0, T.parse_action(F.get(acts, F.lit(0)))
+    right = T.parse_action(F.lit(None).cast("string") if oracle is None else oracle)
+    total += action_reward(act, present, right, card, values.PLACES, mode)
+    total += part(F.length(body) >= 24, 0.5) + part(T.repeats_ngram(body), -1.0)
+    total = F.when(right.isNotNull() & ~present & F.lit(mode == "gate"), -1.0).otherwise(total)
+    return F.when(claims | named, -1.0).when(F.contains(body, F.lit("Description:")) | F.contains(body, F.lit("<START>")), -0.5).when(T.is_toxic(body), -0.5).otherwise(total)
 
 
 def advantage(df: DataFrame, group: str, score: str) -> DataFrame:

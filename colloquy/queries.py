@@ -180,7 +180,7 @@ def collapse_space(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", T.collapse(F.col("text")).alias("text"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, [lower(x) FOR x IN {_WORDS}] AS w FROM documents), g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS t(i)),
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS t(i)),
     c AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, g) GROUP BY doc_id)
     SELECT doc_id, len(w) > 5 AND coalesce(n, 0) > 2 AS repeats FROM w LEFT JOIN c USING (doc_id)""")
 def ngram_repeat(spark, sf):
@@ -331,11 +331,11 @@ def holdout_by_group(spark, sf):
     return mixture.holdout(_t(spark, sf, "conversations"), F.col("conv_id"), 53, 0.1).select("conv_id", "turn", "split")
 
 
-@query(f"""WITH k AS (SELECT doc_id, substr(text, 1, 100) AS text, CASE WHEN {keyed.sql_uniform('doc_id', 23)} < 0.03 THEN 'holdout' ELSE 'train' END AS split FROM documents WHERE length(text) > 200)
-    SELECT doc_id, text, split FROM k QUALIFY row_number() OVER (PARTITION BY split ORDER BY {keyed.sql_digest('doc_id', '23-order')}) <= CASE WHEN split = 'train' THEN 300 ELSE 10 END""")
+@query(f"""WITH k AS (SELECT doc_id, text, CASE WHEN {keyed.sql_uniform('doc_id', 23)} < 0.03 THEN 'holdout' ELSE 'train' END AS split FROM documents WHERE coalesce(text, '') <> '')
+    SELECT doc_id, text, split FROM k QUALIFY row_number() OVER (PARTITION BY split ORDER BY {keyed.sql_digest('doc_id', '23-order')}) <= CASE WHEN split = 'train' THEN 3000 ELSE 100 END""")
 def run_conversion(spark, sf):
     df = _t(spark, sf, "documents").select("doc_id", "text")
-    return mixture.convert(df, F.when(F.length("text") > 200, F.substring("text", 1, 100)), F.col("doc_id"), 23, 0.03, 300, 10).select("doc_id", "text", "split")
+    return mixture.convert(df, F.when(F.col("text") != "", F.col("text")), F.col("doc_id"), 23, 0.03, 3000, 100).select("doc_id", "text", "split")
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {keyed.sql_digest('doc_id', 41)} LIMIT 100")
@@ -410,20 +410,24 @@ def nonword_rate(spark, sf):
 # Grading
 
 _QUESTION = "SELECT conv_id, turn, text AS a, q FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations) WHERE role = 'assistant' AND q IS NOT NULL"
+_ANY = "(SELECT coalesce(bool_or(NOT contains(q, x)), false) FROM unnest(regexp_extract_all(b, '{pattern}', 1)) AS t(x))"
+_CLAIMS = _ANY.format(pattern="(?:I am|call me|I''m) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)")
+_NAMED = _ANY.format(pattern="([A-Z][a-z]+) is the name")
+_MOST = "coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM unnest(range(1, len(z.w) - 1)) AS t(i) GROUP BY z.w[i], z.w[i + 1], z.w[i + 2])), 0)"
 _GRADED = rf"""SELECT conv_id, turn, a, q, list_filter([
     CASE WHEN starts_with(ltrim(a, ' '), 'Player:') OR starts_with(ltrim(a, ' '), '###') THEN 'prefix_leak' END,
-    CASE WHEN regexp_extract(a, '\b(?:I am|call me|I''m) ([A-Z][a-z]+)', 1) <> '' AND NOT contains(q, regexp_extract(a, '\b(?:I am|call me|I''m) ([A-Z][a-z]+)', 1)) THEN 'persona_swap' END,
-    CASE WHEN regexp_extract(a, '\b([A-Z][a-z]+) is the name', 1) <> '' AND NOT contains(q, regexp_extract(a, '\b([A-Z][a-z]+) is the name', 1)) THEN 'persona_swap' END,
-    CASE WHEN contains(a, 'Description:') OR contains(a, 'Personality:') THEN 'card_continuation' END,
-    CASE WHEN {_TOXIC.replace('lower(text)', 'lower(a)')} THEN 'template_echo' END,
-    CASE WHEN contains(a, '*') THEN 'action_text' END,
-    CASE WHEN NOT contains(a, '*') AND NOT contains(lower(a), lower(string_split(q, ' ')[1])) THEN 'identity_missed' END,
-    CASE WHEN NOT {_sql_any("lower(a)", values.INTENTS["identity"])} THEN 'intent_missed' END,
-    CASE WHEN contains(a, '<START>') OR contains(a, '{{{{') THEN 'marker_leak' END,
-    CASE WHEN length(a) < 16 THEN 'too_short' END,
-    CASE WHEN rep THEN 'repetition' END], lambda x: x IS NOT NULL) AS flaws
-    FROM (SELECT z.*, len(w) > 8 AND coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM unnest(range(1, len(z.w) - 1)) AS t(i) GROUP BY z.w[i] || ' ' || z.w[i + 1] || ' ' || z.w[i + 2])), 0) > 2 AS rep FROM (
-        SELECT *, [lower(x) FOR x IN regexp_split_to_array(a, '\s+') IF x <> ''] AS w FROM ({_QUESTION})) z)""".replace("{{{{", "{{")
+    CASE WHEN {_CLAIMS} THEN 'persona_swap' END,
+    CASE WHEN {_NAMED} THEN 'persona_swap' END,
+    CASE WHEN contains(b, 'Description:') OR contains(b, '<START>') THEN 'card_continuation' END,
+    CASE WHEN {_TOXIC.replace('lower(text)', 'lower(b)')} THEN 'template_echo' END,
+    CASE WHEN beat THEN 'action_text' END,
+    CASE WHEN NOT beat AND NOT contains(b, list_filter(regexp_split_to_array(q, '\s+'), lambda x: x <> '')[1]) THEN 'identity_missed' END,
+    CASE WHEN NOT {_sql_any("lower(b)", values.INTENTS["identity"])} THEN 'intent_missed' END,
+    CASE WHEN contains(a, '### Player') OR contains(a, '### System') THEN 'marker_leak' END,
+    CASE WHEN length(b) < 16 THEN 'too_short' END,
+    CASE WHEN len(w) > 8 AND most > 2 THEN 'repetition' END], lambda x: x IS NOT NULL) AS flaws
+    FROM (SELECT z.*, {_MOST} AS most FROM (
+        SELECT *, regexp_matches(b, '\*[^*]+\*') AS beat, [x FOR x IN regexp_split_to_array(b, '\s+') IF x <> ''] AS w FROM (SELECT *, regexp_replace(a, '^\s+|\s+$', '', 'g') AS b FROM ({_QUESTION}))) z)"""
 
 
 def _graded(spark, sf):
@@ -450,13 +454,23 @@ def pass_fail_split(spark, sf):
     return _graded(spark, sf).select("conv_id", "turn", F.when(F.size("flaws") == 0, "pass").otherwise("fail").alias("outcome"))
 
 
-@query(rf"""WITH g AS ({_GRADED}) SELECT conv_id, turn, CASE WHEN list_contains(flaws, 'persona_swap') AND regexp_extract(a, '\b(?:I am|call me|I''m) ([A-Z][a-z]+)', 1) <> '' AND NOT contains(q, regexp_extract(a, '\b(?:I am|call me|I''m) ([A-Z][a-z]+)', 1)) THEN -1.0
-    WHEN starts_with(ltrim(a, ' '), 'Player:') OR contains(a, 'Description:') THEN -0.5 WHEN list_contains(flaws, 'template_echo') THEN -0.5
-    ELSE 1.0 + CASE WHEN contains(a, '*') THEN -0.5 ELSE 0 END + CASE WHEN NOT list_contains(flaws, 'intent_missed') THEN 1.0 ELSE -0.5 END + CASE WHEN list_has_any({_CONTENT('a')}, {_CONTENT('q')}) THEN 1.0 ELSE 0 END
-    + CASE WHEN length(a) >= 24 THEN 0.5 ELSE 0 END + CASE WHEN rep3 THEN -1.0 ELSE 0 END END::DOUBLE AS reward FROM (SELECT g.*, len(w) > 5 AND coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM unnest(range(1, len(h.w) - 1)) AS t(i) GROUP BY h.w[i] || ' ' || h.w[i + 1] || ' ' || h.w[i + 2])), 0) > 2 AS rep3
-    FROM (SELECT *, [lower(x) FOR x IN regexp_split_to_array(a, '\s+') IF x <> ''] AS w FROM g) h, LATERAL (SELECT h.conv_id, h.turn, h.a, h.q, h.flaws) g)""")
+_WORDS5 = "regexp_extract_all(lower({t}), '[a-z]{{5,}}')"
+_OWN5 = f"list_filter({_WORDS5.format(t='q')}, lambda x: NOT list_contains({_list([*values.STOP_WORDS, 'player', 'start'])}, x))"
+_ASKED = list(values.QUESTIONS)
+_RIGHT = " ".join(f"WHEN '{k}' THEN {_sql_any('lower(b)', values.INTENTS[v])}" for k, v in values.QUESTIONS.items())
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN {_CLAIMS} OR {_NAMED} THEN -1.0 WHEN contains(b, 'Description:') OR contains(b, '<START>') THEN -0.5 WHEN {_TOXIC.replace('lower(text)', 'lower(b)')} THEN -0.5
+    ELSE 1.0 + CASE WHEN regexp_matches(b, '\*[^*]+\*') THEN -0.5 ELSE 0 END + CASE WHEN CASE ask {_RIGHT} END THEN 1.0 ELSE -0.5 END + CASE WHEN list_has_any({_OWN5}, {_WORDS5.format(t='b')}) THEN 1.0 ELSE 0 END
+    + CASE WHEN ask = 'Tell me about yourself.' AND contains(q, chr(10)) THEN CASE WHEN contains(b, list_filter(regexp_split_to_array(string_split(q, chr(10))[-1], '\s+'), lambda x: x <> '')[1]) THEN 0.5 ELSE -0.5 END ELSE 0 END
+    + CASE WHEN turn % 2 = 0 OR contains(a, chr(10) || 'Player:') THEN 0.5 ELSE -0.5 END
+    + CASE WHEN len(list_filter(string_split(b, chr(10)), lambda x: starts_with(trim(x), '['))) > 0 THEN -1.0 ELSE 0 END
+    + CASE WHEN length(b) >= 24 THEN 0.5 ELSE 0 END + CASE WHEN len(w) > 5 AND most > 2 THEN -1.0 ELSE 0 END END::DOUBLE AS reward
+    FROM (SELECT z.*, {_MOST} AS most FROM (SELECT *, [x FOR x IN regexp_split_to_array(b, '\s+') IF x <> ''] AS w FROM (SELECT *, {_list(_ASKED)}[1 + conv_id % {len(_ASKED)}] AS ask, regexp_replace(a, '^\s+|\s+$', '', 'g') AS b FROM ({_QUESTION}))) z)""")
 def reward_score(spark, sf):
-    return C.questions(_t(spark, sf, "conversations")).select("conv_id", "turn", grading.reward(F.col("text"), F.col("question"), F.col("question"), "identity").alias("reward"))
+    """G5. The question asked is dealt out by conversation, so that each kind of keyword is used; no action line of the table parses."""
+    asked = F.element_at(T.strings(_ASKED), (F.col("conv_id") % len(_ASKED) + 1).cast("int"))
+    return C.questions(_t(spark, sf, "conversations")).select("conv_id", "turn", grading.reward(F.col("text"), asked, F.col("question"), F.col("turn") % 2 == 0).alias("reward"))
 
 
 @query("""WITH g AS (SELECT event_id, user_id, value, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s, max(abs(value - m)) OVER (PARTITION BY user_id) AS far FROM (SELECT *, avg(value) OVER (PARTITION BY user_id) AS m FROM events) WINDOW w AS (PARTITION BY user_id))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.operators import grading
 
 
 def one(spark, make, *values):
@@ -70,3 +71,54 @@ def test_names(spark):
     assert one(spark, T.clean_name, "ab") is None and one(spark, T.clean_name, "Spiderling") is None
     assert one(spark, T.capitalise, "hELLO World") == "Hello world"
     assert one(spark, T.anchor_word, "the older stones") == "older" or one(spark, T.anchor_word, "the older stones") == "stones"
+
+
+def flaws_of(spark, answer, card, kind="identity", name="Mara Venn"):
+    return one(spark, lambda a, c, n: grading.flaws(a, c, n, kind), answer, card, name)
+
+
+def test_flaws_by_hand(spark):
+    card = "Mara Venn sells lanterns in Karhold."
+    fine = "I am Mara Venn, and my trade is lanterns."
+    assert flaws_of(spark, fine, card) == []
+    assert flaws_of(spark, "I am Mara Venn. I am Bob, and my trade is lanterns.", card) == ["persona_swap"]
+    assert flaws_of(spark, "I'm Bob the smith. Ned is the name, says Mara.", card) == ["persona_swap", "persona_swap"]
+    assert flaws_of(spark, "I am Mara, and 3 * 4 is what I sell.", card) == []
+    assert flaws_of(spark, "*nods* I am called nothing today", card) == ["action_text"]
+    assert flaws_of(spark, "I am mara, a seller of lanterns", card) == ["identity_missed"]
+    assert flaws_of(spark, "Player: I am Mara, of the lanterns", card) == ["prefix_leak"]
+    assert flaws_of(spark, "I am Mara of Karhold <START> again", card) == ["card_continuation"]
+    assert flaws_of(spark, "I am Mara. Personality: warm {{user}}", card) == []
+    assert flaws_of(spark, "I am Mara of Karhold ### System now", card) == ["marker_leak"]
+    assert flaws_of(spark, "Mara", card) == ["intent_missed", "too_short"]
+    assert flaws_of(spark, "I am Mara a b c a b c a b c", card) == ["repetition"] and flaws_of(spark, "I am Mara a b c A b c a b c", card) == []
+    assert flaws_of(spark, "That one is not cheap, friend.", card, "object") == ["object_ungrounded"] and flaws_of(spark, "This lanterns lot is fine.", card, "object") == []
+
+
+def reward_of(spark, answer, question, card, stopped=True, oracle=None, mode="off"):
+    return one(spark, lambda a, q, c, o: grading.reward(a, q, c, F.lit(stopped), o, mode), answer, question, card, oracle)
+
+
+def test_rewards_by_hand(spark):
+    card, ask = "A seller of lanterns.\nMara", "What do you have for sale?"
+    assert reward_of(spark, "I am Bob", ask, card) == -1.0 and reward_of(spark, "Bob is the name", ask, card) == -1.0
+    assert reward_of(spark, "Mara here <START>", ask, card) == -0.5 and reward_of(spark, "They say you sell gold", ask, card) == -0.5
+    fine = "Fine lanterns, for gold or silver."
+    assert reward_of(spark, fine, ask, card) == 1 + 1 + 1 + 0.5 + 0.5
+    assert reward_of(spark, fine, ask, card, stopped=False) == 1 + 1 + 1 - 0.5 + 0.5
+    assert reward_of(spark, fine + "\nPlayer: so", ask, card, stopped=False) == 4.0
+    assert reward_of(spark, "No.", ask, card) == 1 - 0.5 + 0.5
+    assert reward_of(spark, "No.", "What is new?", card) == 1 + 1 + 0.5
+    assert reward_of(spark, "I am Mara.", "Tell me about yourself.", card) == 1 + 1 + 0.5 + 0.5
+    assert reward_of(spark, "I am tired.", "Tell me about yourself.", card) == 1 + 1 - 0.5 + 0.5
+    assert reward_of(spark, "No.", "Is that thing on your table for sale?", card) == 1 + 1 - 0.5 + 0.5
+    assert reward_of(spark, "*waves* No.", ask, card) == 1 - 0.5 - 0.5 + 0.5
+    assert reward_of(spark, "[GOTO: Karhold]", ask, card) == pytest.approx(1 - 0.5 + 0.5 - 0.3) and reward_of(spark, "[GOTO: Nowhere]", ask, card) == 1 - 0.5 + 0.5 - 1
+    assert reward_of(spark, "[GOTO: Karhold]", ask, card, oracle="[GOTO: Karhold]", mode="v2") == 1 - 0.5 + 0.5 + 1
+    assert reward_of(spark, "No.", ask, card, oracle="[GOTO: Karhold]", mode="gate") == -1.0
+    assert reward_of(spark, "No.", ask, card, oracle="[GOTO: Karhold]", mode="v2") == pytest.approx(1 - 0.5 + 0.5 - 0.8)
+
+
+def test_repeats_keep_case_and_blank_sentences_dont_count(spark):
+    assert not one(spark, T.repeats_ngram, "A b c a b c a B c")
+    assert one(spark, T.chain_depth, "lantern seller", " . Lantern light. ! lantern again") == 2
