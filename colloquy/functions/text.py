@@ -72,6 +72,12 @@ def stop_cut(text: Column, markers: list[str]) -> tuple[Column, Column]:
     return F.when(at.isNull(), text).otherwise(F.substring(text, F.lit(1), at - 1)), at.isNotNull()
 
 
+def last_line_after(text: Column, marker: str) -> Column:
+    """The rest of the line after the last marker; empty without one."""
+    rest = F.substring_index(F.substring_index(text, marker, -1), "\n", 1)
+    return F.when(F.contains(text, F.lit(marker)), rest).otherwise("")
+
+
 def parse_action(line: Column) -> Column:
     """verb, arg, price of an action line; null if it is none."""
     verbs = "|".join([*values.ARGUMENT_VERBS, *values.PRICED_VERBS])

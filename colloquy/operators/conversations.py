@@ -74,3 +74,22 @@ def keep_instruction(first: Column, rest: Column, budget: int) -> Column:
     room = F.greatest(F.lit(budget) - F.size(first), F.lit(0))
     tail = F.slice(rest, F.greatest(F.lit(1), F.size(rest) - room + 1), room)
     return F.when(F.size(first) >= budget, left_truncate(first, budget)).otherwise(F.concat(first, tail))
+
+
+def game_cards(turns: DataFrame, description: Column, scenario: Column, speaker: str = "speaker", text: str = "text", key: str = "game", order: str = "turn", limit: int = 400, least: int = 16) -> DataFrame:
+    """A card for each turn of a game in language, with up to three turns before it as they were trimmed.
+
+    Turns are cut at a sentence; shorter ones than ``least`` make no card but still lead in to later ones. Turns
+    without text or speaker are no turns.
+    """
+    said = turns.where((F.col(text) != "") & (F.col(speaker) != "")).withColumn("line_", F.concat(F.col(speaker), F.lit(": "), T.truncate_at_sentence(F.trim(F.col(text)), limit)))
+    before = F.collect_list("line_").over(Window.partitionBy(key).orderBy(order).rowsBetween(-3, -1))
+    head = [F.concat(F.lit("Description: "), description), F.concat(F.lit("Scenario: "), scenario), F.lit("<START>")]
+    card = F.concat(F.array_join(F.concat(F.array(*head), F.col("before_"), F.array("line_")), "\n"), F.lit("\n"))
+    long = F.length("line_") - F.length(F.col(speaker)) - 2 >= least
+    return said.withColumn("before_", before).where(long).withColumn("card", card).drop("before_", "line_")
+
+
+def move_lines(moves: DataFrame, title: Column, move: Column, least: int = 3) -> DataFrame:
+    """Adds line, the continuation of a move log; moves shorter than ``least`` are left out."""
+    return moves.where(F.length(move) >= least).withColumn("line", F.concat(title, F.lit(": the position calls for "), move, F.lit(".\n")))

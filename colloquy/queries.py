@@ -287,16 +287,41 @@ def instr_preserving_truncate(spark, sf):
     return rows.select("conv_id", C.keep_instruction(F.col("w")[0], F.flatten(F.slice("w", F.lit(2), F.size("w"))), 60).alias("words"))
 
 
+_CUT = """CASE WHEN length(t) <= 400 THEN t WHEN best > 160 THEN substr(cut, 1, best + 1) ELSE rtrim(cut, ' ') || '.' END"""
+_LINES = f"""SELECT conv_id, turn, role, {_CUT} AS said FROM (SELECT *, greatest(CASE WHEN contains(cut, '. ') THEN length(cut) - strpos(reverse(cut), ' .') - 1 ELSE -1 END, CASE WHEN contains(cut, '! ') THEN length(cut) - strpos(reverse(cut), ' !') - 1 ELSE -1 END,
+    CASE WHEN contains(cut, '? ') THEN length(cut) - strpos(reverse(cut), ' ?') - 1 ELSE -1 END) AS best FROM (SELECT conv_id, turn, role, trim(text) AS t, substr(trim(text), 1, 400) AS cut FROM conversations WHERE text <> '' AND role <> ''))"""
+
+
+@query(f"""SELECT conv_id, turn, 'Description: ' || role || ', playing a game, reasoning under strategic uncertainty.' || chr(10) || 'Scenario: A round of a game in progress.' || chr(10) || '<START>' || chr(10)
+    || array_to_string(list_concat(before, [role || ': ' || said]), chr(10)) || chr(10) AS card FROM (SELECT *, coalesce(list(role || ': ' || said) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS before FROM ({_LINES})) WHERE length(said) >= 16""")
+def game_cards(spark, sf):
+    """A card for each turn of a game in language."""
+    rows = C.game_cards(_t(spark, sf, "conversations"), F.concat("role", F.lit(", playing a game, reasoning under strategic uncertainty.")), F.lit("A round of a game in progress."), "role", "text", "conv_id", "turn")
+    return rows.select("conv_id", "turn", "card")
+
+
+@query("SELECT p_partkey, p_type || ': the position calls for ' || p_name || '.' || chr(10) AS line FROM part WHERE length(p_name) >= 3")
+def move_log_lines(spark, sf):
+    """P17."""
+    return C.move_lines(_t(spark, sf, "part"), F.col("p_type"), F.col("p_name")).select("p_partkey", "line")
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(text, ' the ') THEN string_split(substr(text, length(text) - strpos(reverse(text), ' eht ') + 2), chr(10))[1] ELSE '' END AS rest FROM conversations")
+def last_line_after(spark, sf):
+    """The question of a scenario's prompt is what follows its last marker."""
+    return _t(spark, sf, "conversations").select("conv_id", "turn", T.last_line_after(F.col("text"), " the ").alias("rest"))
+
+
 # Mixture
 
 
 def _mixture(spark, sf):
-    docs = mixture.cap(mixture.clean(_t(spark, sf, "documents").select("doc_id", "source", "text")), "source", "doc_id", 30)
+    docs = mixture.cap(mixture.clean(_t(spark, sf, "documents").select("doc_id", "source", "text")), "source", "doc_id", values.CAPS["template"])
     turns = mixture.clean(_t(spark, sf, "conversations").where("role <> 'system'").select("text"), strip=False)
     return docs.select("source", "text").union(turns.select(F.lit("conversations"), "text")).union(_t(spark, sf, "benchmark").select(F.lit("benchmark"), "text"))
 
 
-_MIX = f"""SELECT source, {_BEATS} AS text FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE NOT {_TOXIC}) WHERE n <= 30
+_MIX = f"""SELECT source, {_BEATS} AS text FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE NOT {_TOXIC}) WHERE n <= {values.CAPS['template']}
     UNION ALL SELECT 'conversations', text FROM conversations WHERE role <> 'system' AND NOT {_TOXIC} UNION ALL SELECT 'benchmark', text FROM benchmark"""
 
 

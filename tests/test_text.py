@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.operators import conversations as C
 from colloquy.operators import grading
 
 
@@ -122,3 +123,22 @@ def test_rewards_by_hand(spark):
 def test_repeats_keep_case_and_blank_sentences_dont_count(spark):
     assert not one(spark, T.repeats_ngram, "A b c a b c a B c")
     assert one(spark, T.chain_depth, "lantern seller", " . Lantern light. ! lantern again") == 2
+
+
+def test_game_cards_by_hand(spark):
+    """Short turns make no card but lead in; at most three turns before; turns without text are none."""
+    said = ["Good evening to everyone here.", "Yes.", None, "I think it was the miller's son.", "", "Then we should vote before nightfall.", "I agree with what was said before."]
+    df = spark.createDataFrame([(1, i, "AB"[i % 2], t) for i, t in enumerate(said)], "game long, turn long, speaker string, text string")
+    rows = {r.turn: r.card for r in C.game_cards(df, F.lit("d"), F.lit("s")).collect()}
+    head = "Description: d\nScenario: s\n<START>\n"
+    assert sorted(rows) == [0, 3, 5, 6]
+    assert rows[0] == head + "A: Good evening to everyone here.\n"
+    assert rows[3] == head + "A: Good evening to everyone here.\nB: Yes.\nB: I think it was the miller's son.\n"
+    assert rows[6] == head + "B: Yes.\nB: I think it was the miller's son.\nB: Then we should vote before nightfall.\nA: I agree with what was said before.\n"
+
+
+def test_moves_and_markers(spark):
+    df = spark.createDataFrame([("chess", "e4"), ("chess", "Nf3"), ("go", None)], "title string, move string")
+    assert [r.line for r in C.move_lines(df, F.col("title"), F.col("move")).collect()] == ["chess: the position calls for Nf3.\n"]
+    cut = lambda t: one(spark, lambda c: T.last_line_after(c, "Player: "), t)
+    assert cut("Player: a\nPlayer: b c\nMara:") == "b c" and cut("none") == "" and cut("Player: ") == ""
