@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import keyed
+from .episodes import ranked
 
 
 def bpe_encoder(path: str, end_id: int):
@@ -44,8 +45,27 @@ def left_pad(df: DataFrame, batch: str, ids: str, pad: int = 0) -> DataFrame:
 
 
 def round_robin(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """Adds slot: rows of each group dealt out in turn."""
-    return df.withColumn("slot", F.pmod(F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1, F.lit(n)))
+    """Adds slot: rows of each group dealt out in turn, from the least ``order`` (a number) on."""
+    turned = df.withColumn("falling_", -F.col(order))
+    return ranked(turned, by, [F.desc_nulls_last("falling_")], "falling_").withColumn("slot", F.pmod(F.col("rank") - 1, F.lit(n))).drop("rank", "of", "falling_")
+
+
+def with_prefix_of(df: DataFrame, other: DataFrame, order: str, ids: str, most: int) -> DataFrame:
+    """All rows of ``df``, then the first ``most`` tokens of ``other``, whose last row is cut where they end: part, order, ids."""
+    from ..sources.sinks import token_offsets
+
+    sized = other.select(F.col(order), F.col(ids), F.size(ids).cast("bigint").alias("n_"))
+    head = token_offsets(sized, order, "n_").where(F.col("offset") < most).withColumn(ids, F.slice(ids, F.lit(1), F.least(F.col("n_"), most - F.col("offset")).cast("int")))
+    return df.select(F.lit(0).alias("part"), order, ids).union(head.select(F.lit(1), order, ids))
+
+
+def split_at(df: DataFrame, ids: str, offset: str, total: int, fraction: float = 0.005, least: int = 1) -> DataFrame:
+    """Tokens before the last ``fraction`` as train, the rest as val: a row across the border gives one of each. Adds split."""
+    border = F.lit(total - max(least, int(total * fraction))) - F.col(offset)
+    at = F.greatest(F.least(border, F.size(ids)), F.lit(0)).cast("int")
+    parts = F.array(F.struct(F.lit("train").alias("split"), F.slice(ids, F.lit(1), at).alias("i")), F.struct(F.lit("val").alias("split"), F.slice(ids, at + 1, F.size(ids)).alias("i")))
+    rows = df.withColumn("x_", F.explode(parts)).where(F.size("x_.i") > 0)
+    return rows.withColumn("split", F.col("x_.split")).withColumn(ids, F.col("x_.i")).drop("x_")
 
 
 def anchored(times: Column, gap: int, most: int) -> Column:
@@ -57,3 +77,19 @@ def anchored(times: Column, gap: int, most: int) -> Column:
 
     start = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("size"), F.lit(-1).alias("batch"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(times, start, step, lambda a: a["out"])
+
+
+def anchored_batches(df: DataFrame, by: str, time: str, key: str, gap: int, most: int) -> DataFrame:
+    """by, key and batch of each arrival, as ``anchored`` numbers them.
+
+    After a pause longer than ``gap`` a batch opens in any case, so only what lies between two such pauses is folded as
+    one row; the numbers before are added by a running sum.
+    """
+    w = Window.partitionBy(by).orderBy("t_", key)
+    rows = df.select(by, key, F.col(time).alias("t_")).withColumn("new_", F.coalesce(F.col("t_") - F.lag("t_").over(w) > gap, F.lit(True)).cast("int"))
+    rows = rows.withColumn("session_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    folded = rows.groupBy(by, "session_").agg(F.array_sort(F.collect_list(F.struct(F.col("t_"), F.col(key)))).alias("e_"))
+    folded = folded.withColumn("b_", anchored(F.transform("e_", lambda x: x["t_"]), gap, most))
+    before = F.sum(F.array_max("b_") + 1).over(Window.partitionBy(by).orderBy("session_").rowsBetween(Window.unboundedPreceding, -1))
+    folded = folded.withColumn("before_", F.coalesce(before, F.lit(0)))
+    return folded.select(by, "before_", F.inline(F.arrays_zip(F.col(f"e_.{key}").alias(key), F.col("b_").alias("b_")))).select(by, key, (F.col("b_") + F.col("before_")).cast("int").alias("batch"))

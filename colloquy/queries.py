@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import keyed, values
 from .functions import text as T
@@ -163,9 +162,12 @@ def content_words(spark, sf):
 
 @query(f"""WITH b AS (SELECT list_distinct(flatten(list({_CONTENT('text')}))) AS w FROM benchmark) SELECT doc_id, len(list_intersect({_CONTENT('text')}, b.w))::BIGINT AS shared FROM documents, b""")
 def content_overlap(spark, sf):
-    """U6. The benchmark's words are a bounded list: one row a benchmark item."""
+    """U6. The benchmark's words go along as one array if they are few, else words are joined."""
     bench = _t(spark, sf, "benchmark").select(F.explode(T.content_words(F.col("text"))).alias("word")).distinct()
     docs = _t(spark, sf, "documents").select("doc_id", T.content_words(F.col("text")).alias("w"))
+    if bench.count() <= 2000:
+        listed = bench.agg(F.collect_list("word").alias("known"))
+        return docs.join(F.broadcast(listed)).select("doc_id", F.size(F.array_intersect("w", "known")).cast("bigint").alias("shared"))
     hits = docs.select("doc_id", F.explode("w").alias("word")).join(bench, "word").groupBy("doc_id").agg(F.count("*").alias("shared"))
     return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"))
 
@@ -672,9 +674,8 @@ def left_pad_batch(spark, sf):
 @query()
 def anchored_microbatch(spark, sf):
     """T3. A fold from each batch's first arrival: held against plain Python in the tests."""
-    rows = _t(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "event_id"))).alias("e"))
-    rows = rows.withColumn("b", tokens.anchored(F.transform("e", lambda x: x["t"]), 3_600_000, 4))
-    return rows.select("user_id", F.inline(F.arrays_zip(F.col("e.event_id").alias("event_id"), F.col("b").alias("batch"))))
+    rows = _t(spark, sf, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return tokens.anchored_batches(rows, "user_id", "ms", "event_id", 3_600_000, 4)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -738,7 +739,10 @@ def scenarios(spark, sf):
 
 @query("""SELECT i.vec_id, i.label, count(*) OVER (PARTITION BY i.label) AS n FROM embeddings i""")
 def label_sizes(spark, sf):
-    return _t(spark, sf, "embeddings").select("vec_id", "label", F.count("*").over(Window.partitionBy("label")).alias("n"))
+    """Counted before the join, so no label's rows meet in one task."""
+    rows = _t(spark, sf, "embeddings").select("vec_id", "label")
+    sizes = rows.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("n"))
+    return rows.join(sizes, F.col("label").eqNullSafe(F.col("of"))).drop("of")
 
 
 # Dialogues: parts are the items of five trades, customers the keepers

@@ -144,3 +144,30 @@ def must_exist(spark: SparkSession, path: str) -> str:
     return path
 
 
+
+
+def episode_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """stem and episode_return (zero if missing) of each run's JSON below ``folder``."""
+    df = spark.read.schema("episode_return double").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
+    return df.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", "").alias("stem"), F.coalesce("episode_return", F.lit(0.0)).alias("episode_return"))
+
+
+def episodes_with_returns(steps: DataFrame, returns: DataFrame, file: str = "file") -> DataFrame:
+    """Logged steps with their episode's return; logs without one, and returns without a log, are left out."""
+    return steps.withColumn("stem", F.regexp_replace(file, r"\.csv$", "")).join(returns, "stem")
+
+
+RESULT = "arm string, tag string, seed long, steps long, tokens_seen long, final_val double, best_val double, final_ppl double, wall_seconds double, params struct<core:long,stream:long,table:long,total:long>, history array<struct<step:long,tokens:long,train:double,val:double>>"
+
+
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each experiment's result, with its file."""
+    return spark.read.schema(RESULT).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).withColumn("file", F.col("_metadata.file_name"))
+
+
+def holdouts(spark: SparkSession, folder: str) -> DataFrame:
+    """file and text of every *_holdout.jsonl in a folder, in the order of their names; an error if there is none."""
+    df = spark.read.schema("text string").option("pathGlobFilter", "*_holdout.jsonl").json(folder).select(F.col("_metadata.file_name").alias("file"), "text")
+    if df.isEmpty():
+        raise FileNotFoundError(f"no *_holdout.jsonl in {folder}")
+    return df.orderBy("file")

@@ -55,3 +55,47 @@ def round_entry(ranked: DataFrame, promoted: str) -> DataFrame:
     """A line for each branch, best first, with marks for the promoted one and for rounds that don't improve."""
     line = F.concat(F.lit("- "), F.col("tag"), F.lit(" "), F.format_number("score", 1), F.when(F.col("tag") == promoted, F.lit(" PROMOTED")).otherwise(""), F.when(F.col("score") <= 74, F.lit(" NON-IMPROVING")).otherwise(""))
     return ranked.select("rank", line.alias("line"))
+
+
+def write_token_files(df: DataFrame, uri: str, order: str, ids: str, width: int = 2, parts: int = 8) -> DataFrame:
+    """Little-endian token files of fixed width below ``uri``, one a range of ``order``, to be read in the order of their names.
+
+    A file is written under another name and then moved, so a task that runs again leaves the same file. Executors must
+    share ``uri``. Returns file and n_tokens of each.
+    """
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as fs
+        from pyspark import TaskContext
+
+        import numpy as np
+
+        system, folder = fs.FileSystem.from_uri(uri)
+        system.create_dir(folder, recursive=True)
+        context = TaskContext.get()
+        name = f"tokens-{context.partitionId():05d}.bin"
+        scratch, n = f"{folder}/.{name}.{context.taskAttemptId()}", 0
+        with system.open_output_stream(scratch) as out:
+            for b in batches:
+                flat = b.column("ids").flatten().to_numpy(zero_copy_only=False)
+                if len(flat) and (flat.min() < 0 or flat.max() >= 1 << (8 * width)):
+                    raise ValueError(f"a token doesn't fit into {width} bytes")
+                out.write(flat.astype(np.dtype(f"<u{width}")).tobytes())
+                n += len(flat)
+        system.move(scratch, f"{folder}/{name}")
+        yield pa.RecordBatch.from_pydict({"file": [name], "n_tokens": [n]})
+
+    rows = df.select(F.col(order), F.col(ids).alias("ids")).repartitionByRange(parts, order).sortWithinPartitions(order).select("ids")
+    return rows.mapInArrow(write, "file string, n_tokens long")
+
+
+def named_output(folder: str, split: str, tag: str = "npc") -> str:
+    """Where a split of a mixture goes; mixtures of several tags stand side by side."""
+    return f"{folder.rstrip('/')}/{split}_{tag}"
+
+
+def append_metrics(spark, path: str, run: str, rows: list[tuple[int, int, float, float]]) -> None:
+    """Adds a run's evaluations (step, tokens, train, val) to a table of metrics."""
+    df = spark.createDataFrame([(run, *r) for r in rows], "run string, step long, tokens long, train double, val double")
+    df.coalesce(1).write.mode("append").parquet(path)
