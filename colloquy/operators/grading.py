@@ -107,3 +107,8 @@ def learning_zone(df: DataFrame, low: float = 0.15, high: float = 0.85) -> DataF
     marked = df.withColumn("zone", F.when(F.col("attempts") < 2, "fresh").when(rate.between(low, high), "in_zone"))
     some = marked.agg(F.count("zone").alias("some_"))
     return marked.join(F.broadcast(some)).where("zone IS NOT NULL OR some_ = 0").select(*df.columns, F.coalesce("zone", F.lit("all")).alias("zone"))
+
+
+def low(df: DataFrame, reward: str, least: float = 1.5) -> DataFrame:
+    """Rows for the sink of failures."""
+    return df.where(F.col(reward) < least)

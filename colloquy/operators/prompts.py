@@ -53,20 +53,28 @@ def scenario_of(conversation: Column) -> Column:
 
     Null without a start mark or a player's line.
     """
-    header, keeper, first = card_parts(conversation)
-    rest = F.substring(conversation, F.length(header) + len(START) + 1, F.length(conversation))
 
-    def cut(body):
-        last = F.array_max(F.transform(F.filter(F.transform(body, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.startswith(p["x"], F.lit("Player:"))), lambda p: p["i"]))
+    def cut(header, keeper, w):
+        last = F.array_max(F.transform(w, lambda x, i: F.when((i > 0) & F.startswith(x, F.lit("Player:")), i)))
         made = lambda at: F.struct(
-            F.concat(header, F.lit(START), first, F.lit("\n"), F.array_join(F.slice(body, 1, at + 1), "\n"), F.lit("\n"), keeper, F.lit(":")).alias("prompt"),
-            F.try_element_at(F.filter(F.slice(body, at + 1, F.size(body)), lambda x: F.startswith(x, F.lit("["))), F.lit(1)).alias("oracle"),
+            F.concat(header, F.lit(START), F.array_join(F.slice(w, F.lit(1), at + 1), "\n"), F.lit("\n"), keeper, F.lit(":")).alias("prompt"),
+            F.try_element_at(F.filter(F.slice(w, at + 1, F.size(w)), lambda x: F.startswith(x, F.lit("["))), F.lit(1)).alias("oracle"),
             keeper.alias("keeper"),
         )
         return T.let(last, lambda at: F.when(at.isNotNull(), made(at)))
 
-    lines = F.split(rest, "\n")
-    return F.when(header.isNotNull(), T.let(F.slice(lines, F.lit(2), F.size(lines)), cut))
+    def parts(c):
+        header, keeper, _ = card_parts(c)
+        lines = F.split(F.substring(c, F.instr(c, START) + len(START), F.length(c)), "\n")
+        return T.let(F.struct(header.alias("h"), keeper.alias("k"), lines.alias("w")), lambda x: F.when(x["h"].isNotNull(), cut(x["h"], x["k"], x["w"])))
+
+    return T.let(conversation, parts)
+
+
+def scenarios(conversations: DataFrame, text: str = "text") -> DataFrame:
+    """Conversations with prompt, oracle and keeper in the text's place; those that make no scenario are left out."""
+    keep = [c for c in conversations.columns if c != text]
+    return conversations.select(*keep, F.inline(F.array_compact(F.array(scenario_of(F.col(text))))))
 
 
 def scenario_prompts(scenarios: DataFrame, order: str, n: int, prompt: str = "prompt", keeper: str = "keeper") -> DataFrame:

@@ -71,9 +71,9 @@ def probe_rates(probes: DataFrame, text: str, card: str, intent: Column, stopped
     return probes.agg(F.count("*").alias("n"), share(drift, "drift"), share(F.coalesce(intent, F.lit(True)), "intent"), share(stopped, "clean"))
 
 
-def samples(graded: DataFrame, order: str, n: int = 6) -> DataFrame:
+def samples(graded: DataFrame, order: list[str], n: int = 6) -> DataFrame:
     """The first answers, shortened for a report."""
-    return graded.orderBy(order).limit(n).withColumn("said", F.substring(F.replace("said", F.lit("\n"), F.lit(" / ")), 1, 110))
+    return graded.orderBy(*order).limit(n).withColumn("said", F.substring(F.replace("said", F.lit("\n"), F.lit(" / ")), 1, 110))
 
 
 def holders(items: DataFrame, wanted: DataFrame, item: str = "item", trade: str = "trade") -> DataFrame:

@@ -54,8 +54,8 @@ def with_prefix_of(df: DataFrame, other: DataFrame, order: str, ids: str, most:
     """All rows of ``df``, then the first ``most`` tokens of ``other``, whose last row is cut where they end: part, order, ids."""
     from ..sources.sinks import token_offsets
 
-    sized = other.select(F.col(order), F.col(ids), F.size(ids).cast("bigint").alias("n_"))
-    head = token_offsets(sized, order, "n_").where(F.col("offset") < most).withColumn(ids, F.slice(ids, F.lit(1), F.least(F.col("n_"), most - F.col("offset")).cast("int")))
+    sized = other.select(F.col(order), F.col(ids), F.size(ids).cast("bigint").alias("size_"))
+    head = token_offsets(sized, order, "size_").where(F.col("offset") < most).withColumn(ids, F.slice(ids, F.lit(1), F.least(F.col("size_"), most - F.col("offset")).cast("int")))
     return df.select(F.lit(0).alias("part"), order, ids).union(head.select(F.lit(1), order, ids))
 
 
