@@ -32,7 +32,9 @@ LOOSE = r"(?<![0-9])[ -]|[ -](?![0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Candidates that trees decide on.
 OBFUSCATED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z]{2,10}(?![A-Za-z0-9])"
-IPV6 = r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])"
+SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){0,3} dot [A-Za-z]{2,10}(?![A-Za-z0-9])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:]|\.[0-9])"
+PLAIN_PHONE = r"(?<![0-9A-Za-z+(./:-])(?:00[0-9]{9,13}|[0-9]{10,11}|0[0-9]{2,4}[ /][0-9]{5,8})(?![0-9A-Za-z/-]|[.,:][0-9])"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+(.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 #: A card's number by itself; the rule drops it where it runs on into other numbers, as in an address before it.
 LONE_CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"
@@ -85,9 +87,11 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     ]
     more = [
         _when(r"t_ rlike r'[\[(] ?at ?[\])]'", _find("t_", OBFUSCATED, 0)),
-        _when("d_ AND contains(t_, ':') AND t_ rlike '[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:'", _find("t_", IPV6, 1)),
+        _when("contains(t_, ' at ') AND contains(t_, ' dot ')", _find("t_", SPELLED, 0)),
+        _when("d_ AND contains(t_, ':') AND t_ rlike '[0-9A-Fa-f]:(?:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:|:[0-9A-Fa-f])'", _find("t_", IPV6, 1)),
         _when(f"exists(c_, c -> NOT ({RULES[2]}))", _find("t_", LONE_CARD, 2)),
         _when(r"d_ AND t_ rlike r'[0-9]{3}[ .-][0-9]{4}'", _find("t_", LOCAL_PHONE, 3)),
+        _when(r"d_ AND t_ rlike r'[0-9]{10}|0[0-9]{2,4}[ /][0-9]{5}'", _find("t_", PLAIN_PHONE, 3)),
     ]
     return out.withColumn("base_", F.expr(f"concat({', '.join(rules)})")).withColumn("more_", F.expr(f"concat({', '.join(more)})")).drop("c_", "d_")
 
@@ -99,7 +103,9 @@ def _masked() -> str:
 #: Words before a span that speak for or against it, by kind.
 FOR = ["mail|contact|write", "address|host|server|client|ip", "card|visa|master|amex|pay|credit|debit|charge|karte|tarjeta|carte", "phone|call|tel|mobile|fax|contact|whatsapp|sms"]
 AGAINST = "order|invoice|isbn|serial|version|tracking|sku|part|item|article|page|hash|build|ref|barcode|score|population"
-FEATURES = ["kind", "digits", "luhn", "length", "marks", "first", "words", "against", "glued", "repeats"]
+FEATURES = ["kind", "digits", "luhn", "length", "marks", "first", "words", "against", "glued", "repeats", "ending", "groups"]
+#: Endings of host names.
+ENDINGS = "com|org|net|edu|gov|info|io|de|fr|es|it|nl|uk|eu|ch|at|example"
 
 
 def _features() -> str:
@@ -115,7 +121,9 @@ def _features() -> str:
         IF(CASE c.kind {cases} END, 1, 0) AS words,
         IF({before} rlike '{AGAINST}', 1, 0) AS against,
         IF(substring(t_, c.e + 1, 1) rlike '[0-9A-Za-z]' OR (c.s > 0 AND substring(t_, c.s, 1) rlike '[0-9A-Za-z]'), 1, 0) AS glued,
-        IF({DIGITS} rlike '([0-9])\\\\1{{5}}', 1, 0) AS repeats)"""
+        IF({DIGITS} rlike '([0-9])\\\\1{{5}}', 1, 0) AS repeats,
+        IF(lower(c.hit) rlike '[^a-z](?:{ENDINGS})$', 1, 0) AS ending,
+        size(split(c.hit, '[^0-9A-Za-z]+')) AS groups)"""
 
 
 #: The bound of the fitted sample, and its seed.
@@ -123,7 +131,7 @@ EXAMPLES, SEED = 4000, 11
 
 
 def _examples() -> list[tuple[str, int]]:
-    """Generated texts, each with one candidate of a kind, and whether it is personal data."""
+    """Generated texts, each with one span of the kind that its place gives, and whether it is personal data of that kind."""
     rnd, out = random.Random(SEED), []
     digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
     checked = lambda d: sum(int(c) if i % 2 == 0 else (2 * int(c) - 1) % 9 + 1 if c != "0" else 0 for i, c in enumerate(reversed(d))) % 10 == 0
@@ -131,12 +139,26 @@ def _examples() -> list[tuple[str, int]]:
     prose = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
     yes = [["mail me", "contact", "write to", ""], ["server", "client ip", "host", "address", ""], ["card", "visa", "pay with", "credit card", "", ""], ["call", "tel", "phone", "mobile", "", ""]]
     no = ["order", "invoice", "isbn", "tracking", "serial", "item", "ref", "build", "sku", "barcode"]
+    ends, names = ENDINGS.split("|"), "anna b.lee info sales joe_k office maria".split()
+    group = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
     for i in range(EXAMPLES):
         kind, good = i % 4, rnd.random() < 0.5
+        # Few texts speak against what they hold; so neither the format nor the words alone decide.
+        told = rnd.random() < (0.8 if good else 0.1)
         if kind == 0:
-            hit = f"{rnd.choice(filler)}{digits(2) if rnd.random() < 0.4 else ''} {rnd.choice(['[at]', '(at)', '[ at ]'])} {rnd.choice(filler)}{rnd.choice([' [dot] ', ' (dot) ', '.'])}com" if good else f"{rnd.choice(filler)} (at) {rnd.choice(filler)}.{rnd.choice(filler)}"
+            user = rnd.choice(names if rnd.random() < 0.7 else filler) + (digits(2) if good and rnd.random() < 0.4 else "")
+            end = rnd.choice(ends) if rnd.random() < (0.97 if good else 0.08) else rnd.choice(filler)
+            if rnd.random() < 0.5:
+                hit = f"{user} {rnd.choice(['[at]', '(at)', '[ at ]'])} {rnd.choice(filler)}{rnd.choice([' [dot] ', ' (dot) ', '.'])}{end}"
+            else:
+                hit = f"{user} at {rnd.choice(filler)}{rnd.choice(['', ' dot ' + rnd.choice(filler)])} dot {end}"
         elif kind == 1:
-            hit = ":".join("".join(rnd.choice("0123456789abcdef") for _ in range(4 if good else rnd.randint(1, 2))) for _ in range(8))
+            if rnd.random() < 0.5:
+                hit = ":".join(group(rnd.choice([4, 4, 3, 1]) if good else rnd.choice([1, 2, 2])) for _ in range(8))
+            elif good:
+                hit = rnd.choice(["2001:db8", "fe80", "2a02:" + group(4), "fd" + group(2)]) + "::" + ":".join(group(rnd.randint(1, 4)) for _ in range(rnd.randint(1, 4)))
+            else:  # names of a programming language, and numbers of times
+                hit = rnd.choice(["cafe::" + rnd.choice(["bad", "add", "feed"]), "abc::def", f"{digits(1)}::{digits(1)}", f"ad::{digits(1)}", "bed::dead"])
         elif kind == 2:
             # Cards have the check digit, and are shorter than the rule's or run on from a number before them.
             if good:
@@ -146,17 +168,22 @@ def _examples() -> list[tuple[str, int]]:
                 hit = f"{digits(2)} {body}" if size == 16 else body
             else:
                 body = rnd.choice("0123456789") + digits(rnd.choice([12, 13, 14, 15, 15, 15, 16, 17, 18]))
+                if rnd.random() < 0.3:  # other numbers have the check digit by chance
+                    body = next(body[:-1] + d for d in "0123456789" if checked(body[:-1] + d))
                 hit = body if rnd.random() < 0.8 else rnd.choice("12") * len(body)
+            told = rnd.random() < (0.7 if good else 0.1)
         else:
             area, a, b = digits(3), digits(3), digits(4)
-            hit = rnd.choice([f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}"]) if good else rnd.choice([f"{area} {a} {b}", f"{area}{a}-{b}"])
-        before = rnd.choice(yes[kind]) if good or kind == 2 and rnd.random() < 0.3 else rnd.choice([*no, *no, ""])
+            shaped, plain = [f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}"], [area + a + b, "0" + area + a + b, "00" + digits(rnd.randint(9, 13)), f"0{digits(2)} {digits(7)}", f"0{digits(3)}/{digits(6)}"]
+            hit = rnd.choice(shaped if rnd.random() < (0.5 if good else 0.05) else plain if good or rnd.random() < 0.7 else [f"{area} {a} {b}", f"{area}{a}-{b}"])
+            told = rnd.random() < (0.95 if hit in plain else 0.7) if good else rnd.random() < 0.01
+        before = rnd.choice([w for w in yes[kind] if w]) if told else rnd.choice(["", prose(1)]) if good else rnd.choice([*no, *no, ""])
         out.append((f"{prose(4)} {before} {hit} {prose(3)}", int(good)))
     return out
 
 
 def _fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3) -> tuple[float, list]:
-    """Boosted depth-two trees on the logistic loss. A tree is (feature, cut, left, right), a leaf a number."""
+    """Boosted trees of depth three on the logistic loss. A tree is (feature, cut, left, right), a leaf a number."""
     bias = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     score, trees = np.full(len(y), bias), []
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 33))) for f in range(x.shape[1])]
@@ -180,7 +207,7 @@ def _fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        tree = grow(np.ones(len(y), dtype=bool), y - p, p * (1 - p), 2)
+        tree = grow(np.ones(len(y), dtype=bool), y - p, p * (1 - p), 3)
         trees.append(tree)
         score += predict(tree, x)
     return bias, trees
@@ -210,7 +237,7 @@ def fitted(spark: SparkSession, precision: float = 0.97) -> tuple[str, list[floa
         lines = spark.range(1).select(F.posexplode(F.split(F.lit("\n".join(t for t, _ in examples)), "\n")).alias("i", "text"))
         rows = with_candidates(lines).select("i", F.expr(f"transform(more_, c -> {_features()})").alias("x")).select("i", F.inline("x")).collect()  # at most a few candidates an example
         seen = [(r["i"], [r[f] for f in FEATURES]) for r in rows]
-        x, y, i = np.array([v for _, v in seen], dtype=float), np.array([examples[k][1] for k, _ in seen]), np.array([k for k, _ in seen])
+        x, y, i = np.array([v for _, v in seen], dtype=float), np.array([examples[k][1] * (v[0] == k % 4) for k, v in seen]), np.array([k for k, _ in seen])
         fit = i // 4 % 2 == 0
         bias, trees = _fit_trees(x[fit], y[fit])
         score = bias + sum(predict(t, x) for t in trees)

@@ -204,6 +204,44 @@ def test_trees_on_examples_not_fitted(spark):
     assert pii.fitted(spark)[2] > 0.95
 
 
+def _second(n=1200, seed=5):
+    """Examples by another generator than the fitted ones: other words, other texts around the spans."""
+    rnd, out = random.Random(seed), []
+    d = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    x = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
+    luhn = lambda s: sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(s))) % 10 == 0
+    end = lambda b: next(b + c for c in "0123456789" if luhn(b + c))
+    frames = {
+        0: (["You can contact {} any day.", "Bitte eine Mail an {} schicken!", "Questions? write {}, thanks"], ["We sat {} and waited.", "He left it {} again."]),
+        1: (["The host {} is down.", "ping server {} now", "listens on {}, port 80"], ["The class {} is final.", "see {} in the source"]),
+        2: (["Charge my card {} today.", "visa: {}", "tarjeta {} por favor"], ["tracking {} shipped", "isbn {} in print", "the serial {} is worn off"]),
+        3: (["Call me on {} tonight.", "Telefon: {}", "my mobile is {}.", "fax {}"], ["order {} has left", "item {} is sold out", "a population of {} then"]),
+    }
+    for i in range(n):
+        kind, good = i % 4, rnd.random() < 0.5
+        if kind == 0:
+            hit = rnd.choice(["karl.otto (at) firma.de", "li at post dot com", "m_ruiz[at]correo[dot]es", "eva22 at web dot mail dot org"]) if good else rnd.choice(["smiling at noon dot dash", "stars at night dot sky", "look (at) that.thing"])
+        elif kind == 1:
+            hit = rnd.choice([f"2001:{x(4)}::{x(4)}", f"fe80::{x(4)}:{x(4)}:{x(4)}:{x(4)}", ":".join(x(4) for _ in range(8))]) if good else rnd.choice(["dead::beef", "fa::ce", "babe::face", "1::2"])
+        elif kind == 2:
+            hit = rnd.choice([end("37" + d(12)), end("34" + d(12)), end("36" + d(11))]) if good else rnd.choice(["9" + d(12), d(15)])
+        else:
+            hit = rnd.choice([f"({d(3)}) {d(3)}-{d(4)}", d(10), f"0{d(2)} {d(7)}", f"00{d(12)}"]) if good else rnd.choice([d(10), d(11)])
+        out.append((f"{i} " + rnd.choice(frames[kind][0 if good else 1]).format(hit), kind, good))
+    return out
+
+
+def test_figures_by_kind_on_another_generator(spark):
+    examples = _second()
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(examples)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_spans(df).collect()}
+    for kind, name in enumerate(pii.KINDS):
+        own = [(name in got[i], good) for i, (_, k, good) in enumerate(examples) if k == kind]
+        hits = sum(g and t for g, t in own)
+        assert hits >= 0.9 * sum(t for _, t in own) and hits >= 0.85 * sum(g for g, _ in own), name
+    assert all(0 <= v < float("inf") for v in pii.fitted(spark)[1])
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "Write to é.me@x.org or +1 (521) 555-2373.", 5), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(df).collect()}
