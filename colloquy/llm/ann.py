@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gc
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,13 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-#: Neighbours of a node; new and reverse ones joined in a round; rounds; vectors in a starting run, and such orders.
-NEIGHBOURS, SAMPLE, ROUNDS, RUN, ORDERS = 24, 14, 7, 96, 4
-#: Nodes in a block; nodes a query expands in a round; rounds of search; nodes a query keeps.
-BLOCK, EXPAND, SEARCH_ROUNDS, BEAM = 2048, 64, 6, 384
-#: The build ends when fewer than this share of all list entries are new.
-SETTLED = 0.01
+#: Neighbours of a node; half of what is joined of each age in a round; vectors in a starting run, and such orders.
+NEIGHBOURS, SAMPLE, RUN, ORDERS = 24, 14, 96, 4
+#: Nodes in a block; nodes a query expands in a round; nodes a query keeps.
+BLOCK, EXPAND, BEAM = 2048, 128, 256
+#: The build ends when fewer than this share of all list entries are new, the search when no more than this share of
+#: the queries have a node among the kept that isn't expanded.
+SETTLED = 0.03
 
 
 def _unit(column) -> np.ndarray:
@@ -132,10 +134,11 @@ def _merge(proposals: DataFrame, graph: DataFrame | None, blocks: int) -> DataFr
 
 def _local_join(graph: DataFrame, table: DataFrame, blocks: int, turn: int) -> DataFrame:
     """Proposals of one round: neighbours of a node, compared with one another."""
-    both = graph.select("id", "other", "fresh").union(graph.select(F.col("other").alias("id"), F.col("id").alias("other"), "fresh"))
-    both = both.groupBy("id", "other").agg(F.max("fresh").alias("fresh"))
-    # A bounded choice of each node's partners, another in each round; hubs have very many.
-    pick = Window.partitionBy("id", "fresh").orderBy(F.xxhash64("other", F.lit(turn)))
+    both = graph.select("id", "other", "fresh", F.lit(0).alias("back")).union(graph.select(F.col("other").alias("id"), F.col("id").alias("other"), "fresh", F.lit(1)))
+    both = both.groupBy("id", "other").agg(F.max("fresh").alias("fresh"), F.min("back").alias("back"))
+    # A node's own neighbours all take part, so what is fresh is joined before it counts as old; of those that have it as
+    # theirs a bounded choice, another in each round, as hubs have very many.
+    pick = Window.partitionBy("id", "fresh").orderBy("back", F.xxhash64("other", F.lit(turn)))
     some = both.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= 2 * SAMPLE).select("id", "other", "fresh")
     met = some.join(table.select(F.col("id").alias("other"), "vec"), "other").select(_block("id", blocks), "id", "other", "fresh", "vec")
 
@@ -179,7 +182,7 @@ def build(table: DataFrame, blocks: int, dims: int) -> DataFrame:
     """The neighbour graph of ``table`` (id, vec): id, other, sim."""
     graph = materialize(_merge(_starts(table, dims), None, blocks), "graph")
     entries = graph.count()
-    for turn in range(ROUNDS):
+    for turn in count():
         graph = materialize(_merge(_local_join(graph, table, blocks, turn), graph, blocks), "graph")
         gc.collect()
         table.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner remove the last round's shuffle files
@@ -202,10 +205,13 @@ def search(graph: DataFrame, table: DataFrame, queries: DataFrame, blocks: int)
     # kept: what a query has met, with its similarity; done: whether it has been expanded.
     kept = materialize(queries.join(graph, queries["query"] == graph["id"]).select("query", "other", "sim", F.lit(False).alias("done")), "kept")
     first = Window.partitionBy("query").orderBy(F.desc("sim"), "other")
-    for _ in range(SEARCH_ROUNDS):
+    asked = queries.count()
+    while True:
         ranked = kept.withColumn("n", F.row_number().over(first)).where(F.col("n") <= BEAM)
         front = ranked.where("NOT done").withColumn("k", F.row_number().over(first)).where(F.col("k") <= EXPAND)
         front = materialize(front.select("query", "other"), "front")
+        if front.select("query").distinct().count() <= SETTLED * asked:
+            break
         met = front.join(edges.select(F.col("id").alias("other"), F.col("other").alias("cand")), "other").select("query", "cand").where("query <> cand").distinct()
         met = met.join(kept.select("query", F.col("other").alias("cand")), ["query", "cand"], "left_anti")
         met = met.join(table.select(F.col("id").alias("cand"), "vec"), "cand").join(target, "query")
