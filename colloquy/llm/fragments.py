@@ -12,12 +12,15 @@ from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
+import regex
 
 from .common import TwoGenerations
 
+#: What the pre-tokenizer's ``\\s`` takes: Unicode's white space. U+001C to U+001F, which Python strips, aren't.
+_SPACES = [c.encode() for c in map(chr, range(0x3001)) if regex.match(r"\p{White_Space}", c)]
+_ASCII_SPACE = [s[0] for s in _SPACES if len(s) == 1]
 #: Last bytes of the UTF-8 forms of white space beyond ASCII.
-_SPACE_ENDS = [0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0xA0, 0xA8, 0xA9, 0xAF, 0x9F]
-_ASCII_SPACE = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
+_SPACE_ENDS = sorted({s[-1] for s in _SPACES if len(s) > 1})
 
 
 def pairs_inside(tokens: list[bytes]) -> np.ndarray:

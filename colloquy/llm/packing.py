@@ -5,7 +5,7 @@ planned on the counts of lengths alone: at most one count for each length up to
 there are. For each kind of sequence, a subset sum over a bitset finds the fullest combination of available lengths
 that holds the longest one left; it is used as often as the counts allow, and removed. Pieces then find their place
 by their rank among the pieces of the same length; ranks are taken in salted groups, so that a length that a third
-of all pieces share is still dealt out.
+of all pieces share is still dealt out, rows without id among them.
 
 Null text is the empty text, whose only id is the end id. Pieces of equal length are interchangeable; ties go by id
 and piece. Repeated rows are packed as often as they occur. An empty table gives an empty table.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +30,64 @@ from .fragments import byte_bpe
 GROUP = 50_000
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row per piece: key, piece, start, length, ids_crc32, and ids if asked for."""
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+def first_short(total: int, capacity: int) -> list[int]:
+    """Lengths of the pieces of ``total`` tokens: full ones, but for the first."""
+    first = (total - 1) % capacity + 1
+    return [first] + [capacity] * ((total - first) // capacity)
+
+
+def pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False, encoder: Callable = byte_bpe, cut: Callable[[int, int], list[int]] = first_short) -> DataFrame:
+    """A row per piece: key, piece, start, length, ids_crc32, doc_tokens, ids if asked for, and place.
+
+    place numbers the pieces of a task; once they are written it stays, and tells apart rows that are alike in all
+    else. ``encoder`` gives, for a tokenizer's path, what encodes texts; ``cut`` the lengths of a text's pieces.
+    """
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + ", place long"
 
     def run(batches):
-        bpe, tail = byte_bpe(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        bpe, tail, place = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in chunks(batches, text):
-            rows, number, start, length, crc, ids = [], [], [], [], [], []
+            rows, number, start, length, crc, whole, ids = [], [], [], [], [], [], []
             for row, packed in enumerate(bpe.encode(*texts(batch.column(text)))):
                 packed += tail
-                total = len(packed) // 4
-                at, to, k = 0, (total - 1) % capacity + 1, 0
-                while at < total:
-                    body = packed[4 * at : 4 * to]
+                total, at = len(packed) // 4, 0
+                for k, n in enumerate(cut(total, capacity)):
+                    body = packed[4 * at : 4 * (at + n)]
                     rows.append(row)
                     number.append(k)
                     start.append(at)
-                    length.append(to - at)
+                    length.append(n)
                     crc.append(zlib.crc32(body))
+                    whole.append(total)
                     if with_ids:
                         ids.append(np.frombuffer(body, dtype="<i4"))
-                    at, to, k = to, to + capacity, k + 1
-            columns = [batch.column(key).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            names = [key, "piece", "start", "length", "ids_crc32"]
+                    at += n
+            columns = [batch.column(key).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole))]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns.append(pa.array(range(place, place + len(rows)), pa.int64()))
+            place += len(rows)
+            yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "place"])
 
     return spread(df.select(key, text), key).mapInArrow(run, schema)
 
 
+def ranks(parts: DataFrame, total: int, key: str = "doc_id") -> DataFrame:
+    """Adds rank_ (long, from 0) of each piece among those of its length, in place of place.
+
+    Pieces of a length are numbered in salted groups, with the sizes of the groups before added, so a length that most
+    pieces share is dealt out. Rows that tie in all of the order are alike in all columns but place, so any of them may
+    take either rank.
+    """
+    salts = max(8, math.ceil(total / GROUP))
+    salted = parts.withColumn("salt_", F.pmod(F.xxhash64(key, "piece", "place", "ids_crc32"), F.lit(salts)))
+    sizes = salted.groupBy("length", "salt_").agg(F.count("*").alias("n_"))
+    before = sizes.select("length", "salt_", (F.sum("n_").over(Window.partitionBy("length").orderBy("salt_")) - F.col("n_")).alias("before_"))
+    ranked = salted.withColumn("rank_", F.row_number().over(Window.partitionBy("length", "salt_").orderBy(key, "piece", "place", "ids_crc32", "start", "doc_tokens")) - 1)
+    ranked = ranked.join(before, ["length", "salt_"]).withColumn("rank_", F.col("rank_") + F.col("before_"))
+    return ranked.select(*(c for c in parts.columns if c != "place"), F.col("rank_").cast("long").alias("rank_"))
+
+
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     """The combination of available lengths with the largest sum of at most ``room``: length to copies."""
     reach, steps, mask = 1, [], (1 << (room + 1)) - 1
@@ -111,19 +138,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def pack(parts: DataFrame, capacity: int = 1024, key: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces. The pieces are read several times: pass a written table."""
+    """Adds sequence_id and offset to a table of ``pieces``. They are read several times: pass a written table."""
     by_length = parts.groupBy("length").count().collect()  # at most ``capacity`` rows
     total = sum(r["count"] for r in by_length)
     table = np.array(plan({r["length"]: r["count"] for r in by_length}, capacity), dtype=np.int64).reshape(-1, 6)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    salts = max(8, math.ceil(total / GROUP))
-    salted = parts.withColumn("salt_", F.pmod(F.xxhash64(F.col(key), "piece"), F.lit(salts)))
-    sizes = salted.groupBy("length", "salt_").agg(F.count("*").alias("n_"))
-    before = sizes.select("length", "salt_", (F.sum("n_").over(Window.partitionBy("length").orderBy("salt_")) - F.col("n_")).alias("before_"))
-    ranked = salted.withColumn("rank_", F.row_number().over(Window.partitionBy("length", "salt_").orderBy(key, "piece")) - 1)
-    ranked = ranked.join(before, ["length", "salt_"]).withColumn("rank_", F.col("rank_") + F.col("before_"))
-    ranked = ranked.select(*parts.columns, F.col("rank_").cast("long").alias("rank_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
+    ranked = ranks(parts, total, key)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name != "place") + ", sequence_id long, offset long"
     big = np.int64(1) << 40  # ranks and lengths in one sorted key
 
     def place(batches):

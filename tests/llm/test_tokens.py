@@ -2,12 +2,14 @@
 
 import hashlib
 import zlib
+from itertools import product
 
 import numpy as np
 import public_tokenizers
 import pytest
 
 from colloquy.llm import bpe, packing, queries, token_counts
+from colloquy.llm.fragments import ByteBpe
 
 from .conftest import FOLDER
 
@@ -32,6 +34,24 @@ def test_round_trip(request, library, table):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_white_space_and_controls_as_the_library(library):
+    """All texts of up to four parts of white space, controls, a letter, a digit, a mark and a sign, and 50,000 random longer ones."""
+    bpe_ = ByteBpe(BYTE)
+    few = [" ", "\n", "\xa0", "\x1f", "\u2003", "a", "1", "́", "'s", "."]
+    all_ = [*map(chr, range(33)), "\x7f", "\x85", "\xa0", " ", "᠎", *map(chr, range(0x2000, 0x2010)), "\u2028", "\u2029", " ", " ", "　", "a", "é", "à", "1", "'", "́", "日", "<|endoftext|>"]
+    found = ["".join(x) for n in range(1, 5) for x in product(few, repeat=n)] + ["".join(x) for n in (2, 3) for x in product(all_, repeat=n)]
+    draw = np.random.default_rng(5)
+    found += ["".join(draw.choice(all_, n)) for n in draw.integers(4, 12, 50_000)]
+
+    def check(some):
+        offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in some])])
+        got = [np.frombuffer(x, "<u4").tolist() for x in bpe_.encode(np.frombuffer("".join(some).encode(), np.uint8), offsets)]
+        assert got == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+    check([t for t in found if "<|" not in t])
+    check([t for t in found if "<|" in t][:4000])
+
+
 def test_encode_then_decode(odd, library):
     ids = bpe.encode(odd, BYTE)
     want = {r.doc_id: r.text or "" for r in odd.collect()}
@@ -87,6 +107,14 @@ def test_packing(request, library, table):
     assert seen == {k: len(v) * repeats[k] for k, v in ids.items()}
 
 
+def test_packing_of_repeated_ids(spark, library):
+    """Rows without id, and an id with different texts of equal length: places don't clash."""
+    rows = [(None, "alpha beta gamma")] * 400 + [(7, "red green"), (7, "one two"), (7, "x " * 3000)]
+    got = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string"), BYTE).collect()
+    places = [(r.sequence_id, r.offset + k) for r in got for k in range(r.length)]
+    assert len(places) == len(set(places)) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
 def test_fullest_is_the_best():
     from itertools import product
 
