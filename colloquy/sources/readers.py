@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import ranges, token_files
+
 
 def json_lines(spark: SparkSession, path, schema, strict: bool = True) -> DataFrame:
     """Strict: a malformed line ends the scan with an error. Lenient: it is skipped. Blank lines never count."""
@@ -56,25 +60,14 @@ def lines(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(found).select(F.translate("value", "�", "").alias("value"), F.col("_metadata.file_path").alias("file"))
 
 
-def blocks(spark: SparkSession, path) -> DataFrame:
-    """Blocks between blank lines of each file, in order: file, ordinal, block. One file is read by one task."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n\n")).alias("ordinal", "block"))
-
-
-def articles(spark: SparkSession, path) -> DataFrame:
-    """title and body: a short block that doesn't start in lower case, and the block after it."""
-    whole = spark.read.text(path, wholetext=True)
-    trimmed = F.transform(F.split("value", "\n\n"), lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")))
+def blocks(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataFrame:
+    """Blocks between blank lines of each file, in order: file, start, place, block. Large files are split among tasks."""
+    return ranges.blocks(spark, path, split)
 
-    def pair(acc, b):
-        title_like = (b != "") & (F.size(F.split(b, r"\s+")) <= 8) & ~F.substring(b, 1, 1).rlike("^\\p{Ll}")
-        taken = acc["title"].isNotNull() & (b != "")
-        new = F.when(title_like, b)
-        return F.struct(F.when(taken, F.lit(None).cast("string")).otherwise(new).alias("title"), F.when(taken, F.concat(acc["out"], F.array(F.struct(acc["title"].alias("title"), b.alias("body"))))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(None).cast("string").alias("title"), F.array().cast("array<struct<title:string,body:string>>").alias("out"))
-    return whole.select(F.inline(F.aggregate(trimmed, start, pair, lambda a: a["out"])))
+def articles(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataFrame:
+    """title and body: a short block that doesn't start in lower case, and the block after it. Large files are split."""
+    return ranges.articles(spark, path, split).select("title", "body")
 
 
 def episode_arrays(spark: SparkSession, folder: str, schema: str = "file string, step long, action string, reward double, terminated boolean, truncated boolean") -> DataFrame:
@@ -114,28 +107,18 @@ def log_metric(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return whole.select(F.regexp_extract("value", pattern, 1).try_cast("double").alias("value"))
 
 
-def delimited_texts(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """Texts between separators; a last one that isn't closed is dropped."""
-    whole = spark.read.text(path, wholetext=True)
-    parts = F.split("value", separator)
-    return whole.select(F.posexplode(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("ordinal", "text"))
-
+def delimited_texts(spark: SparkSession, path: str, separator: str, split: int = ranges.SPLIT) -> DataFrame:
+    """Texts between separators, by file and start; a last one that isn't closed is dropped. Large files are split.
 
-def token_file(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """position and token of little-endian fixed-width files, read in records of up to 4096 tokens."""
-    df = spark.read.format("binaryFile").load(path).select("path", "content")
+    ``separator`` is a literal, or a pattern in which every sign is escaped.
+    """
+    literal = re.sub(r"\\(\W)", r"\1", separator)
+    return ranges.delimited(spark, path, literal, split).select("file", "start", "text")
 
-    def ints(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                t = np.frombuffer(content, dtype=f"<u{width}").astype(np.int64)
-                for s in range(0, len(t), 4096):
-                    yield pa.RecordBatch.from_pydict({"path": [name] * len(t[s : s + 4096]), "position": np.arange(s, min(s + 4096, len(t))), "token": t[s : s + 4096]})
 
-    return df.mapInArrow(ints, "path string, position long, token long")
+def token_file(spark: SparkSession, path: str, width: int = 2, split: int = token_files.SPLIT) -> DataFrame:
+    """path, position and token of little-endian fixed-width files, read by ranges; bounds on position prune them."""
+    return token_files.read(spark, path, width, split)
 
 
 def must_exist(spark: SparkSession, path: str) -> str:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import token_files
+
 
 def write_texts(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
@@ -58,36 +60,13 @@ def round_entry(ranked: DataFrame, promoted: str) -> DataFrame:
 
 
 def write_token_files(df: DataFrame, uri: str, order: str, ids: str, width: int = 2, parts: int = 8) -> DataFrame:
-    """Little-endian token files of fixed width below ``uri``, one a range of ``order``, to be read in the order of their names.
+    """Little-endian token files of fixed width below ``uri``, one a range of ``order``, with one commit.
 
-    A file is written under another name and then moved, so a task that runs again leaves the same file. Executors must
-    share ``uri``. Returns file and n_tokens of each.
+    Executors must share ``uri``. Returns file and n_tokens of each, in order.
     """
-
-    def write(batches):
-        import pyarrow as pa
-        import pyarrow.fs as fs
-        from pyspark import TaskContext
-
-        import numpy as np
-
-        system, folder = fs.FileSystem.from_uri(uri)
-        system.create_dir(folder, recursive=True)
-        context = TaskContext.get()
-        name = f"tokens-{context.partitionId():05d}.bin"
-        scratch, n = f"{folder}/.{name}.{context.taskAttemptId()}", 0
-        with system.open_output_stream(scratch) as out:
-            for b in batches:
-                flat = b.column("ids").flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and (flat.min() < 0 or flat.max() >= 1 << (8 * width)):
-                    raise ValueError(f"a token doesn't fit into {width} bytes")
-                out.write(flat.astype(np.dtype(f"<u{width}")).tobytes())
-                n += len(flat)
-        system.move(scratch, f"{folder}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": [name], "n_tokens": [n]})
-
-    rows = df.select(F.col(order), F.col(ids).alias("ids")).repartitionByRange(parts, order).sortWithinPartitions(order).select("ids")
-    return rows.mapInArrow(write, "file string, n_tokens long")
+    token_files.write(df, uri, [order], ids, width, parts)
+    found = [(f.path.rsplit("/", 1)[-1], f.tokens) for f in token_files.token_files(uri, width)]
+    return df.sparkSession.createDataFrame(found, "file string, n_tokens long")
 
 
 def named_output(folder: str, split: str, tag: str = "npc") -> str:
