@@ -82,32 +82,39 @@ def selfplay(steps: DataFrame, key: str, order: str, observation: str = "observa
     return rows.withColumn("past", past).where("valid_").drop("valid_", "used_")
 
 
-def row_fitter(path: str, length: int):
-    """A function over Arrow batches of (id, prompt, action): text and kept, as a tokenizer counts tokens.
+def fitter(path: str, length: int):
+    """A function of a prompt and an action: their text if it fits into ``length`` tokens of a tokenizer, else None.
 
-    An action of ``length`` tokens or more, or a text that is still too long, isn't kept. Of a longer prompt the last
+    An action of ``length`` tokens or more, or a text that is still too long, doesn't fit. Of a longer prompt the last
     tokens stay, and its cue is put back where the cut lost it.
     """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+
+    def fit(prompt: str, action: str) -> str | None:
+        tail = " " + action.strip()
+        room = length - count(tail)
+        if room <= 0:
+            return None
+        ids = tokenizer.encode(prompt, add_special_tokens=False).ids
+        if len(ids) > room:
+            prompt = tokenizer.decode(ids[-room:], skip_special_tokens=False)
+            if not prompt.rstrip().endswith("assistant:"):
+                prompt = prompt.rstrip() + "\nassistant:"
+        return prompt + tail if count(prompt + tail) <= length else None
+
+    return fit
+
+
+def row_fitter(path: str, length: int):
+    """A function over Arrow batches of (id, prompt, action): text and kept, as ``fitter`` fits them."""
 
     def run(batches):
         import pyarrow as pa
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
-
-        def fit(prompt, action):
-            tail = " " + action.strip()
-            room = length - count(tail)
-            if room <= 0:
-                return None
-            ids = tokenizer.encode(prompt, add_special_tokens=False).ids
-            if len(ids) > room:
-                prompt = tokenizer.decode(ids[-room:], skip_special_tokens=False)
-                if not prompt.rstrip().endswith("assistant:"):
-                    prompt = prompt.rstrip() + "\nassistant:"
-            return prompt + tail if count(prompt + tail) <= length else None
 
+        fit = fitter(path, length)
         for b in batches:
             texts = [fit(p or "", a or "") for p, a in zip(b.column("prompt").to_pylist(), b.column("action").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string()), pa.array([t is not None for t in texts])], ["id", "text", "kept"])
