@@ -19,13 +19,34 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: What Python's strip takes: Unicode's white space, and the separators U+001C to U+001F.
+_BLANK = r"[\p{IsWhite_Space}\x1C-\x1F]"
+
+
+def strip_left(text: Column) -> Column:
+    return F.regexp_replace(text, rf"\A{_BLANK}+", "")
+
+
+def strip_right(text: Column) -> Column:
+    return F.regexp_replace(text, rf"{_BLANK}+\z", "")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends; F.trim takes spaces only."""
+    return F.regexp_replace(text, rf"\A{_BLANK}+|{_BLANK}+\z", "")
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(r"[^\p{IsWhite_Space}\x1C-\x1F]")
+
+
 def is_toxic(text: Column) -> Column:
     return F.exists(strings(values.TOXIC), lambda p: F.contains(F.lower(text), p))
 
 
 def strip_beats(text: Column) -> Column:
-    """Takes out *beats*, line by line; card fields keep theirs."""
-    plain = lambda x: F.trim(F.regexp_replace(x, r"\s*\*[^*]+\*\s*", " "))
+    """Takes out *beats*, line by line; card fields keep theirs, and lines of blanks alone stay as they are."""
+    plain = lambda x: F.when(is_blank(x), x).otherwise(strip(F.regexp_replace(x, rf"{_BLANK}*{values.BEAT}{_BLANK}*", " ")))
     card = lambda x: F.exists(strings(values.CARD_FIELDS), lambda f: F.startswith(x, f))
     return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(card(x), x).otherwise(plain(x))), "\n")
 
@@ -45,12 +66,12 @@ def truncate_at_sentence(text: Column, limit: int) -> Column:
     cut = F.substring(text, 1, limit)
     last = lambda sep: F.when(F.contains(cut, F.lit(sep)), F.length(cut) - F.instr(F.reverse(cut), sep[::-1]) - 1).otherwise(-1)
     best = F.greatest(last(". "), last("! "), last("? "))
-    return F.when(F.length(text) <= limit, text).when(best > 0.4 * limit, F.substring(cut, F.lit(1), best + 1)).otherwise(F.concat(F.rtrim(cut), F.lit(".")))
+    return F.when(F.length(text) <= limit, text).when(best > 0.4 * limit, F.substring(cut, F.lit(1), best + 1)).otherwise(F.concat(strip_right(cut), F.lit(".")))
 
 
 def clean_name(raw: Column) -> Column:
     """A name with a capital, or null."""
-    name = F.trim(raw)
+    name = strip(raw)
     blocked = F.exists(strings(values.NAME_BLOCKLIST), lambda p: F.contains(F.lower(name), p))
     return F.when(F.length(name).between(3, 20) & name.rlike("^[A-Za-z' -]+$") & ~blocked, F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 100)))
 
@@ -82,18 +103,18 @@ def parse_action(line: Column) -> Column:
     """verb, arg, price of an action line; null if it is none."""
     verbs = "|".join([*values.ARGUMENT_VERBS, *values.PRICED_VERBS])
     pattern = rf"^\[({verbs}): ?(.*)\]$"
-    t = F.trim(line)
+    t = strip(line)
     verb, rest = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
     name, price = F.regexp_extract(rest, r"^(.*) ([0-9]+)$", 1), F.regexp_extract(rest, r"^(.*) ([0-9]+)$", 2)
-    plain = F.struct(verb.alias("verb"), _some(F.trim(rest)).alias("arg"), F.lit(None).cast("bigint").alias("price"))
-    priced = F.struct(verb.alias("verb"), F.trim(name).alias("arg"), price.try_cast("bigint").alias("price"))
+    plain = F.struct(verb.alias("verb"), _some(strip(rest)).alias("arg"), F.lit(None).cast("bigint").alias("price"))
+    priced = F.struct(verb.alias("verb"), strip(name).alias("arg"), price.try_cast("bigint").alias("price"))
     return F.when(verb.isin(values.ARGUMENT_VERBS), plain).when(verb.isin(values.PRICED_VERBS) & (price != ""), priced)
 
 
 def action_lines(text: Column) -> Column:
     """dialog and actions: non-blank lines, those that start with a bracket apart."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return F.struct(F.filter(lines, lambda x: ~F.startswith(F.trim(x), F.lit("["))).alias("dialog"), F.filter(lines, lambda x: F.startswith(F.trim(x), F.lit("["))).alias("actions"))
+    lines = F.filter(F.split(strip(text), "\n"), lambda x: ~is_blank(x))
+    return F.struct(F.filter(lines, lambda x: ~F.startswith(strip_left(x), F.lit("["))).alias("dialog"), F.filter(lines, lambda x: F.startswith(strip_left(x), F.lit("["))).alias("actions"))
 
 
 def quoted_prices(text: Column) -> Column:
@@ -109,7 +130,7 @@ def capitalise(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"{_BLANK}+", " "))
 
 
 def words(text: Column) -> Column:

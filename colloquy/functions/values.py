@@ -76,3 +76,8 @@ NO_TRAITS = "watchful, plainspoken"
 FLOOR = 0.85
 # Fixed values. Places that an action can lead to.
 PLACES = ["Karhold", "Emberhold", "Nighthaven", "the Echoing Glade", "Merrow Point", "Brannock"]
+
+# Fixed values. How an answer claims a name, or names someone; what is done rather than said.
+CLAIM = "(?:I am|call me|I'm) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)"
+NAMED = "([A-Z][a-z]+) is the name"
+BEAT = r"\*[^*]+\*"

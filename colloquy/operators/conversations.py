@@ -29,15 +29,15 @@ def render_card(turns: Column) -> Column:
     for head in ("Roleplaying Instructions:", "Roleplay Instructions:"):
         system = F.when(F.instr(system, head) > 1, F.regexp_replace(F.substring(system, F.lit(1), F.instr(system, head) - 1), r"[ .\n]+$", "")).otherwise(system)
     name = T.persona_name(system)
-    lines = F.transform(rest, lambda t: F.concat(F.when(t["role"] == "assistant", name).otherwise("Player"), F.lit(": "), F.trim(t["text"])))
+    lines = F.transform(rest, lambda t: F.concat(F.when(t["role"] == "assistant", name).otherwise("Player"), F.lit(": "), T.strip(t["text"])))
     return F.when((F.coalesce(system, F.lit("")) != "") & (F.size(rest) > 0), F.concat(name, F.lit("'s Description: "), system, F.lit("\n<START>\n"), F.array_join(lines, "\n")))
 
 
 def render_roles(turns: Column) -> Column:
     """### System, ### Player and ### NPC blocks, closed by a line end."""
     system, rest = system_and_turns(turns)
-    head = F.when(system.isNotNull(), F.concat(F.lit("### System:\n"), F.trim(system)))
-    body = F.transform(rest, lambda t: F.concat(F.when(t["role"] == "assistant", "### NPC:\n").otherwise("### Player:\n"), F.trim(t["text"])))
+    head = F.when(system.isNotNull(), F.concat(F.lit("### System:\n"), T.strip(system)))
+    body = F.transform(rest, lambda t: F.concat(F.when(t["role"] == "assistant", "### NPC:\n").otherwise("### Player:\n"), T.strip(t["text"])))
     return F.concat(F.concat_ws("\n", head, F.array_join(body, "\n")), F.lit("\n"))
 
 
@@ -82,7 +82,7 @@ def game_cards(turns: DataFrame, description: Column, scenario: Column, speaker:
     Turns are cut at a sentence; shorter ones than ``least`` make no card but still lead in to later ones. Turns
     without text or speaker are no turns.
     """
-    said = turns.where((F.col(text) != "") & (F.col(speaker) != "")).withColumn("line_", F.concat(F.col(speaker), F.lit(": "), T.truncate_at_sentence(F.trim(F.col(text)), limit)))
+    said = turns.where((F.col(text) != "") & (F.col(speaker) != "")).withColumn("line_", F.concat(F.col(speaker), F.lit(": "), T.truncate_at_sentence(T.strip(F.col(text)), limit)))
     before = F.collect_list("line_").over(Window.partitionBy(key).orderBy(order).rowsBetween(-3, -1))
     head = [F.concat(F.lit("Description: "), description), F.concat(F.lit("Scenario: "), scenario), F.lit("<START>")]
     card = F.concat(F.array_join(F.concat(F.array(*head), F.col("before_"), F.array("line_")), "\n"), F.lit("\n"))

@@ -71,7 +71,7 @@ def on_the_table(rows: DataFrame, items: DataFrame, key: str, seed: str = "table
 
 
 def quest(keeper: Column, title: Column, objective: Column, text: Column) -> Column:
-    return _card(keeper, F.lit("one who has work to give."), _says("Player", "Is there work for me?"), _says(keeper, title, ". ", F.trim(text)), _says("Player", "What must I do?"), _says(keeper, objective))
+    return _card(keeper, F.lit("one who has work to give."), _says("Player", "Is there work for me?"), _says(keeper, title, ". ", T.strip(text)), _says("Player", "What must I do?"), _says(keeper, objective))
 
 
 def answer(name: Column, biography: Column, query: Column, response: Column) -> Column:
@@ -199,12 +199,13 @@ def errands(rows: DataFrame, items: DataFrame, key: str, seed: str = "errand") -
     return out.where(~needs | F.col("gone").isNotNull()).withColumn("wanted", wanted).withColumn("oracle", oracle)
 
 
-def action_reward(action: Column, present: Column, oracle: Column, card: Column, places: list[str], mode: str = "off") -> Column:
+def action_reward(action: Column, present: Column, oracle: Column, card: Column, places: list[str], mode: str = "off", given: Column | None = None) -> Column:
     """What an answer's first action adds to its reward; ``present`` says whether a line opens with a bracket.
 
     Without an oracle, or in mode "off", an action that doesn't parse, leads to no known place or trades what the card
     doesn't name costs 1, any other 0.3. With one, the same action gains 1, none costs 0.8, the same verb 0.2, another
-    0.6; in mode "gate" an answer without an action line costs 1.
+    0.6; in mode "gate" an answer without an action line costs 1. ``given`` says whether there is an oracle; one that
+    doesn't parse asks for no action.
     """
     unknown = ((action["verb"] == "GOTO") & ~F.coalesce(action["arg"].isin(places), F.lit(False))) | (action["verb"].isin(values.PRICED_VERBS) & ~F.contains(F.lower(card), F.lower(action["arg"])))
     alone = F.when(~present, 0.0).when(action.isNull() | unknown, -1.0).otherwise(-0.3)
@@ -213,4 +214,4 @@ def action_reward(action: Column, present: Column, oracle: Column, card: Column,
     against = F.when(T.oracle_ok(oracle, action), 1.0).when(action.isNull(), -0.8).when(action["verb"] == oracle["verb"], -0.2).otherwise(-0.6)
     if mode == "gate":
         against = F.when(~present, -1.0).otherwise(against)
-    return F.when(oracle.isNull(), alone).otherwise(against)
+    return F.when(oracle.isNotNull() if given is None else given, against).otherwise(alone)

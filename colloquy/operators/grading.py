@@ -11,17 +11,14 @@ from ..functions import values
 from .dialogue import action_reward
 
 
-_BEAT = r"\*[^*]+\*"
-
-
 def _body(answer: Column) -> Column:
-    return F.regexp_replace(answer, r"^\s+|\s+$", "")
+    return T.strip(answer)
 
 
 def _strangers(body: Column, card: Column) -> tuple[Column, Column]:
     """Whether a speaker claims a name that the card lacks, by either turn of phrase."""
-    claims = F.regexp_extract_all(body, F.lit("(?:I am|call me|I'm) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)"), 1)
-    named = F.regexp_extract_all(body, F.lit("([A-Z][a-z]+) is the name"), 1)
+    claims = F.regexp_extract_all(body, F.lit(values.CLAIM), 1)
+    named = F.regexp_extract_all(body, F.lit(values.NAMED), 1)
     return tuple(F.exists(x, lambda c: ~F.contains(card, c)) for x in (claims, named))
 
 
@@ -29,10 +26,10 @@ def flaws(answer: Column, card: Column, name: Column, kind: str) -> Column:
     """The flaws of an answer to a kind of question, in a fixed order."""
     body = _body(answer)
     claims, named = _strangers(body, card)
-    beat = body.rlike(_BEAT)
+    beat = body.rlike(values.BEAT)
     grounded = F.arrays_overlap(T.content_words(card), T.content_words(body))
     checks = [
-        (F.startswith(F.ltrim(answer), F.lit("Player:")) | F.startswith(F.ltrim(answer), F.lit("###")), "prefix_leak"),
+        (F.startswith(T.strip_left(answer), F.lit("Player:")) | F.startswith(T.strip_left(answer), F.lit("###")), "prefix_leak"),
         (claims, "persona_swap"),
         (named, "persona_swap"),
         (F.contains(body, F.lit("Description:")) | F.contains(body, F.lit("<START>")), "card_continuation"),
@@ -73,17 +70,17 @@ def reward(answer: Column, question: Column, card: Column, stopped: Column, orac
         intent |= (kind == k) & T.has_intent(k, body)
     own = F.array_except(F.regexp_extract_all(F.lower(card), F.lit("([a-z]{5,})"), 1), T.strings([*values.STOP_WORDS, "player", "start"]))
     shared = F.arrays_overlap(own, F.regexp_extract_all(F.lower(body), F.lit("([a-z]{5,})"), 1))
-    total = F.lit(1.0) + part(body.rlike(_BEAT), -0.5) + part(intent, 1.0, -0.5) + part(shared, 1.0)
+    total = F.lit(1.0) + part(body.rlike(values.BEAT), -0.5) + part(intent, 1.0, -0.5) + part(shared, 1.0)
     last = F.element_at(T.words(F.element_at(F.split(card, "\n"), -1)), 1)
     total += F.when((question == "Tell me about yourself.") & F.contains(card, F.lit("\n")), part(F.contains(body, last), 0.5, -0.5)).otherwise(0.0)
     total += part((question == "Is that thing on your table for sale?") & ~shared, -0.5)
     total += part(stopped | F.contains(answer, F.lit("\nPlayer:")), 0.5, -0.5)
     acts = T.action_lines(body)["actions"]
     present, act = F.size(acts) > 0, T.parse_action(F.get(acts, F.lit(0)))
-    right = T.parse_action(F.lit(None).cast("string") if oracle is None else oracle)
-    total += action_reward(act, present, right, card, values.PLACES, mode)
+    asked = F.lit(None).cast("string") if oracle is None else oracle
+    total += action_reward(act, present, T.parse_action(asked), card, values.PLACES, mode, asked.isNotNull())
     total += part(F.length(body) >= 24, 0.5) + part(T.repeats_ngram(body), -1.0)
-    total = F.when(right.isNotNull() & ~present & F.lit(mode == "gate"), -1.0).otherwise(total)
+    total = F.when(asked.isNotNull() & ~present & F.lit(mode == "gate"), -1.0).otherwise(total)
     return F.when(claims | named, -1.0).when(F.contains(body, F.lit("Description:")) | F.contains(body, F.lit("<START>")), -0.5).when(T.is_toxic(body), -0.5).otherwise(total)
 
 

@@ -42,7 +42,7 @@ def _sql_any(text: str, items) -> str:
 
 _TOXIC = _sql_any("lower(text)", values.TOXIC)
 _BEATS = rf"""array_to_string([CASE WHEN {" OR ".join(f"starts_with(x, '{f}')" for f in values.CARD_FIELDS)} THEN x
-    ELSE trim(regexp_replace(x, '\s*\*[^*]+\*\s*', ' ', 'g')) END FOR x IN string_split(text, chr(10))], chr(10))"""
+    WHEN NOT regexp_matches(x, '\S') THEN x ELSE regexp_replace(regexp_replace(x, '\s*\*[^*]+\*\s*', ' ', 'g'), '^\s+|\s+$', '', 'g') END FOR x IN string_split(text, chr(10))], chr(10))"""
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 
 
@@ -442,7 +442,7 @@ _CLAIMS = _ANY.format(pattern="(?:I am|call me|I''m) ([A-Z][a-z]+(?: [A-Z][a-z]+
 _NAMED = _ANY.format(pattern="([A-Z][a-z]+) is the name")
 _MOST = "coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM unnest(range(1, len(z.w) - 1)) AS t(i) GROUP BY z.w[i], z.w[i + 1], z.w[i + 2])), 0)"
 _GRADED = rf"""SELECT conv_id, turn, a, q, list_filter([
-    CASE WHEN starts_with(ltrim(a, ' '), 'Player:') OR starts_with(ltrim(a, ' '), '###') THEN 'prefix_leak' END,
+    CASE WHEN starts_with(regexp_replace(a, '^\s+', ''), 'Player:') OR starts_with(regexp_replace(a, '^\s+', ''), '###') THEN 'prefix_leak' END,
     CASE WHEN {_CLAIMS} THEN 'persona_swap' END,
     CASE WHEN {_NAMED} THEN 'persona_swap' END,
     CASE WHEN contains(b, 'Description:') OR contains(b, '<START>') THEN 'card_continuation' END,
@@ -671,11 +671,18 @@ def left_pad_batch(spark, sf):
     return tokens.left_pad(rows, "conv_id", "ids").select("conv_id", "turn", "padded", "mask")
 
 
-@query()
+GAP, MOST = 3_600_000, 4
+#: Arrivals of each user, and the place of each batch's first: it closes after ``GAP`` or at ``MOST``.
+_ARRIVED = f"""e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+    nxt AS (SELECT a.user_id, a.i, min(b.i) AS j FROM e a JOIN e b ON a.user_id = b.user_id AND b.i > a.i AND b.i <= a.i + {MOST} AND (b.ms - a.ms > {GAP} OR b.i = a.i + {MOST}) GROUP BY ALL),
+    heads AS (SELECT user_id, 1::BIGINT AS i, 0::BIGINT AS batch FROM e WHERE i = 1 UNION ALL SELECT h.user_id, nxt.j, h.batch + 1 FROM heads h JOIN nxt ON h.user_id = nxt.user_id AND h.i = nxt.i)"""
+
+
+@query(f"WITH RECURSIVE {_ARRIVED} SELECT e.user_id, e.event_id, max(h.batch)::INT AS batch FROM e JOIN heads h ON h.user_id = e.user_id AND h.i <= e.i GROUP BY e.user_id, e.event_id")
 def anchored_microbatch(spark, sf):
-    """T3. A fold from each batch's first arrival: held against plain Python in the tests."""
+    """T3. A fold from each batch's first arrival."""
     rows = _t(spark, sf, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    return tokens.anchored_batches(rows, "user_id", "ms", "event_id", 3_600_000, 4)
+    return tokens.anchored_batches(rows, "user_id", "ms", "event_id", GAP, MOST)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

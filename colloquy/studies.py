@@ -80,7 +80,9 @@ def selfplay_history(spark, sf):
 @query()
 def demo_rows(spark, sf):
     """Prompts and actions that fit into 256 tokens of a tokenizer; held against it in the tests."""
-    return demos.fit_rows(_demos(spark, sf).withColumn("id", F.concat_ws("|", "conv_id", "turn")), "/opt/tokenizers/byte_bpe_50k.json", 256)
+    import public_tokenizers
+
+    return demos.fit_rows(_demos(spark, sf).withColumn("id", F.concat_ws("|", "conv_id", "turn")), public_tokenizers.path("byte_bpe_50k.json"), 256)
 
 
 _N = "len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> ''))::BIGINT"

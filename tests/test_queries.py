@@ -2,7 +2,7 @@
 
 import pytest
 
-from colloquy import queries, studies
+from colloquy import ingest, queries, studies
 
 from .oracle import connect, same
 

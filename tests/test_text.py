@@ -15,7 +15,7 @@ def one(spark, make, *values):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("*nods* Hello", "Hello"), ("Hello *nods*", "Hello"), ("a *b* c", "a c"), ("Description: a *b* c", "Description: a *b* c"), ("a * b", "a * b"), ("x\n\n*y*", "x\n\n"), ("", ""), (None, None)],
+    [("*nods* Hello", "Hello"), ("Hello *nods*", "Hello"), ("a *b* c", "a c"), ("Description: a *b* c", "Description: a *b* c"), ("a * b", "a * b"), ("x\n\n*y*", "x\n\n"), ("", ""), (None, None), ("\t*nods* hi\t", "hi"), ("a\n   \nb", "a\n   \nb"), ("\xa0*waves*\x1f", ""), ("Personality:\t*x* ", "Personality:\t*x* "), ("  two \r", "two")],
 )
 def test_strip_beats(spark, text, want):
     assert one(spark, T.strip_beats, text) == want
@@ -96,6 +96,25 @@ def test_flaws_by_hand(spark):
     assert flaws_of(spark, "That one is not cheap, friend.", card, "object") == ["object_ungrounded"] and flaws_of(spark, "This lanterns lot is fine.", card, "object") == []
 
 
+def test_white_space_before_marks(spark):
+    """Any white space may stand before a mark; a mark inside a line is none."""
+    card = "Mara keeps a shop of lanterns."
+    for lead in ("", " ", "\n", "\t", "\r\n ", "\xa0", "\x1f\u2003"):
+        assert flaws_of(spark, lead + "Player: I am Mara, hello", card)[0] == "prefix_leak" == flaws_of(spark, lead + "### I am Mara, hello", card)[0]
+    assert flaws_of(spark, "I am Mara. Player: hello there", card) == []
+    assert flaws_of(spark, "\n\t I am Mara 1234 \n\t", card) == ["too_short"] and flaws_of(spark, "I am Mara 123456", card) == []
+
+
+def test_strip_as_python_does(spark):
+    for text in ["\t a \n", "\x1c\x1da\x1e\x1f", "\u2003a b\u3000", "\u200ba", "a\n\n", "\x85\xa0", "", "x"]:
+        assert one(spark, T.strip, text) == text.strip() and one(spark, T.strip_left, text) == text.lstrip() and one(spark, T.strip_right, text) == text.rstrip()
+        assert one(spark, T.is_blank, text) == (not text.strip()) and one(spark, T.collapse, text) == " ".join(text.split())
+    assert one(spark, T.clean_name, "\tmara\n") == "Mara" and one(spark, lambda t: T.truncate_at_sentence(t, 6), "word \t\nmore") == "word."
+    got = one(spark, T.action_lines, "\n  Fine.\n\t[GOTO: Karhold]\n \x1f\n ok ")
+    assert got.dialog == ["Fine.", " ok"] and got.actions == ["\t[GOTO: Karhold]"]
+    assert one(spark, T.parse_action, "\t[DEAL: \tRope 3]\n").asDict() == {"verb": "DEAL", "arg": "Rope", "price": 3}
+
+
 def reward_of(spark, answer, question, card, stopped=True, oracle=None, mode="off"):
     return one(spark, lambda a, q, c, o: grading.reward(a, q, c, F.lit(stopped), o, mode), answer, question, card, oracle)
 
@@ -118,6 +137,11 @@ def test_rewards_by_hand(spark):
     assert reward_of(spark, "[GOTO: Karhold]", ask, card, oracle="[GOTO: Karhold]", mode="v2") == 1 - 0.5 + 0.5 + 1
     assert reward_of(spark, "No.", ask, card, oracle="[GOTO: Karhold]", mode="gate") == -1.0
     assert reward_of(spark, "No.", ask, card, oracle="[GOTO: Karhold]", mode="v2") == pytest.approx(1 - 0.5 + 0.5 - 0.8)
+    # An oracle that doesn't parse is one all the same: it asks for no action.
+    assert reward_of(spark, "No.", ask, card, oracle="stay", mode="gate") == -1.0 and reward_of(spark, "No.", ask, card, oracle="stay", mode="v2") == 1 - 0.5 + 0.5 + 1
+    assert reward_of(spark, "[GOTO: Karhold]", ask, card, oracle="stay", mode="v2") == pytest.approx(1 - 0.5 + 0.5 - 0.6)
+    assert reward_of(spark, "[x]", ask, card, oracle="stay", mode="gate") == 1 - 0.5 + 0.5 + 1
+    assert reward_of(spark, "[GOTO: Karhold]", ask, card, oracle="stay") == pytest.approx(1 - 0.5 + 0.5 - 0.3)
 
 
 def test_repeats_keep_case_and_blank_sentences_dont_count(spark):
