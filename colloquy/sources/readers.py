@@ -41,6 +41,12 @@ def json_folder(spark: SparkSession, paths, schema) -> DataFrame:
     return df.withColumn("file", F.col("_metadata.file_path"))
 
 
+def game_replays(spark: SparkSession, path, one_a_line: bool = False) -> DataFrame:
+    """file and value, a variant, of each recorded game: a JSON file each, or a line each. What can't be decoded is left out."""
+    df = spark.read.option("singleVariantColumn", "value").option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json" if not one_a_line else "*").option("multiLine", not one_a_line).json(path)
+    return df.select(F.col("_metadata.file_path").alias("file"), "value").where("value IS NOT NULL")
+
+
 def book_csv(spark: SparkSession, path) -> DataFrame:
     """title, word_count, content by place; short rows are dropped."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).schema("title string, word_count string, content string").csv(path)
