@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import keyed
-from .operators import budget
-from .queries import _ARRIVED, GAP, MOST, _t, query
-from .sources import ranges, readers, token_files
+from .functions import keyed, permute, values
+from .functions import text as T
+from .operators import budget, demos, grading, mixture, order, replays
+from .operators import conversations as C
+from .queries import _ARRIVED, _CUT, _GRADED, _TOXIC, GAP, MOST, _graded, _list, _t, query
+from .sources import first_seen, ranges, readers, sinks, token_files
 from .sources.shared import shared_path
-from .streaming import batches
-from .studies import _steps
+from .streaming import batches, running
+from .studies import _STEPS, _steps
 
 #: Documents of a file, and bytes of a range: small ranges, so that small tables are split as well.
 PER_FILE, RANGE = 500, 1 << 16
@@ -75,9 +77,9 @@ WINDOW = 16
 
 def _token_file(spark: SparkSession, sf: str) -> str:
     path = shared_path(spark, "tokens")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = _t(spark, sf, "lineitem").select(*order, F.array((F.col("l_suppkey") % 60000).cast("int")).alias("ids"))
-    token_files.write(rows, path, order, "ids")
+    by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = _t(spark, sf, "lineitem").select(*by, F.array((F.col("l_suppkey") % 60000).cast("int")).alias("ids"))
+    token_files.write(rows, path, by, "ids")
     return path
 
 
@@ -140,3 +142,275 @@ def instructed_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of prompts that keep their instruction and lose the oldest turns; held against whole ones in the tests."""
     rows = budget.gathered(_steps(spark, sf), _tokenizer(), 256, "conv_id", "turn", F.lit("Play well."))
     return budget.with_instruction(rows, _tokenizer(), 256)
+
+
+# Streams of results
+
+
+@query("SELECT user_id::VARCHAR || '|' || event_type AS prompt, count(*) AS attempts, count(*) FILTER (value >= 50)::BIGINT AS passes FROM events GROUP BY ALL")
+def running_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts and passes of each prompt, kept by a stream; its last snapshot."""
+    table = _t(spark, sf, "events")
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    path, state = shared_path(spark, "passes"), shared_path(spark, "passes-state")
+    results = stream.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("prompt"), F.col("value").alias("score"))
+    running.keep(results, path, state, least=50).awaitTermination()
+    return running.snapshot(spark, path)
+
+
+# Orders and appends
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, n FROM documents, n),
+    p AS (SELECT doc_id, n, {permute.sql_turned('i', 'n', 11)} AS v FROM d UNION ALL SELECT doc_id, n, {permute.sql_turned('v', 'n', 11)} FROM p WHERE v >= n)
+    SELECT doc_id, v::BIGINT AS place, v // 32 AS batch FROM p WHERE v < n""")
+def epoch_order(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: each document's place in a shuffled epoch, and its batch, without a sort of the epoch."""
+    table = _t(spark, sf, "documents")
+    rows = sinks.token_offsets(table.select("doc_id", F.lit(1).cast("long").alias("one")), "doc_id", "one")
+    at = permute.place(F.col("offset"), table.count(), 11)
+    return rows.select("doc_id", at.alias("place"), F.floor(at / 32).alias("batch"))
+
+
+def _json_files(df: DataFrame, tag: str) -> str:
+    """JSON lines in files of ``PER_FILE`` documents, in the order of their ids."""
+    return _text_files(df, F.to_json(F.struct("doc_id", "source", "text")), tag)
+
+
+_CLEAN = "NOT (" + _TOXIC + ")"
+
+
+@query(f"""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY (doc_id // {PER_FILE})::VARCHAR, doc_id) AS k FROM documents WHERE length(text) >= 200 AND {_CLEAN}) WHERE k <= 40""")
+def first_clean_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 40 clean rows of each source, in the order of the files; the limit is the operator's."""
+    scan = readers.json_lines(spark, _json_files(_t(spark, sf, "documents"), "ordered"), "doc_id long, source string, text string")
+    clean = order.as_read(scan).where((F.length("text") >= 200) & ~T.is_toxic(F.col("text")))
+    return order.first_rows(clean, 40, ["source"]).select("source", "doc_id")
+
+
+_KEY = r"substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 120)"
+
+
+@query(rf"""WITH a AS (SELECT 0 AS run, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark UNION ALL SELECT 2, turn * 1000000 + conv_id, text FROM conversations)
+    SELECT run, id FROM a QUALIFY row_number() OVER (PARTITION BY {_KEY.replace('text', "coalesce(text, '')")} ORDER BY run, id) = 1""")
+def append_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Four appends to one table, the first one twice; each adds only texts whose head isn't there yet."""
+    path = shared_path(spark, "first-seen")
+    tables = [_t(spark, sf, "documents").select(F.lit(0).alias("run"), F.col("doc_id").alias("id"), "text"), _t(spark, sf, "benchmark").select(F.lit(1).alias("run"), F.col("item_id").alias("id"), "text"), _t(spark, sf, "conversations").select(F.lit(2).alias("run"), (F.col("turn") * 1000000 + F.col("conv_id")).alias("id"), "text")]
+    key = F.substring(T.collapse(F.col("text")), 1, 120)
+    for rows in (tables[0], tables[0], tables[1], tables[2]):
+        first_seen.append(rows.withColumn("id", F.col("id").cast("long")), path, key, "id")
+    return first_seen.read(spark, path).select("run", "id")
+
+
+# Games as nested JSON
+
+
+def _replays(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as recorded games, a line each: a turn is a step of an agent; some act otherwise, some aren't objects."""
+    kind = F.when(F.col("turn") % 5 == 4, "VoteAction").otherwise("ChatAction")
+    prompt = F.when(F.col("turn") % 3 != 2, F.concat(F.lit('{"your_role_name":  "Role '), F.col("turn").cast("string"), F.lit('"}'))).otherwise("no role")
+    chat = F.to_json(F.struct(F.struct(kind.alias("action_type"), F.struct(F.col("text").alias("message"), F.col("role").alias("actor_id"), prompt.alias("raw_prompt")).alias("kwargs")).alias("action")))
+    act = F.when(F.col("turn") % 7 == 3, F.lit('{"action": 5}')).otherwise(chat)
+    turns = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", act.alias("a")))).alias("t"))
+    steps = F.concat(F.lit('{"steps": [['), F.array_join(F.transform("t", lambda x: x["a"]), '], ['), F.lit("]]}"))
+    path = shared_path(spark, "replays")
+    turns.select(F.concat(F.lit('{"conv_id": '), F.col("conv_id").cast("string"), F.lit(', "first": '), F.col("t")[0]["turn"].cast("string"), F.lit(', "game": '), steps, F.lit("}")).alias("value")).write.text(path)
+    games = readers.game_replays(spark, path, one_a_line=True)
+    get = lambda at, kind: F.try_variant_get("value", at, kind)
+    return replays.chat_turns(games.select(get("$.conv_id", "long").alias("conv_id"), get("$.first", "long").alias("first"), get("$.game", "variant").alias("value"))).withColumn("turn", F.col("step") + F.col("first"))
+
+
+_CHAT = "SELECT conv_id, turn, role AS speaker, CASE WHEN turn % 3 <> 2 THEN 'Role ' || turn ELSE 'Villager' END AS role, text FROM conversations WHERE turn % 7 <> 3 AND turn % 5 <> 4 AND text <> '' AND role <> ''"
+
+
+@query(_CHAT)
+def replay_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The chat actions of recorded games, with the role that each prompt names."""
+    return _replays(spark, sf).select("conv_id", "turn", "speaker", "role", "text")
+
+
+_SAID = f"SELECT conv_id, turn, speaker, role, {_CUT} AS said FROM (SELECT *, greatest(" + ", ".join(f"CASE WHEN contains(cut, '{s} ') THEN length(cut) - strpos(reverse(cut), ' {s}') - 1 ELSE -1 END" for s in ".!?") + rf") AS best FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 400) AS cut FROM ({_CHAT})))"
+
+
+@query(f"""SELECT conv_id, turn, 'Description: ' || speaker || ', playing as a ' || role || '.' || chr(10) || 'Scenario: A talk among all players.' || chr(10) || '<START>' || chr(10) || array_to_string(list_concat(before, [speaker || ': ' || said]), chr(10)) || chr(10) AS card
+    FROM (SELECT *, coalesce(list(speaker || ': ' || said) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS before FROM ({_SAID})) WHERE length(said) >= 16""")
+def replay_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """P15 from the recorded games themselves."""
+    description = F.concat("speaker", F.lit(", playing as a "), "role", F.lit("."))
+    return C.game_cards(_replays(spark, sf), description, F.lit("A talk among all players."), key="conv_id").select("conv_id", "turn", "card")
+
+
+# Other formats, written and read back
+
+
+@query("SELECT doc_id, source, text FROM documents")
+def strict_json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """S1, K1."""
+    path = shared_path(spark, "jsonl")
+    sinks.write_texts(_t(spark, sf, "documents").select("doc_id", "source", "text"), path)
+    return readers.json_lines(spark, path, "doc_id long, source string, text string")
+
+
+@query("SELECT doc_id, source, text FROM documents")
+def lenient_json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Blank and broken lines between the rows are left out."""
+    rows = _t(spark, sf, "documents").select("doc_id", "source", "text")
+    path = shared_path(spark, "lenient")
+    rows.select(F.explode(F.array(F.to_json(F.struct("doc_id", "source", "text")), F.lit(""), F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string")))).alias("value")).write.text(path)
+    return readers.json_lines(spark, path, "doc_id long, source string, text string", strict=False)
+
+
+@query("SELECT doc_id, text FROM documents")
+def optional_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: a source that is there and one that isn't."""
+    path = shared_path(spark, "optional")
+    sinks.write_texts(_t(spark, sf, "documents").select("doc_id", "text"), path)
+    return readers.optional(spark, path, "doc_id long, text string").unionByName(readers.optional(spark, f"{path}-missing", "doc_id long, text string"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that hold one array each."""
+    rows = _t(spark, sf, "documents").select(F.floor(F.col("doc_id") / PER_FILE).alias("file_"), F.struct("doc_id", "text").alias("r"))
+    path = shared_path(spark, "arrays")
+    rows.groupBy("file_").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("file_").text(path)
+    return readers.json_array(spark, path, "doc_id long, text string").select("doc_id", "text")
+
+
+@query("SELECT doc_id::VARCHAR AS title, n_chars::VARCHAR AS word_count, text AS content FROM documents WHERE text IS NOT NULL")
+def book_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Large fields with line ends and quotes; short rows are dropped."""
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("title"), F.col("n_chars").cast("string").alias("word_count"), F.col("text").alias("content"))
+    path = shared_path(spark, "books")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.book_csv(spark, path)
+
+
+@query("SELECT p_name AS value, count(*) AS n FROM part GROUP BY ALL")
+def name_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of files that are there, of those asked for."""
+    path = shared_path(spark, "names")
+    _t(spark, sf, "part").select(F.col("p_name").alias("value")).write.text(path)
+    return readers.lines(spark, [path, f"{path}-missing"]).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT conv_id, turn::VARCHAR AS Step, role AS Action, text AS Observation FROM conversations WHERE text IS NOT NULL AND text <> ''")
+def replay_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Logged runs, a folder each conversation, whose fields hold line ends."""
+    rows = _t(spark, sf, "conversations").where("text <> ''").select("conv_id", F.col("turn").alias("Step"), F.col("role").alias("Action"), F.col("text").alias("Observation"))
+    path = shared_path(spark, "maze")
+    rows.repartition("conv_id").write.partitionBy("conv_id").option("header", True).option("quoteAll", True).option("escape", "˘").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = readers.replay_csv(spark, f"{path}/conv_id=*")
+    return read.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "Step", "Action", "Observation")
+
+
+@query("SELECT s_nationkey::BIGINT AS nation, count(*) AS n FROM supplier GROUP BY ALL")
+def json_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON file for each nation, with its suppliers; a folder that isn't there."""
+    path = shared_path(spark, "folder")
+    _t(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("nation")).agg(F.collect_list("s_suppkey").alias("s")).withColumn("part", F.col("nation")).write.partitionBy("part").json(path)
+    rows = readers.json_folder(spark, [f"{path}/part=*", f"{path}-missing"], "nation long, s array<long>")
+    return rows.select("nation", F.size("s").cast("long").alias("n"))
+
+
+def _episode_files(spark: SparkSession, sf: str) -> str:
+    """Conversations as episodes, an .npz file each."""
+    path = shared_path(spark, "episodes")
+
+    def write(frame):
+        import io
+
+        import numpy as np
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        frame = frame.sort_values("turn")
+        texts = {c: np.array(frame[c].fillna("").astype(str).tolist(), dtype=str) for c in ("long", "short", "action")}
+        done = frame["done"].fillna(False).astype(bool).to_numpy()
+        out = io.BytesIO()
+        np.savez_compressed(out, action=texts["action"], reward=np.zeros(len(frame)), terminated=done, truncated=np.zeros(len(frame), bool), long_term_context=texts["long"], short_term_context=texts["short"])
+        system, inner = pafs.FileSystem.from_uri(path)
+        key = int(frame["conv_id"].iloc[0])
+        system.create_dir(f"{inner}/maze/task{key % 3}", recursive=True)
+        with system.open_output_stream(f"{inner}/maze/task{key % 3}/{key}.npz") as f:  # the same bytes, if a task runs again
+            f.write(out.getvalue())
+        return pd.DataFrame({"conv_id": [key]})
+
+    _steps(spark, sf).groupBy("conv_id").applyInPandas(write, "conv_id long").write.format("noop").mode("overwrite").save()
+    return path
+
+
+@query(f"WITH {_STEPS} SELECT conv_id, turn, 'task' || conv_id % 3 AS task, action, prompt FROM d")
+def episode_file_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes in .npz files, with the texts of their observations, replayed to prompts."""
+    steps = readers.episode_arrays(spark, _episode_files(spark, sf))
+    steps = steps.withColumn("conv_id", F.regexp_extract("file", r"/(\d+)\.npz$", 1).cast("long")).withColumn("done", F.col("terminated") | F.col("truncated")).withColumn("task", readers.task_of(F.col("file"), "maze"))
+    rows = demos.replayed(steps, "conv_id", "step")
+    return rows.select("conv_id", F.col("step").alias("turn"), "task", "action", C.flatten(demos.messages(F.lit("Play well."), F.col("past"), F.col("long"), F.col("short"))).alias("prompt"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {keyed.sql_uniform('doc_id', 23)} < 0.3 THEN 'holdout' ELSE 'train' END AS split FROM documents")
+def split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: train and held-out rows, a folder each."""
+    path = shared_path(spark, "split")
+    sinks.write_split(mixture.holdout(_t(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id"), 23, 0.3), path)
+    return spark.read.parquet(path).select("doc_id", "split")
+
+
+# Rules of texts
+
+
+def _first(low: int, high: int, most: int) -> str:
+    return "SELECT doc_id, coalesce(" + ", ".join(f"CASE WHEN strpos(text, '{s} ') - 1 > {low} AND strpos(text, '{s} ') - 1 < {high} THEN substr(text, 1, strpos(text, '{s} ')) END" for s in ".!?") + f", substr(text, 1, {most})) AS sentence FROM documents"
+
+
+@query(_first(20, 260, 260))
+def first_sentence_short(spark: SparkSession, sf: str) -> DataFrame:
+    """P10, as greetings are cut."""
+    return _t(spark, sf, "documents").select("doc_id", T.first_sentence(F.col("text"), 20, 260, 260).alias("sentence"))
+
+
+@query(_first(30, 280, 260))
+def first_sentence_long(spark: SparkSession, sf: str) -> DataFrame:
+    """P10, as descriptions are cut."""
+    return _t(spark, sf, "documents").select("doc_id", T.first_sentence(F.col("text"), 30, 280, 260).alias("sentence"))
+
+
+@query(f"SELECT doc_id, {_TOXIC.replace('lower(text)', 'lower(t)')} AS toxic FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || ' ' || upper({_list(values.TOXIC)}[1 + doc_id % {len(values.TOXIC)}]) ELSE text END AS t FROM documents)")
+def toxic_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 with its list alone; a fourth of the texts get one of its phrases, in capitals."""
+    phrase = F.upper(F.element_at(T.strings(values.TOXIC), (F.col("doc_id") % len(values.TOXIC) + 1).cast("int")))
+    text = F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" "), phrase)).otherwise(F.col("text"))
+    return _t(spark, sf, "documents").select("doc_id", T.is_toxic(text).alias("toxic"))
+
+
+@query("""SELECT conv_id, array_to_string(list(coalesce(role, 'user') || ': ' || array_to_string(string_split(coalesce(text, ''), chr(10)), ' ') ORDER BY turn), chr(10)) || chr(10) || 'assistant:' AS prompt FROM conversations GROUP BY conv_id""")
+def block_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """P20: messages whose content is a list of blocks, here a block for each line."""
+    blocks = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text")))
+    rows = C.gather(_t(spark, sf, "conversations").withColumn("text", C.block_text(blocks)))
+    return rows.select("conv_id", C.flatten(F.col("turns")).alias("prompt"))
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, '') || chr(10) || chr(9) || CASE WHEN turn % 2 = 0 THEN '[GOTO: x]' ELSE 'so' END || chr(10), '^\s+|\s+$', '', 'g') AS t FROM conversations), l AS (SELECT conv_id, turn, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM t)
+    SELECT conv_id, turn, list_filter(l, lambda x: NOT regexp_matches(x, '^\s*\[')) AS dialog, list_filter(l, lambda x: regexp_matches(x, '^\s*\[')) AS actions FROM l""")
+def action_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of answers, those of actions apart."""
+    end = F.concat(F.lit("\n\t"), F.when(F.col("turn") % 2 == 0, "[GOTO: x]").otherwise("so"), F.lit("\n"))
+    both = T.action_lines(F.concat(F.coalesce("text", F.lit("")), end))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", both.alias("b")).select("conv_id", "turn", "b.dialog", "b.actions")
+
+
+@query(r"""SELECT p_partkey, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(lower(replace(p_name, '_', ' ')), ' ')], ' ') AS title FROM part""")
+def clean_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of games, some with a prefix and underscores."""
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Open Spiel:  "), F.translate("p_name", " ", "_"))).otherwise(F.col("p_name"))
+    return _t(spark, sf, "part").select("p_partkey", T.clean_title(raw).alias("title"))
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, unnest(flaws) AS flaw, generate_subscripts(flaws, 1) AS k FROM ({_GRADED})), c AS (SELECT flaw, count(*) AS n_flaws, min((conv_id, turn, k)) AS first_ FROM f GROUP BY flaw)
+    SELECT flaw, n_flaws, row_number() OVER (ORDER BY n_flaws DESC, first_)::INT AS rank FROM c""")
+def flaw_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Flaws by count, equals by which is seen first."""
+    return grading.flaw_ranking(_graded(spark, sf), ["conv_id", "turn"])

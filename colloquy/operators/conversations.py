@@ -46,6 +46,11 @@ def flatten(turns: Column) -> Column:
     return F.concat(F.array_join(F.transform(turns, lambda t: F.concat(F.coalesce(t["role"], F.lit("user")), F.lit(": "), t["text"])), "\n"), F.lit("\nassistant:"))
 
 
+def block_text(content: Column) -> Column:
+    """The text of a message whose content is a list of blocks (type, text): their texts with spaces between, null as empty."""
+    return F.array_join(F.transform(F.coalesce(content, F.array().cast("array<struct<type:string,text:string>>")), lambda b: F.coalesce(b["text"], F.lit(""))), " ")
+
+
 def lead_in(turns: DataFrame, before: int = 3, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """Adds lead_in: up to ``before`` turns before each."""
     frame = Window.partitionBy(key).orderBy(order).rowsBetween(-before, -1)

@@ -51,6 +51,14 @@ def flaw_histogram(graded: DataFrame) -> DataFrame:
     return graded.select(F.explode("flaws").alias("flaw")).groupBy("flaw").agg(F.count("*").alias("n_flaws")).join(F.broadcast(n)).select("flaw", "n_flaws", F.round(F.col("n_flaws") / F.col("n"), 6).alias("rate"))
 
 
+def flaw_ranking(graded: DataFrame, order: list[str]) -> DataFrame:
+    """Each flaw's count and rank: the most frequent first, of equals the one that is seen first in ``order``."""
+    seen = graded.select(*order, F.posexplode("flaws").alias("at_", "flaw"))
+    counts = seen.groupBy("flaw").agg(F.count("*").alias("n_flaws"), F.min(F.struct(*order, "at_")).alias("first_"))
+    # A row for each kind of flaw.
+    return counts.select("flaw", "n_flaws", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n_flaws"), "first_")).alias("rank"))
+
+
 def pass_rate(graded: DataFrame) -> DataFrame:
     return graded.agg(F.count("*").alias("n"), F.count_if(F.size("flaws") == 0).alias("n_pass"), F.round(F.count_if(F.size("flaws") == 0) / F.greatest(F.count("*"), F.lit(1)), 6).alias("pass_rate"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FILE, START, PLACE = "file_", "start_", "place_"
+FILE, START, PLACE = "scan_file", "scan_start", "scan_place"
 
 
 def as_read(scan: DataFrame) -> DataFrame:

@@ -76,19 +76,33 @@ def articles(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataF
     return ranges.articles(spark, path, split).select("title", "body")
 
 
-def episode_arrays(spark: SparkSession, folder: str, schema: str = "file string, step long, action string, reward double, terminated boolean, truncated boolean") -> DataFrame:
-    """Steps of *.npz episodes below ``folder``; arrays of objects are refused."""
+def episode_arrays(spark: SparkSession, folder: str, schema: str = "file string, step long, action string, reward double, terminated boolean, truncated boolean, long string, short string") -> DataFrame:
+    """Steps of *.npz episodes below ``folder``; arrays of objects are refused.
+
+    long and short are an observation's texts: of arrays of these names with _term_context behind, or of an array
+    ``text`` of JSON objects with these fields; empty where an episode has neither.
+    """
     import io
+    import json
 
     import numpy as np
     import pyarrow as pa
 
+    def contexts(z, n):
+        if "text" in z.files:
+            found = [json.loads(str(x) or "{}") for x in z["text"]]
+            found = [x if isinstance(x, dict) else {} for x in found]
+            return [[str(x.get(f"{kind}_term_context") or "") for x in found] for kind in ("long", "short")]
+        return [[str(x) for x in z[f"{kind}_term_context"]] if f"{kind}_term_context" in z.files else [""] * n for kind in ("long", "short")]
+
     def decode(batches):
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 with np.load(io.BytesIO(content), allow_pickle=False) as z:
                     n = len(z["action"])
-                    yield pa.RecordBatch.from_pydict({"file": [path] * n, "step": list(range(n)), "action": [str(x) for x in z["action"]], "reward": z["reward"].astype(float), "terminated": z["terminated"].astype(bool), "truncated": z["truncated"].astype(bool)})
+                    long, short = contexts(z, n)
+                    columns = {"file": [path] * n, "step": list(range(n)), "action": [str(x) for x in z["action"]], "reward": z["reward"].astype(float), "terminated": z["terminated"].astype(bool), "truncated": z["truncated"].astype(bool), "long": long, "short": short}
+                    yield pa.RecordBatch.from_pydict(columns)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(folder)
     return files.select("path", "content").mapInArrow(decode, schema)
