@@ -42,6 +42,11 @@ def _unit(column) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """A vector times the power of two that brings its largest component near one: no angle changes, and nothing overflows."""
+    return np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+
+
 def nodes(df: DataFrame, key: str, vector: str, spare: int) -> tuple[DataFrame, DataFrame]:
     """Written tables: id and vec (bytes) of the nodes, and node, member, at most ``spare`` members of each, smallest first."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("member"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("member IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
@@ -54,7 +59,7 @@ def nodes(df: DataFrame, key: str, vector: str, spare: int) -> tuple[DataFrame,
 
     def pack(batches):
         for b in batches:
-            vecs = [np.array(x, dtype=np.float32).tobytes() for x in b.column("v").to_pylist()]
+            vecs = [_scaled(np.array(x, dtype=np.float64)).astype(np.float32).tobytes() for x in b.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(vecs, pa.binary())], ["id", "vec"])
 
     # An id that repeats with several vectors stays one node.
@@ -239,6 +244,9 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vec
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "other"))).where(F.col("n") <= 4 * k + 1)
     origin = df.select(F.col(f"`{key}`").cast("long").alias("o"), F.col(f"`{vector}`").cast("array<double>").alias("w")).dropDuplicates(["o"])
     best = best.join(origin.select(F.col("o").alias("other"), F.col("w").alias("wo")), "other").join(origin.select(F.col("o").alias("query"), F.col("w").alias("wq")), "query")
+    # Powers of two change no digit of the measure, but keep the sums of very large and very small components in range.
+    near_one = lambda c: f"transform({c}, x -> x * pow(2D, -greatest(-1000D, floor(log2(array_max(transform({c}, y -> abs(y))))))))"
+    best = best.withColumns({c: F.expr(near_one(c)) for c in ("wo", "wq")})
     dot = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
     best = best.select("query", "other", F.expr(f"{dot('wo', 'wq')} / (sqrt({dot('wo', 'wo')}) * sqrt({dot('wq', 'wq')}))").alias("score"))
     full = asked.join(best, asked["node"] == best["query"]).select("q", "other", "score").join(members.withColumnRenamed("node", "other"), "other").where("q <> member")

@@ -30,7 +30,10 @@ HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'
 MARK = re.compile(r'data-main="([01])"')
 
 #: Elements whose content is never text of the page. Formulas, drawings and buttons keep their text, like any inline element.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "template", "textarea", "title", "iframe", "select"}
+#: Elements whose content stands in for them where they can't be shown. If one isn't closed, the text after it is the page's.
+INSTEAD = {"noscript", "object", "canvas", "audio", "video"}
+_INSTEAD = re.compile(r"<(?:" + "|".join(sorted(INSTEAD)) + r")\b", re.I)
 #: Elements that begin and end a block, by the group their weight is for.
 GROUPS = {
     "html": "html", "head": "head", "body": "body", "article": "article", "main": "main", "section": "section", "div": "div", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer",
@@ -56,6 +59,42 @@ _F = {f: i for i, f in enumerate(FEATURES)}
 _CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"})}
 
 
+def stand_ins(source: str) -> dict[int, int]:
+    """Where the content of each closed ``INSTEAD`` element begins and ends (after its end tag), in one pass.
+
+    An end tag closes the last such element that is open; the end of a block that was opened before it ends it unclosed.
+    """
+    out: dict[int, int] = {}
+    if not _INSTEAD.search(source):
+        return out
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    raw_end = 0
+    for m in TOKEN.finditer(source):
+        found = NAME.match(m[0]) if m.start() >= raw_end else None
+        name = found[1].lower() if found else ""
+        if name in RAW:
+            if m[0][1] != "/" and not m[0].endswith("/>"):
+                end = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(source, m.end())
+                raw_end = end.end() if end else len(source)
+            continue
+        if name not in INSTEAD and name not in GROUPS:
+            continue
+        if m[0][1] != "/":
+            if not (name in INSTEAD and m[0].endswith("/>")):
+                stack.append((name, m.end()))
+                count[name] = count.get(name, 0) + 1
+        elif count.get(name, 0):
+            while stack:
+                top, begin = stack.pop()
+                count[top] -= 1
+                if top == name:
+                    if name in INSTEAD:
+                        out[begin] = m.end()
+                    break
+    return out
+
+
 class Tree:
     """Nodes of one or many pages: parents, depths, features, marks; and text blocks."""
 
@@ -106,7 +145,7 @@ class Tree:
                 if in_link:
                     linked += end - at
 
-        skip_to = 0
+        skip_to, instead = 0, stand_ins(source)
         for m in TOKEN.finditer(source):
             start = m.start()
             if start < skip_to:
@@ -123,6 +162,10 @@ class Tree:
                 if opening and not token.endswith("/>"):
                     end = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(source, at)
                     at = skip_to = end.end() if end else len(source)
+                    parts.append(" ")
+            elif name in INSTEAD:
+                if opening and at in instead:
+                    at = skip_to = instead[at]
                     if name != "canvas":
                         parts.append(" ")
             elif name == "a":
@@ -235,7 +278,7 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[str]:
             u = rnd.random()
             out.append(
                 f"<p>{prose()}</p>" if u < 0.55 else f"<p><b>{prose()}<br>" if u < 0.65 else f"<p>{prose()}" if u < 0.7 else f"<h2>{words(1, 6)}</h2>" if u < 0.76
-                else "<ul>" + "".join(f"<li>{prose()}</li>" for _ in range(3)) + "</ul>" if u < 0.8 else f"<blockquote>{paragraphs(1, 2)}</blockquote>" if u < 0.84
+                else "<ul>" + "".join(f"<li>{link() if linked else prose()}</li>" for linked in [rnd.random() < 0.5] for _ in range(rnd.randint(2, 4))) + "</ul>" if u < 0.8 else f"<blockquote>{paragraphs(1, 2)}</blockquote>" if u < 0.84
                 else f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>" if u < 0.87 else f"<div>{prose()}</div>" if u < 0.9 else f"<pre>{prose()}</pre>" if u < 0.92
                 else f"<figure><img src='x'><figcaption>{prose()}</figcaption></figure>" if u < 0.94 else f"<p>{prose()} {link()} {prose()}</p>" if u < 0.96 else junk(True))
         return "".join(out)

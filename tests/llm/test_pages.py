@@ -123,3 +123,44 @@ def test_neighbours(spark):
     assert set(got) == set(range(0, 700, 50)) and hits >= 0.9 * 5 * 14
     assert [got[100][k][0] for k in range(1, 6)] == [101, 102, 103, 104, 105]
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def one_page(source):
+    return html_text.extract([source], *html_text.model())[0]
+
+
+_LINE = "The first sentence of an article that says a lot of things about the world. " * 2
+
+
+def test_linked_lists_of_an_article_stay():
+    nav = '<nav><ul><li><a href="x">Home</a></li><li><a href="y">About us</a></li></ul></nav>'
+    got = one_page(f'<html><body>{nav}<article><h1>Head</h1><p>{_LINE}</p><ul><li><a href="a">One linked item</a></li><li><a href="b">Another linked item</a></li></ul><p>{_LINE}</p></article><footer>Foot</footer></body></html>')
+    assert got.split("\n\n") == ["Head", _LINE.strip(), "One linked item", "Another linked item", _LINE.strip()]
+
+
+def test_stand_ins_are_left_out_only_if_they_are_closed():
+    for name in sorted(html_text.INSTEAD):
+        closed = one_page(f"<article><h1>Head</h1><p>{_LINE}</p><p>before <{name}>Can't be shown.</{name}> after it the text goes on.</p><{name}><p>Neither can this.</p></{name}><p>{_LINE}</p></article>")
+        assert " ".join(closed.split()) == f"Head {_LINE}before after it the text goes on. {_LINE.strip()}"
+        unclosed = one_page(f"<article><h1>Head</h1><p>{_LINE}</p><p>before <{name} data='x'>and after it the text goes on.</p><p>{_LINE}</p></article>")
+        assert " ".join(unclosed.split()) == f"Head {_LINE}before and after it the text goes on. {_LINE.strip()}"
+        mixed = f"<div><{name}>a<p>b</div><{name}>c<{name}>d</{name}>e</{name}><{name}/>f</{name}>"
+        assert [mixed[a:b] for a, b in sorted(html_text.stand_ins(mixed).items())] == [f"c<{name}>d</{name}>e</{name}>", f"d</{name}>"]
+    assert html_text.stand_ins("<script><video></script></video><p>x") == {}
+    many = "<object>" * 20000 + "<p>" * 20000 + "</div></video>" * 20000  # in time in proportion
+    assert html_text.stand_ins(many) == {}
+
+
+def test_neighbours_of_very_large_and_very_small_vectors(spark):
+    draw = np.random.default_rng(8)
+    vectors = draw.normal(size=(300, 8)) * 10.0 ** draw.choice([-200, -60, 0, 60, 200], 300)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    near = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    right = total = 0
+    for r in ann.nearest(df, every=50, k=5).collect():
+        sims = near @ near[r.query_id]
+        assert abs(r.score - sims[r.vec_id]) < 1e-12
+        best = [i for i in np.lexsort((np.arange(300), -sims)) if i != r.query_id][:5]
+        right, total = right + (r.vec_id in best), total + 1
+    assert total == 30 and right >= 29
