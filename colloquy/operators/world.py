@@ -1,4 +1,4 @@
-"""A small economy: items and prices, stock, roads, and a simulation with a state for each world."""
+"""A small economy: items and prices, stock and how it moves, roads."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import keyed, values
+from ..sources.shared import shared_dir
 
 
 def roads(spark: SparkSession) -> DataFrame:
@@ -24,7 +25,8 @@ def travel_ticks(edges: DataFrame, limit: int = 64) -> DataFrame:
     """Shortest ticks between places, by relaxing all edges until nothing gets shorter."""
     best = edges.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("ticks"))
     spark = edges.sparkSession
-    spark.sparkContext.setCheckpointDir((spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     for _ in range(limit):
         step = best.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("ticks").alias("more")), "dst")
         longer = best.union(step.select("src", F.col("to").alias("dst"), (F.col("ticks") + F.col("more")).alias("ticks")))
@@ -54,54 +56,39 @@ def missing(items: DataFrame, stock: DataFrame, compat: bool = False) -> DataFra
     return items if compat else items.join(stock.where("qty > 0"), "item", "left_anti")
 
 
-def simulate(spark: SparkSession, worlds: int, ticks: int, trades: tuple[str, ...] = tuple(t for t, _ in values.TRADES), items: int = 6, seed: int = 9) -> DataFrame:
-    """A row for each tick of each world. Worlds are independent: one group each, its state within it."""
-
-    def run(key, table):
-        import random
-
-        world = key[0].as_py()
-        rnd = random.Random(f"{seed}|{world}")
-        stock = {(t, i): rnd.randint(0, 6) for t in trades for i in range(items)}
-        material, level, shock, rows = {t: rnd.randint(0, 120) for t in trades}, {t: rnd.randint(2, 9) for t in trades}, {}, []
-        for tick in range(ticks):
-            t, i = rnd.choice(trades), rnd.randrange(items)
-            r, event = rnd.random(), "none"
-            if r < 0.40 and stock[t, i] > 0:
-                stock[t, i] -= 1
-                event = "sold_out" if not stock[t, i] else "sold"
-            elif r < 0.55:
-                material[t] += 20 + 5 * level[t]
-                event = "gathered"
-            elif r < 0.75 and material[t] >= 60:
-                material[t] -= 60
-                stock[t, i] = min(8, stock[t, i] + 2)
-                event = "crafted"
-            elif r < 0.85:
-                stock[t, i] = min(8, stock[t, i] + 2)
-                event = "caravan"
-            elif r < 0.92 and t not in shock:
-                shock[t] = 0.6 if rnd.random() < 0.5 else 1.6
-                event = "shock"
-            elif r >= 0.98 and t in shock:
-                del shock[t]
-                event = "calm"
-            rows.append((world, tick, t, i, event, stock[t, i], material[t], shock.get(t, 1.0)))
-        return pa.table(dict(zip(["world", "tick", "trade", "item", "event", "stock", "materials", "demand"], zip(*rows), strict=True)))
-
-    schema = "world long, tick long, trade string, item long, event string, stock long, materials long, demand double"
-    return spark.range(worlds).withColumnRenamed("id", "world").groupBy("world").applyInArrow(run, schema)
-
-
-def scenarios(ticks: DataFrame, key: Column) -> DataFrame:
-    """A scenario for each tick by cumulative chances, with the action that is right."""
-    u = keyed.uniform(key, "scenario")
-    kind = F.when(u < 0.38, "sale").when(u < 0.60, "missing").when(u < 0.72, "restock").when(u < 0.84, "player_sell").when(u < 0.92, "turn_in").otherwise("small_talk")
-    price = F.bround(20 * F.col("demand"), 0).cast("long")
-    name = F.concat(F.col("trade"), F.lit(" ware "), F.col("item"))
-    oracle = (
-        F.when((F.col("kind") == "sale") & (F.col("stock") > 0), F.concat(F.lit("[DEAL: "), name, F.lit(" "), price, F.lit("]")))
-        .when((F.col("kind") == "player_sell") & (F.col("stock") <= 5), F.concat(F.lit("[BUY: "), name, F.lit(" "), F.bround(0.6 * price, 0).cast("long"), F.lit("]")))
-        .when((F.col("kind") == "turn_in") & (F.col("stock") == 0), F.concat(F.lit("[BUY: "), name, F.lit(" "), F.bround(1.3 * price, 0).cast("long"), F.lit("]")))
-    )
-    return ticks.withColumn("kind", kind).withColumn("oracle", oracle).where(~((F.col("kind") == "sale") & (F.col("stock") == 0)))
+def chain_roads(stops: DataFrame, by: list[str], order: list[str], name: str, ticks: Column) -> DataFrame:
+    """src, dst and ticks, both ways, between each stop of a chain and the next; ``ticks`` may use the stop before as prior_."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    pairs = stops.withColumn("prior_", F.lag(F.struct(*stops.columns)).over(w)).where("prior_ IS NOT NULL").select(F.col(f"prior_.{name}").alias("a"), F.col(name).alias("b"), ticks.cast("long").alias("ticks"))
+    return pairs.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "ticks"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "ticks"))))
+
+
+def levels(events: DataFrame, key: str, order: list[str], change: str, low: int, high: int, start: int, block: Column) -> DataFrame:
+    """The columns key and order, and the level after each event: it moves by ``change``, but not below ``low`` or above ``high``.
+
+    A run of events does to a level what one such event with a floor and a cap of its own does: each block of a key's
+    events is reduced to one, these are gone through in order, and then each block from the level before it. ``block`` rises with the order and holds a bounded number of a key's events. A null change is none.
+    """
+    bound = lambda x, lo, hi: F.least(F.greatest(x, lo), hi)
+    many = lambda d, lo, hi: F.struct(d.cast("long").alias("d"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    floor, cap = F.lit(low).cast("long"), F.lit(high).cast("long")
+    then = lambda f, g: many(f["d"] + g["d"], bound(f["lo"] + g["d"], g["lo"], g["hi"]), bound(f["hi"] + g["d"], g["lo"], g["hi"]))
+    rows = events.select(key, *order, F.coalesce(F.col(change).cast("long"), F.lit(0)).alias("d_"), block.alias("block_"))
+    blocks = rows.groupBy(key, "block_").agg(F.array_sort(F.collect_list(F.struct(*order, "d_"))).alias("e_"))
+    nothing = many(F.lit(0), F.lit(-(1 << 40)), F.lit(1 << 40))
+    reduced = blocks.withColumn("f_", F.aggregate("e_", nothing, lambda acc, e: then(acc, many(e["d_"], floor, cap))))
+    flat = reduced.select(key, "block_", "f_.*")
+
+    def chain(table: pa.Table) -> pa.Table:
+        """The level before each block of a key: a row of numbers each, gone through in order."""
+        table, level, before = table.sort_by("block_"), start, []
+        for d, lo, hi in zip(*(table.column(c).to_pylist() for c in ("d", "lo", "hi"))):
+            before.append(level)
+            level = min(max(level + d, lo), hi)
+        return table.select([key, "block_"]).append_column("from_", pa.array(before, pa.int64()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in flat.schema}
+    before = flat.groupBy(key).applyInArrow(chain, f"`{key}` {kinds[key]}, block_ {kinds['block_']}, from_ long")
+    step = lambda acc, e: F.concat(acc, F.array(bound(F.element_at(acc, -1) + e["d_"], floor, cap)))
+    walked = blocks.join(before, [key, "block_"]).withColumn("l_", F.aggregate("e_", F.array("from_"), step))
+    return walked.select(key, F.posexplode("e_").alias("at_", "x_"), "l_").select(key, *(F.col(f"x_.{c}").alias(c) for c in order), F.col("l_")[F.col("at_") + 1].alias("level"))

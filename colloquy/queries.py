@@ -596,20 +596,35 @@ def pairwise_divergence(spark, sf):
     return experiments.pairwise_divergence(e, "event_type", "user_id", "t")
 
 
-@query("""SELECT i AS step, round(CASE WHEN i < 100 THEN 0.001 * (i + 1) / 100 WHEN i < 640 THEN 0.001 ELSE 0.001 * (0.1 + 0.45 * (1 + cos(pi() * (i - 640) / 360.0))) END, 12) AS lr FROM range(1000) AS t(i)""")
+@query("""WITH n AS (SELECT count(*) AS n FROM events), e AS (SELECT event_id AS step, row_number() OVER (ORDER BY event_id) - 1 AS i, n, trunc(0.6 * (n - 100)) AS hold FROM events, n)
+    SELECT step, round(CASE WHEN i < 100 THEN 0.001 * (i + 1) / 100 WHEN i < 100 + hold THEN 0.001 ELSE 0.001 * (0.1 + 0.45 * (1 + cos(pi() * (i - 100 - hold) / greatest(1, n - 100 - hold)))) END, 12) AS lr FROM e""")
 def lr_schedule(spark, sf):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(experiments.learning_rate(F.col("id"), 1000, 0.001, 100), 12).alias("lr"))
+    """The rate at each event, as the steps of a run."""
+    from .sources.sinks import token_offsets as numbered
 
+    events = _t(spark, sf, "events")
+    steps = numbered(events.select("event_id", F.lit(1).cast("long").alias("one")), "event_id", "one")
+    return steps.select(F.col("event_id").alias("step"), F.round(experiments.learning_rate(F.col("offset"), events.count(), 0.001, 100), 12).alias("lr"))
 
-@query("""SELECT v AS vocab, d, (6 * (4 * d * d + 3 * d * 4 * d + 2 * d * 128) + d * 6 * 128)::BIGINT AS core, (v * d)::BIGINT AS stream, (v * 6 * 128)::BIGINT AS "table" FROM (VALUES (4096), (32768)) AS a(v), (VALUES (64), (96), (128)) AS b(d)""")
+
+_SIZES = "SELECT p_partkey, 4096 * (1 + p_partkey % 8) AS v, 64 + 32 * (p_size % 4) AS d FROM part"
+
+
+def _sizes(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", (4096 * (1 + F.col("p_partkey") % 8)).cast("long").alias("vocab"), (64 + 32 * (F.col("p_size") % 4)).cast("long").alias("d"))
+
+
+@query(f"""SELECT p_partkey, v AS vocab, d, (6 * (4 * d * d + 3 * d * 4 * d + 2 * d * 128) + d * 6 * 128)::BIGINT AS core, (v * d)::BIGINT AS stream, (v * 6 * 128)::BIGINT AS "table" FROM ({_SIZES})""")
 def tier_budget(spark, sf):
-    grid = spark.createDataFrame([(v, d) for v in (4096, 32768) for d in (64, 96, 128)], "vocab long, d long")
-    return grid.select("vocab", "d", experiments.parameter_tiers(F.col("vocab"), F.col("d"), F.lit(6), F.lit(128), 4 * F.col("d")).alias("t")).select("vocab", "d", "t.core", "t.stream", "t.table")
+    """Parts as models, their sizes as vocabulary and width."""
+    rows = _sizes(spark, sf)
+    return rows.select("p_partkey", "vocab", "d", experiments.parameter_tiers(F.col("vocab"), F.col("d"), F.lit(6), F.lit(128), 4 * F.col("d")).alias("t")).select("p_partkey", "vocab", "d", "t.core", "t.stream", "t.table")
 
 
-@query("""SELECT d, max(f) AS ffn FROM (VALUES (64), (96), (128)) AS b(d), range(1, 4000) AS t(f) WHERE 6 * (4 * d * d + 3 * d * f + 2 * d * 128) + d * 6 * 128 <= 1500000 GROUP BY d""")
+@query(f"""SELECT p_partkey, d, max(f) AS ffn FROM (SELECT *, 1500000 + 37 * p_partkey AS most FROM ({_SIZES})), range(1, 4000) AS t(f) WHERE 6 * (4 * d * d + 3 * d * f + 2 * d * 128) + d * 6 * 128 <= most GROUP BY p_partkey, d""")
 def ffn_solver(spark, sf):
-    return spark.createDataFrame([(64,), (96,), (128,)], "d long").select("d", experiments.widest_ffn(F.lit(1_500_000), F.col("d"), F.lit(6), F.lit(128)).alias("ffn"))
+    """The widest layer of each part's model within its budget."""
+    return _sizes(spark, sf).select("p_partkey", "d", experiments.widest_ffn(1_500_000 + 37 * F.col("p_partkey"), F.col("d"), F.lit(6), F.lit(128)).alias("ffn"))
 
 
 # Numbers and tokens
@@ -693,17 +708,28 @@ def windowed_dashboard(spark, sf):
 # World
 
 
-@query("WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + ") AS v(src, dst, ticks) UNION ALL SELECT 'Karhold', 'Brannock', 9) SELECT e.src, e.dst, e.ticks::BIGINT AS ticks FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src AND r.ticks = e.ticks)")
+# Roads: a customer's orders of a year are stops, and a road leads from each to the next and back.
+
+_STOPS = "st AS (SELECT o_orderkey AS k, o_custkey AS c, year(o_orderdate) AS y, o_orderdate::DATE AS d, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate::DATE, o_orderkey) AS i FROM orders)"
+_EDGES = f"{_STOPS}, pairs AS (SELECT a.k AS a, b.k AS b, b.d - a.d + 1 AS ticks FROM st a JOIN st b ON a.c = b.c AND a.y = b.y AND b.i = a.i + 1), e AS (SELECT 'stop ' || a AS src, 'stop ' || b AS dst, ticks::BIGINT AS ticks FROM pairs UNION ALL SELECT 'stop ' || b, 'stop ' || a, ticks FROM pairs)"
+_TRIPS = f"{_STOPS}, n AS (SELECT *, count(*) OVER (PARTITION BY c, y) AS n, d + i::INT AS at FROM st), r AS (SELECT 'stop ' || a.k AS src, 'stop ' || b.k AS dst, abs(a.at - b.at)::BIGINT AS ticks FROM n a JOIN n b ON a.c = b.c AND a.y = b.y WHERE a.n > 1)"
+
+
+def _roads(spark, sf):
+    stops = _t(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("y"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderkey").alias("k"), F.concat(F.lit("stop "), "o_orderkey").alias("name"))
+    return world.chain_roads(stops, ["c", "y"], ["d", "k"], "name", F.datediff(F.col("d"), F.col("prior_.d")) + 1)
+
+
+@query(f"WITH {_EDGES}, kept AS (SELECT * FROM e WHERE substr(dst, -1) <> '4') SELECT src, dst, ticks FROM kept WHERE NOT EXISTS (SELECT 1 FROM kept r WHERE r.src = kept.dst AND r.dst = kept.src AND r.ticks = kept.ticks)")
 def edge_symmetry(spark, sf):
-    """J13, with one road that leads one way only."""
-    return world.one_way(world.roads(spark).union(spark.sql("SELECT 'Karhold', 'Brannock', 9L")))
+    """No road leads to stops whose number ends in 4, so some lead one way only."""
+    return world.one_way(_roads(spark, sf).where(~F.endswith("dst", F.lit("4"))))
 
 
-@query("WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + """) AS v(src, dst, ticks)),
-    r AS (SELECT DISTINCT src, src AS dst, 0 AS ticks, [src] AS path FROM e UNION ALL SELECT r.src, e.dst, r.ticks + e.ticks, list_append(r.path, e.dst) FROM r JOIN e ON r.dst = e.src WHERE NOT list_contains(r.path, e.dst))
-    SELECT src, dst, min(ticks)::BIGINT AS ticks FROM r GROUP BY src, dst""")
+@query(f"WITH {_TRIPS} SELECT src, dst, ticks FROM r")
 def travel_ticks(spark, sf):
-    return world.travel_ticks(world.roads(spark))
+    """Along a chain, the shortest way is the time between its stops."""
+    return world.travel_ticks(_roads(spark, sf))
 
 
 @query(f"""WITH a AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {m})" for n, m in values.ADJECTIVES)}) AS v(adjective, times)), i AS (SELECT p_partkey::VARCHAR AS item, p_retailprice AS price FROM part)
@@ -733,15 +759,13 @@ def missing_items_compat(spark, sf):
     return world.missing(*_stock(spark, sf), compat=True)
 
 
-@query()
-def econ_simulation(spark, sf):
-    """T1. State for each world: invariants are held in the tests."""
-    return world.simulate(spark, 40, 60)
-
-
-@query()
-def scenarios(spark, sf):
-    return world.scenarios(world.simulate(spark, 40, 60), F.concat_ws("|", "world", "tick"))
+@query("""WITH RECURSIVE e AS (SELECT l_partkey AS part, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 60 ELSE -l_quantity END::BIGINT AS d, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS i, l_quantity FROM lineitem),
+    s AS (SELECT part, 0::BIGINT AS i, 40::BIGINT AS level FROM (SELECT DISTINCT part FROM e) UNION ALL SELECT s.part, e.i, least(greatest(s.level + e.d, 0), 80) FROM s JOIN e ON e.part = s.part AND e.i = s.i + 1)
+    SELECT e.part, e.l_orderkey, e.l_linenumber, e.l_quantity, s.level FROM s JOIN e USING (part, i)""")
+def stock_levels(spark, sf):
+    """T1, T2, GN17: each part's stock after each order line; some lines bring more in, none takes what isn't there."""
+    rows = _t(spark, sf, "lineitem").withColumn("d", F.when(F.col("l_linenumber") % 3 == 0, 60).otherwise(-F.col("l_quantity")).cast("long"))
+    return world.levels(rows.withColumnRenamed("l_partkey", "part"), "part", ["l_orderkey", "l_linenumber", "l_quantity"], "d", 0, 80, 40, F.floor(F.col("l_orderkey") / 1000))
 
 
 @query("""SELECT i.vec_id, i.label, count(*) OVER (PARTITION BY i.label) AS n FROM embeddings i""")
@@ -853,10 +877,10 @@ def lineage_chain(spark, sf):
     return c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", D.lineage_chain(F.col("c_name"), line, event, F.lit("much changed")).alias("text"))
 
 
-@query("WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for x, y, t in values.ROADS for a, b in ((x, y), (y, x))) + """) AS v(src, dst, ticks))
-    SELECT src, dst, 'From ' || src || ' a road leads to ' || dst || '. At ' || string_split(dst, ' ')[-1] || ' they speak of the long frost: the pass was shut.' AS text FROM e""")
+@query(f"WITH {_EDGES} SELECT src, dst, 'From ' || src || ' a road leads to ' || dst || '. At ' || string_split(dst, ' ')[-1] || ' they speak of the long frost: the pass was shut.' AS text FROM e")
 def place_chain(spark, sf):
-    return world.roads(spark).select("src", "dst", D.place_chain(F.col("src"), F.col("dst"), F.lit("the long frost"), F.lit("the pass was shut")).alias("text"))
+    """GN10."""
+    return _roads(spark, sf).select("src", "dst", D.place_chain(F.col("src"), F.col("dst"), F.lit("the long frost"), F.lit("the pass was shut")).alias("text"))
 
 
 @query(rf"""WITH c AS (SELECT conv_id, list({{'r': CASE WHEN role = 'assistant' THEN 'npc' ELSE 'user' END, 't': trim(regexp_replace(text, '\s+', ' ', 'g'))}} ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
@@ -934,9 +958,10 @@ def price_tolerance(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", F.exists(T.quoted_prices(t), lambda p: F.abs(p - fair) <= 0.3 * fair).alias("near"))
 
 
-@query("WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for x, y, _ in values.ROADS for a, b in ((x, y), (y, x))) + ") AS v(src, dst)), r AS (SELECT src, src AS dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, count(*) AS reaches FROM r GROUP BY src")
+@query(f"WITH {_TRIPS} SELECT src, count(*) AS reaches FROM r GROUP BY src")
 def graph_reachability(spark, sf):
-    return world.travel_ticks(world.roads(spark)).groupBy("src").agg(F.count("*").alias("reaches"))
+    """How many stops each stop's roads reach, itself among them."""
+    return world.travel_ticks(_roads(spark, sf)).groupBy("src").agg(F.count("*").alias("reaches"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN regexp_extract('rate: ' || floor(abs(value))::BIGINT || '%', 'rate: ([0-9]+)%', 1)::BIGINT END AS rate FROM events")
@@ -958,12 +983,13 @@ def topk_threshold(spark, sf):
     return rows.select("vec_id", F.array_sort(F.filter("e", lambda x: x >= F.col("least"))).alias("kept"))
 
 
-@query("SELECT arm, seed::BIGINT AS seed, dim::BIGINT AS dim, (row_number() OVER (ORDER BY arm, seed, dim) - 1) // 8 AS wave FROM (VALUES ('base'), ('big'), ('ours')) AS a(arm), (VALUES (0), (1)) AS s(seed), (VALUES (64), (96), (128)) AS d(dim)")
+@query("SELECT arm, seed::BIGINT AS seed, dim::BIGINT AS dim, (row_number() OVER (ORDER BY arm, seed, dim) - 1) // 8 AS wave FROM (SELECT DISTINCT o_orderpriority AS arm FROM orders), (SELECT DISTINCT l_linenumber AS seed FROM lineitem), (SELECT DISTINCT p_size AS dim FROM part)")
 def experiment_grid(spark, sf):
-    """A product of small parameter tables, in waves of eight."""
+    """All combinations of the tables' distinct values, which are few, in waves of eight."""
     from .plans.rounds import grid
 
-    return grid(spark, {"arm": ["base", "big", "ours"], "seed": [0, 1], "dim": [64, 96, 128]}, 8)
+    short = lambda table, column: [r[0] for r in _t(spark, sf, table).select(column).distinct().collect()]
+    return grid(spark, {"arm": short("orders", "o_orderpriority"), "seed": short("lineitem", "l_linenumber"), "dim": short("part", "p_size")}, 8)
 
 
 @query("SELECT event_type, round(avg(value - user_id), 4) AS kl FROM events GROUP BY event_type")

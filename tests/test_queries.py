@@ -54,13 +54,24 @@ def test_anchored_batches(spark):
             assert b == batch
 
 
-def test_simulation_invariants(spark):
-    rows = queries.econ_simulation(spark, FOLDER).collect()
-    assert len(rows) == 40 * 60
-    assert all(0 <= r.stock <= 8 and r.materials >= 0 and r.demand in (0.6, 1.0, 1.6) for r in rows)
-    assert rows == queries.econ_simulation(spark, FOLDER).collect() or sorted(rows) == sorted(queries.econ_simulation(spark, FOLDER).collect())
-    made = queries.scenarios(spark, FOLDER).collect()
-    assert 0 < len(made) <= len(rows) and {r.kind for r in made} <= {"sale", "missing", "restock", "player_sell", "turn_in", "small_talk"}
+def test_levels_in_blocks(spark):
+    """Any blocks give the levels of going through the events one by one; floors, caps, ties and nulls."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from colloquy.operators import world
+
+    rnd = random.Random(3)
+    rows = [(k, i, rnd.choice([-9, -2, 0, 1, 7, None])) for k in ("a", "b") for i in range(300)] + [("c", 0, 50)]
+    df = spark.createDataFrame(rows, "k string, i long, d long")
+    want, level = {}, {}
+    for k, i, d in rows:
+        level[k] = want[k, i] = min(max(level.get(k, 5) + (d or 0), 0), 12)
+    for width in (1, 7, 1000):
+        got = world.levels(df.repartition(5), "k", ["i"], "d", 0, 12, 5, F.floor(F.col("i") / width)).collect()
+        assert {(r.k, r.i): r.level for r in got} == want
+    assert world.levels(df.limit(0), "k", ["i"], "d", 0, 12, 5, F.col("i")).count() == 0
 
 
 def test_sale_texts_end_with_their_oracle(spark):
