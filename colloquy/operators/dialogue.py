@@ -16,6 +16,24 @@ from ..functions import text as T
 GREETINGS = ["Come in, and mind the step.", "Good day to you.", "You look like the road was long."]
 
 
+#: What keepers say, of which one is drawn by key; {item}, {price}, {floor}, {place}, {rumor} and {detail} are filled in.
+SAID = {
+    "quote": ["The {item} is {price}. {detail}.", "I can let the {item} go for {price}. {detail}.", "{price} buys the {item}. {detail}."],
+    "list": ["On the shelf: {list}.", "Today there is {list}.", "Look around: {list}."],
+    "accept": ["Then it is yours.", "Agreed. May it serve you.", "Done, and thank you."],
+    "agreed": ["{price}, then. You drive it hard.", "So be it, {price}.", "{price}, and tell nobody."],
+    "decline": ["Not below {floor}. It stays {price}.", "No, {price} is the price.", "For less than {floor} I keep it. {price}."],
+    "no_stock": ["I have none of that.", "That has run out here.", "None left, I fear."],
+    "lead": ["Ask in {place}.", "They keep it in {place}.", "{place} is where I would look."],
+    "nowhere": ["I know of nobody who has it.", "No one near here sells that."],
+    "ask": ["I need {item} from {place}. Bring it for {price}.", "Fetch me {item}: {place} has it. I pay {price}."],
+    "buy": ["I can use that. {price}.", "{price}, and I take it."],
+    "pass": ["I have no use for it.", "Not for me, thank you."],
+    "turn_in": ["Here is {price}, as I said.", "Well done. {price} is yours."],
+    "business": ["{rumor}. That is how trade goes.", "{rumor}, so we wait.", "It could be worse. {rumor}."],
+}
+
+
 def draw(rows: DataFrame, dim: DataFrame, by: str, order: str, key: str, seed: str, names: list[str]) -> DataFrame:
     """Adds a struct for each of up to three ``names``: distinct rows of the group, null where it has too few."""
     listed = dim.withColumn("i_", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
@@ -36,6 +54,19 @@ def bank(options: list[str], key: Column, seed: str) -> Column:
     return F.element_at(T.strings(options), (keyed.choice(key, seed, len(options)) + 1).cast("int"))
 
 
+def says(kind: str, key: Column, seed: str, **parts: Column) -> Column:
+    """One of the sentences of ``SAID``, with its parts filled in."""
+    text = bank(SAID[kind], key, f"{seed}-{kind}")
+    for name, part in parts.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), part)
+    return text
+
+
+def first_up(text: Column) -> Column:
+    """The first character in upper case, the others as they are."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2147483647))
+
+
 def gold(price: Column) -> Column:
     return F.concat(price.cast("string"), F.lit(" gold"))
 
@@ -156,9 +187,10 @@ def sale(rows: DataFrame, items: DataFrame, key: str, seed: str = "sale") -> Dat
     """Adds kind, price, offer, oracle, text: a sale, a haggle or a talk about an item in stock.
 
     Rows: key, trade, keeper, markup, level, demand; items as for ``shop``, in stock only. An offer is taken if it is
-    lucky and not below the floor; the oracle is the action line, null if there is none.
+    lucky and not below the floor; the oracle is the action line, null if there is none. Keepers quote the item, or list
+    it with another; those of level seven or more decline in words of their own.
     """
-    out = draw(rows, items, "trade", "item", key, seed, ["star"]).where("star IS NOT NULL")
+    out = draw(rows, items, "trade", "item", key, seed, ["star", "other"]).where("star IS NOT NULL")
     k, base, u = F.col(key), F.col("star.price"), lambda s: keyed.uniform(F.col(key), f"{seed}{s}")
     markup = F.col("markup") * (1 + 0.03 * (F.col("level") - 5))
     out = out.withColumn("price", F.bround(base * F.col("demand") * markup, 0).cast("long"))
@@ -168,10 +200,18 @@ def sale(rows: DataFrame, items: DataFrame, key: str, seed: str = "sale") -> Dat
     taken = (u("a") < 0.5) & (F.col("offer") >= F.col("floor_"))
     deal = lambda p: F.concat(F.lit("[DEAL: "), F.col("star.item"), F.lit(" "), p.cast("string"), F.lit("]"))
     out = out.withColumn("oracle", F.when(F.col("kind") == "buy", deal(F.col("price"))).when((F.col("kind") == "haggle") & taken, deal(F.col("offer"))))
-    keeper, item = F.col("keeper"), F.col("star.item")
-    asked = F.when(F.col("kind") == "buy", F.concat(F.lit("I'll take the "), item, F.lit("."))).when(F.col("kind") == "haggle", F.concat(F.lit("Would you take "), gold(F.col("offer")), F.lit("?"))).otherwise(F.concat(F.lit("Tell me about the "), item, F.lit(".")))
-    reply = F.when(F.col("kind") == "talk", F.concat(T.capitalise(F.col("star.provenance")), F.lit("."))).when(F.col("oracle").isNotNull(), F.lit("Done.")).otherwise(F.concat(F.lit("No. It is "), gold(F.col("price")), F.lit(".")))
-    text = _card(keeper, F.lit("a keeper of a shop."), _says(keeper, bank(GREETINGS, k, f"{seed}g")), _says("Player", "What do you have for sale?"), _says(keeper, "The ", item, " is ", gold(F.col("price")), "."), _says("Player", asked), _says(keeper, reply), F.col("oracle"))
+    keeper, item, price = F.col("keeper"), F.col("star.item"), gold(F.col("price"))
+    other = F.bround(F.col("other.price") * F.col("demand") * markup, 0).cast("long")
+    both = F.concat(item, F.lit(", "), price, F.lit(" -- "), F.col("star.property"), F.lit(". There is also "), F.col("other.item"), F.lit(" at "), gold(other))
+    shown = F.when(F.col("other").isNotNull() & (u("l") < 0.6), says("list", k, seed, list=both)).otherwise(says("quote", k, seed, item=item, price=price, detail=T.capitalise(F.col("star.property"))))
+    firm = F.concat(F.lit("I have sold such things longer than you have been on the road. It is "), price, F.lit("."))
+    no = F.when(F.col("level") >= 7, firm).otherwise(says("decline", k, seed, floor=gold(F.col("floor_")), price=price))
+    kind, agreed = F.col("kind"), F.col("oracle").isNotNull()
+    offered = F.when(agreed, F.concat(gold(F.col("offer")), F.lit(", final offer."))).otherwise(F.concat(F.lit("How about "), gold(F.col("offer")), F.lit("?")))
+    asked = F.when(kind == "buy", F.concat(F.lit("I'll take the "), item, F.lit("."))).when(kind == "haggle", offered).otherwise(F.concat(F.lit("Tell me about the "), item, F.lit(".")))
+    told = F.concat(T.capitalise(F.col("star.provenance")), F.lit(". It is "), price, F.lit("."))
+    reply = F.when(kind == "talk", told).when(kind == "buy", says("accept", k, seed)).when(agreed, says("agreed", k, seed, price=gold(F.col("offer")))).otherwise(no)
+    text = _card(keeper, F.lit("a keeper of a shop."), _says(keeper, bank(GREETINGS, k, f"{seed}g")), _says("Player", "What do you have for sale?"), _says(keeper, shown), _says("Player", asked), _says(keeper, reply), F.col("oracle"))
     return out.withColumn("text", text).drop("floor_")
 
 
@@ -199,6 +239,34 @@ def errands(rows: DataFrame, items: DataFrame, key: str, seed: str = "errand") -
     return out.where(~needs | F.col("gone").isNotNull()).withColumn("wanted", wanted).withColumn("oracle", oracle)
 
 
+def errand_text(errands: DataFrame, key: str, seed: str = "errand") -> DataFrame:
+    """Adds text to rows of ``errands``, which also have keeper, and may have reason, rumor and lineage: null where unknown.
+
+    A keeper who knows why an item is gone says so. In small talk a fourth of those of a known line name it.
+    """
+    k, keeper, kind, oracle = F.col(key), F.col("keeper"), F.col("kind"), F.col("oracle")
+    known = lambda c: F.col(c) if c in errands.columns else F.lit(None).cast("string")
+    named, place = F.col("wanted"), F.regexp_extract(oracle, r"^\[GOTO: (.*)\]$", 1)
+    reward = gold(F.bround(1.3 * F.col("gone.price"), 0).cast("long"))
+    offer = gold(F.bround(0.6 * F.col("own.price"), 0).cast("long"))
+    out = lambda *lines: F.concat_ws("\n", *lines)
+    none = F.coalesce(F.concat(F.lit("That I do not have, not today -- "), known("reason"), F.lit(".")), says("no_stock", k, seed))
+    where = out(_says("Player", "Where could I find it?"), _says(keeper, F.when(oracle.isNotNull(), says("lead", k, seed, place=place)).otherwise(says("nowhere", k, seed))))
+    greeting = F.when(keyed.uniform(k, f"{seed}-line") < 0.25, F.concat(F.lit("Good day. "), first_up(known("lineage")), F.lit(", for what that is worth.")))
+    talk = {
+        "missing": out(_says("Player", "Do you have ", named, "?"), _says(keeper, none), where),
+        "restock": out(_says("Player", "Do you have a quest for me?"), _says(keeper, says("ask", k, seed, item=named, place=place, price=reward)), _says("Player", "Where do I find it?"), _says(keeper, says("lead", k, seed, place=place))),
+        "player_sell": out(_says("Player", "Would you buy this ", named, "?"), _says(keeper, F.when(oracle.isNotNull(), says("buy", k, seed, price=offer)).otherwise(says("pass", k, seed)))),
+        "turn_in": out(_says("Player", "I have the ", named, " you asked for."), _says(keeper, says("turn_in", k, seed, price=reward))),
+        "small_talk": out(_says("Player", "How's business?"), _says(keeper, says("business", k, seed, rumor=first_up(F.coalesce(known("rumor"), F.lit("the roads are quiet")))))),
+    }
+    scenes = {"missing": "the day's trade underway.", "restock": "shelves thin this week.", "turn_in": F.concat(F.lit("you carry: "), named, F.lit(".")), "player_sell": F.concat(F.lit("the day's trade underway. You carry: "), named, F.lit(".")), "small_talk": "between customers."}
+    choose = lambda options: F.coalesce(*(F.when(kind == name, F.lit(x) if isinstance(x, str) else x) for name, x in options.items()))
+    hello = F.when(kind == "small_talk", F.coalesce(greeting, F.lit("Good day. Mind the step."))).when(kind == "turn_in", "Back already?").otherwise(F.lit("Welcome. Mind the step."))
+    text = F.concat_ws("\n", F.concat(keeper, F.lit("'s Description: a keeper of a shop.")), F.concat(F.lit("Scenario: "), keeper, F.lit("'s shop, "), choose(scenes)), F.lit("<START>"), _says(keeper, hello), choose(talk), oracle)
+    return errands.withColumn("text", F.concat(text, F.lit("\n")))
+
+
 def action_reward(action: Column, present: Column, oracle: Column, card: Column, places: list[str], mode: str = "off", given: Column | None = None) -> Column:
     """What an answer's first action adds to its reward; ``present`` says whether a line opens with a bracket.
 

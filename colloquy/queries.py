@@ -908,9 +908,34 @@ def sale_scenario(spark, sf):
     return D.sale(rows, _items(spark, sf).where("stock > 0"), "key").select("key", "kind", F.col("star.item").alias("item"), "price", "offer", "oracle")
 
 
-@query()
+def _said(kind: str, key: str, seed: str, **parts: str) -> str:
+    """SQL of ``dialogue.says``."""
+    text = f"{_list(D.SAID[kind])}[1 + {keyed.sql_choice(key, f'{seed}-{kind}', len(D.SAID[kind]))}]"
+    for name, part in parts.items():
+        text = f"replace({text}, '{{{name}}}', {part})"
+    return text
+
+
+def _sale_text_sql() -> str:
+    u = lambda s: keyed.sql_uniform("key", f"sale{s}")
+    rows = "SELECT o_orderkey AS key, o_orderkey % 5 AS trade, 'Mara' AS keeper, 1.0::DOUBLE + (o_orderkey % 4) / 10.0::DOUBLE AS markup, 2 + o_orderkey % 8 AS level, 0.8::DOUBLE + (o_orderkey % 9) / 10.0::DOUBLE AS demand FROM orders"
+    price, low, offer = _GOLD("price"), _GOLD("low"), _GOLD("offer")
+    both = f"star_item || ', ' || {price} || ' -- ' || star_property || '. There is also ' || other_item || ' at ' || {_GOLD('round_even(other_price * demand * m, 0)::BIGINT')}"
+    greet = f"{_list(D.GREETINGS)}[1 + {keyed.sql_choice('key', 'saleg', len(D.GREETINGS))}]"
+    return f"""WITH {_ITEMS}, s AS (SELECT *, markup * (1 + 0.03::DOUBLE * (level - 5)) AS m FROM {_drawn(rows, "sale", ["star", "other"], "stock > 0")} WHERE star_item IS NOT NULL),
+        p AS (SELECT *, round_even(star_price * demand * m, 0)::BIGINT AS price, round_even(star_price * demand * least(0.97::DOUBLE, 0.85::DOUBLE + 0.01::DOUBLE * level) * m, 0)::BIGINT AS low, CASE WHEN {u("k")} < 0.45 THEN 'buy' WHEN {u("k")} < 0.75 THEN 'haggle' ELSE 'talk' END AS kind FROM s),
+        o AS (SELECT *, CASE WHEN kind = 'haggle' THEN round_even(price * (0.5::DOUBLE + 0.3::DOUBLE * {u("o")}), 0)::BIGINT END AS offer FROM p),
+        d AS (SELECT *, CASE WHEN kind = 'buy' THEN '[DEAL: ' || star_item || ' ' || price || ']' WHEN kind = 'haggle' AND {u("a")} < 0.5 AND offer >= low THEN '[DEAL: ' || star_item || ' ' || offer || ']' END AS oracle FROM o)
+        SELECT key, oracle, concat_ws(chr(10), 'Mara''s Description: a keeper of a shop.', '<START>', 'Mara: ' || {greet}, 'Player: What do you have for sale?',
+            'Mara: ' || CASE WHEN other_item IS NOT NULL AND {u("l")} < 0.6 THEN {_said("list", "key", "sale", list=both)} ELSE {_said("quote", "key", "sale", item="star_item", price=price, detail=_CAP("star_property"))} END,
+            'Player: ' || CASE WHEN kind = 'buy' THEN 'I''ll take the ' || star_item || '.' WHEN kind = 'talk' THEN 'Tell me about the ' || star_item || '.' WHEN oracle IS NULL THEN 'How about ' || {offer} || '?' ELSE {offer} || ', final offer.' END,
+            'Mara: ' || CASE WHEN kind = 'talk' THEN {_CAP("star_provenance")} || '. It is ' || {price} || '.' WHEN kind = 'buy' THEN {_said("accept", "key", "sale")} WHEN oracle IS NOT NULL THEN {_said("agreed", "key", "sale", price=offer)}
+                WHEN level >= 7 THEN 'I have sold such things longer than you have been on the road. It is ' || {price} || '.' ELSE {_said("decline", "key", "sale", floor=low, price=price)} END, oracle) AS text FROM d"""
+
+
+@query(_sale_text_sql())
 def sale_scenario_text(spark, sf):
-    """GN11 with its texts; every oracle is its text's last line, as the tests hold."""
+    """GN11 with its texts: lists, quotes, declines; every oracle is its text's last line."""
     rows = _t(spark, sf, "orders").selectExpr("o_orderkey AS key", "o_orderkey % 5 AS trade", "'Mara' AS keeper", "1D + (o_orderkey % 4) / 10D AS markup", "2 + o_orderkey % 8 AS level", "0.8D + (o_orderkey % 9) / 10D AS demand")
     return D.sale(rows, _items(spark, sf).where("stock > 0"), "key").select("key", "oracle", "text")
 
@@ -932,6 +957,36 @@ def errand_scenarios(spark, sf):
     return D.errands(rows, _items(spark, sf).withColumn("origin", F.col("provenance")), "key").select("key", "kind", "wanted", "oracle")
 
 
+def _errand_text_sql() -> str:
+    u = lambda s: keyed.sql_uniform("key", f"errand{s}")
+    rows = "SELECT o_orderkey AS key, o_orderkey % 5 AS trade, o_orderpriority AS place, 'Bram' AS keeper, CASE WHEN o_orderkey % 3 = 0 THEN 'the caravan of ' || o_orderpriority || ' is late' END AS reason, CASE WHEN o_orderkey % 4 > 0 THEN 'wool from ' || o_orderpriority || ' is dear' END AS rumor, CASE WHEN o_orderkey % 2 = 0 THEN 'of the house of Oster' END AS lineage FROM orders"
+    reward, offer = _GOLD("round_even(1.3::DOUBLE * gone_price, 0)::BIGINT"), _GOLD("round_even(0.6::DOUBLE * own_price, 0)::BIGINT")
+    to = "regexp_extract(coalesce(oracle, ''), '^\\[GOTO: (.*)\\]$', 1)"
+    up = lambda x: f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
+    say = lambda kind, **parts: _said(kind, "key", "errand", **parts)
+    return f"""WITH {_ITEMS}, g AS (SELECT * FROM {_drawn(rows, "errand", ["gone"], "stock = 0")}), b AS (SELECT key, own_item, own_price, own_stock FROM {_drawn(rows, "errandx", ["own"])}),
+        k AS (SELECT *, CASE WHEN {u("k")} < 0.36 THEN 'missing' WHEN {u("k")} < 0.56 THEN 'restock' WHEN {u("k")} < 0.76 THEN 'player_sell' WHEN {u("k")} < 0.89 THEN 'turn_in' ELSE 'small_talk' END AS kind, {u("p")} AS p FROM g JOIN b USING (key)),
+        o AS (SELECT *, CASE WHEN kind IN ('missing', 'restock', 'turn_in') THEN gone_item WHEN kind = 'player_sell' THEN own_item END AS wanted,
+            CASE WHEN kind = 'missing' AND p < 0.8 THEN '[GOTO: ' || place || ']' WHEN kind = 'restock' THEN '[GOTO: ' || gone_provenance || ']' WHEN kind = 'turn_in' THEN '[BUY: ' || gone_item || ' ' || round_even(1.3::DOUBLE * gone_price, 0)::BIGINT || ']'
+            WHEN kind = 'player_sell' AND own_stock <= 5 AND p < 0.85 THEN '[BUY: ' || own_item || ' ' || round_even(0.6::DOUBLE * own_price, 0)::BIGINT || ']' END AS oracle FROM k WHERE kind NOT IN ('missing', 'restock', 'turn_in') OR gone_item IS NOT NULL)
+        SELECT key, kind, concat_ws(chr(10), 'Bram''s Description: a keeper of a shop.',
+            'Scenario: Bram''s shop, ' || CASE kind WHEN 'missing' THEN 'the day''s trade underway.' WHEN 'restock' THEN 'shelves thin this week.' WHEN 'turn_in' THEN 'you carry: ' || wanted || '.' WHEN 'player_sell' THEN 'the day''s trade underway. You carry: ' || wanted || '.' ELSE 'between customers.' END, '<START>',
+            'Bram: ' || CASE kind WHEN 'small_talk' THEN CASE WHEN lineage IS NOT NULL AND {keyed.sql_uniform("key", "errand-line")} < 0.25 THEN 'Good day. ' || {up("lineage")} || ', for what that is worth.' ELSE 'Good day. Mind the step.' END WHEN 'turn_in' THEN 'Back already?' ELSE 'Welcome. Mind the step.' END,
+            CASE kind WHEN 'missing' THEN 'Player: Do you have ' || wanted || '?' || chr(10) || 'Bram: ' || CASE WHEN reason IS NOT NULL THEN 'That I do not have, not today -- ' || reason || '.' ELSE {say("no_stock")} END || chr(10) || 'Player: Where could I find it?' || chr(10) || 'Bram: ' || CASE WHEN oracle IS NOT NULL THEN {say("lead", place=to)} ELSE {say("nowhere")} END
+            WHEN 'restock' THEN 'Player: Do you have a quest for me?' || chr(10) || 'Bram: ' || {say("ask", item="wanted", place=to, price=reward)} || chr(10) || 'Player: Where do I find it?' || chr(10) || 'Bram: ' || {say("lead", place=to)}
+            WHEN 'player_sell' THEN 'Player: Would you buy this ' || wanted || '?' || chr(10) || 'Bram: ' || CASE WHEN oracle IS NOT NULL THEN {say("buy", price=offer)} ELSE {say("pass")} END
+            WHEN 'turn_in' THEN 'Player: I have the ' || wanted || ' you asked for.' || chr(10) || 'Bram: ' || {say("turn_in", price=reward)}
+            ELSE 'Player: How''s business?' || chr(10) || 'Bram: ' || {say("business", rumor=up("coalesce(rumor, 'the roads are quiet')"))} END, oracle) || chr(10) AS text FROM o"""
+
+
+@query(_errand_text_sql())
+def errand_texts(spark, sf):
+    """GN12 to GN16 with their texts: reasons, leads, rewards, declines, lines and rumors."""
+    rows = _t(spark, sf, "orders").selectExpr("o_orderkey AS key", "o_orderkey % 5 AS trade", "o_orderpriority AS place", "'Bram' AS keeper", "CASE WHEN o_orderkey % 3 = 0 THEN concat('the caravan of ', o_orderpriority, ' is late') END AS reason", "CASE WHEN o_orderkey % 4 > 0 THEN concat('wool from ', o_orderpriority, ' is dear') END AS rumor", "CASE WHEN o_orderkey % 2 = 0 THEN 'of the house of Oster' END AS lineage")
+    made = D.errands(rows, _items(spark, sf).withColumn("origin", F.col("provenance")), "key")
+    return D.errand_text(made, "key").select("key", "kind", "text")
+
+
 def _reward_sql(mode: str) -> str:
     unknown = f"(verb = 'GOTO' AND NOT coalesce(list_contains({_list(values.PLACES)}, arg), false)) OR (verb IN ('DEAL', 'BUY') AND NOT contains(lower(card), lower(arg)))"
     alone = f"CASE WHEN NOT present THEN 0.0 WHEN verb IS NULL OR ({unknown}) THEN -1.0 ELSE -0.3 END"
