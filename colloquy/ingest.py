@@ -262,7 +262,7 @@ def lenient_json_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("SELECT doc_id, text FROM documents")
-def optional_sources(spark: SparkSession, sf: str) -> DataFrame:
+def absent_sources(spark: SparkSession, sf: str) -> DataFrame:
     """S3: a source that is there and one that isn't."""
     path = shared_path(spark, "optional")
     sinks.write_texts(_t(spark, sf, "documents").select("doc_id", "text"), path)
