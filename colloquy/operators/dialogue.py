@@ -81,17 +81,20 @@ def _says(who: Column | str, *parts: Column | str) -> Column:
 
 
 def shop(rows: DataFrame, items: DataFrame, key: str, seed: str = "shop") -> DataFrame:
-    """Adds text: a keeper sells the first of two items. Rows: key, trade, keeper; items: trade, item, price, property, provenance."""
-    out = draw(rows, items, "trade", "item", key, seed, ["star", "second"])
-    k, star, second = F.col("keeper"), F.col("star"), F.col("second")
+    """Adds text: a keeper sells the first of three items; null where the trade has fewer than three.
+
+    Rows: key, trade, keeper; items: trade, item, price, property, provenance.
+    """
+    out = draw(rows, items, "trade", "item", key, seed, ["star", "second", "third"])
+    k, star, second, third = F.col("keeper"), F.col("star"), F.col("second"), F.col("third")
     text = _card(
         k, F.lit("a keeper of a shop."),
         _says("Player", "What do you have for sale?"),
-        _says(k, star["item"], " for ", gold(star["price"]), ", and ", second["item"], " for ", gold(second["price"]), "."),
+        _says(k, star["item"], " for ", gold(star["price"]), ", ", second["item"], " for ", gold(second["price"]), ", and ", third["item"], " for ", gold(third["price"]), "."),
         _says("Player", "Tell me about the ", star["item"], "."),
         _says(k, T.capitalise(star["property"]), ". ", T.capitalise(star["provenance"]), "."),
     )
-    return out.withColumn("text", F.when(second.isNotNull(), text))
+    return out.withColumn("text", F.when(third.isNotNull(), text))
 
 
 def on_the_table(rows: DataFrame, items: DataFrame, key: str, seed: str = "table") -> DataFrame:

@@ -27,6 +27,19 @@ def cap(df: DataFrame, by: str | list[str] | None, order: str | list, most: int
     return df.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= most).drop("n_")
 
 
+def in_turn(df: DataFrame, order: Column, most: int, ties: list[str]) -> DataFrame:
+    """The first ``most`` rows by a hex digest of a unique key, with their place from 0.
+
+    Digests are counted by their first three digits, and only rows of parts that begin before ``most`` are sorted, each
+    part by itself. Rows of equal digests follow ``ties``.
+    """
+    rows = df.withColumn("order_", order).withColumn("part_", F.substring("order_", 1, 3))
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part, 4096 at most
+    parts = rows.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(before, F.lit(0)).alias("before_")).where(F.col("before_") < most)
+    place = F.row_number().over(Window.partitionBy("part_").orderBy("order_", *ties)) - 1
+    return rows.join(F.broadcast(parts), "part_").withColumn("place", F.col("before_") + place).where(F.col("place") < most).drop("part_", "before_", "order_")
+
+
 def mix(parts: dict[str, DataFrame], order: list[str] = values.SOURCE_ORDER, only: list[str] | None = None) -> DataFrame:
     """All parts, with source and source_rank. Nothing is deduplicated across parts."""
     chosen = [n for n in [*order, *(p for p in parts if p not in order)] if n in parts and (only is None or n in only)]

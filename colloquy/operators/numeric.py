@@ -54,10 +54,10 @@ def quantizable(name: Column, n_dims: Column, tables: bool = True) -> Column:
 
 
 def packed(code: Column, bits_offset: int = 8) -> Column:
-    """Two codes in a byte, the even one low; a missing last one counts as zero."""
+    """Two codes in a byte, the even one low; where the last byte has one, its high half is zero."""
 
     def join(c):
-        at = lambda i: F.coalesce(F.try_element_at(c, i), F.lit(0)) + bits_offset
+        at = lambda i: F.coalesce(F.try_element_at(c, i) + bits_offset, F.lit(0))
         pairs = F.sequence(F.lit(0), F.ceil(F.size(c) / 2).cast("int") - 1)
         return F.when(F.size(c) > 0, F.array_join(F.transform(pairs, lambda p: F.lower(F.lpad(F.hex(at(2 * p + 1) + 16 * at(2 * p + 2)), 2, "0"))), ""))
 

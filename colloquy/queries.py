@@ -794,7 +794,7 @@ _ITEMS = "i AS (SELECT p_partkey % 5 AS trade, p_name || ' ' || p_partkey AS ite
 def _drawn(rows: str, seed: str, names: list[str], where: str = "true") -> str:
     """SQL of ``dialogue.draw`` over the items that pass ``where``, for rows with key and trade."""
     pick = lambda k: keyed.sql_choice("key", f"{seed}{k}", f"CASE WHEN n > {k} THEN n - {k} END")
-    places = [pick(0), f"({pick(0)} + 1 + {pick(1)}) % n"]
+    places = [pick(0), f"({pick(0)} + 1 + {pick(1)}) % n", f"({pick(0)} + 1 + (1 + {pick(1)} + {pick(2)}) % CASE WHEN n > 1 THEN n - 1 END) % n"]
     joins = " ".join(f"LEFT JOIN l AS {name} ON {name}.trade = r.trade AND {name}.i = r.p{k}" for k, name in enumerate(names))
     return f"""(WITH l AS (SELECT *, row_number() OVER (PARTITION BY trade ORDER BY item) - 1 AS i FROM i WHERE {where}), z AS (SELECT trade, count(*) AS n FROM l GROUP BY trade),
         r AS (SELECT q.*, {", ".join(f"{places[k]} AS p{k}" for k in range(len(names)))} FROM ({rows}) q LEFT JOIN z USING (trade))
@@ -812,8 +812,8 @@ def _whole(items: DataFrame) -> DataFrame:
     return items.withColumn("price", F.floor("price").cast("long"))
 
 
-@query(f"""WITH {_ITEMS.replace("p_retailprice", "floor(p_retailprice)::BIGINT")} SELECT key, {_LINES(_SHOP_HEAD, "'<START>'", "'Player: What do you have for sale?'", f"keeper || ': ' || star_item || ' for ' || {_GOLD('star_price')} || ', and ' || second_item || ' for ' || {_GOLD('second_price')} || '.'",
-    "'Player: Tell me about the ' || star_item || '.'", f"keeper || ': ' || {_CAP('star_property')} || '. ' || {_CAP('star_provenance')} || '.'")} AS text FROM {_drawn(_KEEPERS, "shop", ["star", "second"])}""")
+@query(f"""WITH {_ITEMS.replace("p_retailprice", "floor(p_retailprice)::BIGINT")} SELECT key, {_LINES(_SHOP_HEAD, "'<START>'", "'Player: What do you have for sale?'", f"keeper || ': ' || star_item || ' for ' || {_GOLD('star_price')} || ', ' || second_item || ' for ' || {_GOLD('second_price')} || ', and ' || third_item || ' for ' || {_GOLD('third_price')} || '.'",
+    "'Player: Tell me about the ' || star_item || '.'", f"keeper || ': ' || {_CAP('star_property')} || '. ' || {_CAP('star_provenance')} || '.'")} AS text FROM {_drawn(_KEEPERS, "shop", ["star", "second", "third"])}""")
 def shop_dialogue(spark, sf):
     return D.shop(_keepers(spark, sf), _whole(_items(spark, sf)), "key").select("key", "text")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .functions import keyed, values
 from .functions import text as T
 from .operators import conversations as C
-from .operators import demos, experiments, grading, numeric, prompts, scenarios, tokens
+from .operators import cards, demos, dialogue, experiments, grading, numeric, prompts, scenarios, tokens
 from .queries import _REST, _SYSTEM, _TURNS, _WORDS, _list, _sql_any, _t, query
 
 # Demonstrations
@@ -424,3 +426,54 @@ def token_split(spark, sf):
     rows = _t(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("ids")).withColumn("n", F.size("ids").cast("bigint"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     return tokens.split_at(token_offsets(rows, "doc_id", "n"), "ids", "offset", total).select("doc_id", "split", "ids")
+
+
+_HALF = "CASE WHEN s >= 65520 THEN 'inf'::DOUBLE ELSE round_even(s / pow(2, greatest(floor(log2(s)), -14) - 10), 0) * pow(2, greatest(floor(log2(s)), -14) - 10) END"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS i FROM lineitem),
+    g AS (SELECT *, i // 4 AS g, greatest(max(abs(x)) OVER (PARTITION BY l_orderkey, i // 4) / 7, 1e-8) AS s FROM r), h AS (SELECT l_orderkey, i, g, x, {_HALF} AS s FROM g),
+    c AS (SELECT l_orderkey, list(CASE WHEN s = 0 THEN 0 ELSE greatest(least(round_even(x / s, 0), 7), -7) END::INT + 8 ORDER BY i) AS c, list(s ORDER BY i) FILTER (i % 4 = 0) AS scales FROM h GROUP BY l_orderkey)
+    SELECT l_orderkey, len(c)::BIGINT AS n, scales, array_to_string([lower(lpad(printf('%x', c[2 * p + 1] + 16 * coalesce(c[2 * p + 2], 0)), 2, '0')) FOR p IN range(0, (len(c) + 1) // 2)], '') AS packed FROM c""")
+def int4_half_scales(spark, sf):
+    """Rows of any length, an order's prices, in groups of four with scales of 16 bits; an odd row ends in half a byte."""
+    rows = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("x"))
+    rows = rows.select("l_orderkey", F.col("x.l_extendedprice").alias("x"))
+    return rows.select("l_orderkey", F.size("x").cast("bigint").alias("n"), numeric.scales(F.col("x"), 4, 4, fp16=True).alias("scales"), numeric.packed(numeric.codes(F.col("x"), 4, 4, fp16=True)).alias("packed"))
+
+
+# Cards of characters
+
+_STRIPPED = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_FIRST = lambda x: "coalesce(" + ", ".join(f"CASE WHEN strpos({x}, '{s} ') - 1 > 30 AND strpos({x}, '{s} ') - 1 < 260 THEN substr({x}, 1, strpos({x}, '{s} ')) END" for s in ".!?") + f", substr({x}, 1, 240))"
+_BANK = lambda options, key, seed: f"{_list(options)}[1 + {keyed.sql_choice(key, seed, len(options))}]"
+
+
+def _cards_sql(kind: str, name: str, source: str, most: int, each: int, seed: str) -> str:
+    parts = {"gesture": "", "name": "name", "origin": "CASE WHEN coalesce(source, '') <> '' THEN ' of ' || source ELSE '' END", "about": "about", "scene": "scene", "place": "coalesce(source, 'these parts')"}
+
+    def turn(subject: str) -> str:
+        own = parts | {"gesture": _BANK(cards.GESTURES, "who", f"{seed}-{subject}-gesture")}
+        options = ["concat(" + ", ".join(own[x] if k % 2 else "'" + x.replace("'", "''") + "'" for k, x in enumerate(re.split(r"{(\w+)}", o))) + ")" for o in cards.SAID[subject]]
+        said = f"CASE {keyed.sql_choice('who', f'{seed}-{subject}-said', len(options))} " + " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(options)) + " END"
+        return f"'### Player:' || chr(10) || {_BANK(cards.ASKED[subject], 'who', f'{seed}-{subject}-asked')} || chr(10) || '### NPC:' || chr(10) || {_STRIPPED(said)}"
+
+    subjects = ", ".join("{'d': " + keyed.sql_digest(f"who || '|{k}'", seed) + f", 't': {turn(k)}" + "}" for k in cards.SUBJECTS)
+    return f"""SELECT '{kind}' AS kind, place, conv_id, variant, '### System:' || chr(10) || {_STRIPPED("'You are ' || name || '. Background: ' || d || ' Current Location: ' || s || ' Speak in character.'")} || chr(10) || {turn("greeting")} || chr(10)
+        || array_to_string([x.t FOR x IN list_sort([{subjects}])[: 2 + {keyed.sql_choice("who", f"{seed}-n", 2)}]], chr(10)) || chr(10) || {turn("farewell")} || chr(10) AS text
+        FROM (SELECT *, p * {each} + variant AS place, conv_id || '|' || variant AS who, {_FIRST("d")} AS about, CASE WHEN s <> '' THEN {_FIRST("s")} ELSE {_FIRST("d")} END AS scene
+            FROM (SELECT conv_id, {name} AS name, {source} AS source, {_STRIPPED("description")} AS d, {_STRIPPED("coalesce(scenario, '')")} AS s, row_number() OVER (ORDER BY {keyed.sql_digest("conv_id", "card-order")}) - 1 AS p
+                FROM c WHERE description IS NOT NULL), (SELECT unnest(range({each})) AS variant)) WHERE place < {most}"""
+
+
+_NAME = lambda seed: f"{_BANK(dialogue.HEADS, 'conv_id', f'{seed}h')} || {_BANK(dialogue.TAILS, 'conv_id', f'{seed}t')}"
+
+
+@query(f"""WITH c AS (SELECT conv_id, max(text) FILTER (turn = 0) AS description, max(text) FILTER (turn = 2) AS scenario, CASE conv_id % 3 WHEN 1 THEN '' WHEN 2 THEN 'Oster Vale' END AS source FROM conversations GROUP BY conv_id)
+    {_cards_sql("card", _NAME("name"), "source", 30_000, 2, "card")} UNION ALL {_cards_sql("renamed", _NAME("card-other"), _BANK(cards.ORIGINS, "conv_id", "card-origin"), 15_000, 1, "card-other")}""")
+def card_dialogues(spark, sf):
+    """GN6, with the two caps of its outputs: a conversation's first turn is the description, its third the scenario."""
+    said = lambda turn: F.max(F.when(F.col("turn") == turn, F.col("text")))
+    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(said(0).alias("description"), said(2).alias("scenario"))
+    source = F.when(F.col("conv_id") % 3 == 1, "").when(F.col("conv_id") % 3 == 2, "Oster Vale")
+    return cards.legacy(rows.withColumns({"name": dialogue.made_name(F.col("conv_id")), "source": source}), "conv_id")
