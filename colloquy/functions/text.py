@@ -61,12 +61,12 @@ def first_sentence(text: Column, low: int = 30, high: int = 260, fallback: int =
     return F.coalesce(*(F.when((at(s) > low) & (at(s) < high), F.substring(text, F.lit(1), at(s) + 1)) for s in (". ", "! ", "? ")), F.substring(text, 1, fallback))
 
 
-def truncate_at_sentence(text: Column, limit: int) -> Column:
-    """Cut to ``limit`` at the last sentence end beyond two fifths of it, or closed with a full stop."""
+def truncate_at_sentence(text: Column, limit: int, trim_end=strip_right) -> Column:
+    """Cut to ``limit`` at the last sentence end beyond two fifths of it, or closed with a full stop after ``trim_end``."""
     cut = F.substring(text, 1, limit)
     last = lambda sep: F.when(F.contains(cut, F.lit(sep)), F.length(cut) - F.instr(F.reverse(cut), sep[::-1]) - 1).otherwise(-1)
     best = F.greatest(last(". "), last("! "), last("? "))
-    return F.when(F.length(text) <= limit, text).when(best > 0.4 * limit, F.substring(cut, F.lit(1), best + 1)).otherwise(F.concat(strip_right(cut), F.lit(".")))
+    return F.when(F.length(text) <= limit, text).when(best > 0.4 * limit, F.substring(cut, F.lit(1), best + 1)).otherwise(F.concat(trim_end(cut), F.lit(".")))
 
 
 def clean_name(raw: Column) -> Column:
