@@ -81,13 +81,13 @@ def keep_instruction(first: Column, rest: Column, budget: int) -> Column:
     return F.when(F.size(first) >= budget, left_truncate(first, budget)).otherwise(F.concat(first, tail))
 
 
-def game_cards(turns: DataFrame, description: Column, scenario: Column, speaker: str = "speaker", text: str = "text", key: str = "game", order: str = "turn", limit: int = 400, least: int = 16) -> DataFrame:
+def game_cards(turns: DataFrame, description: Column, scenario: Column, speaker: str = "speaker", text: str = "text", key: str = "game", order: str = "turn", limit: int = 400, least: int = 16, trim=T.strip, trim_end=T.strip_right) -> DataFrame:
     """A card for each turn of a game in language, with up to three turns before it as they were trimmed.
 
     Turns are cut at a sentence; shorter ones than ``least`` make no card but still lead in to later ones. Turns
     without text or speaker are no turns.
     """
-    said = turns.where((F.col(text) != "") & (F.col(speaker) != "")).withColumn("line_", F.concat(F.col(speaker), F.lit(": "), T.truncate_at_sentence(T.strip(F.col(text)), limit)))
+    said = turns.where((F.col(text) != "") & (F.col(speaker) != "")).withColumn("line_", F.concat(F.col(speaker), F.lit(": "), T.truncate_at_sentence(trim(F.col(text)), limit, trim_end)))
     before = F.collect_list("line_").over(Window.partitionBy(key).orderBy(order).rowsBetween(-3, -1))
     head = [F.concat(F.lit("Description: "), description), F.concat(F.lit("Scenario: "), scenario), F.lit("<START>")]
     card = F.concat(F.array_join(F.concat(F.array(*head), F.col("before_"), F.array("line_")), "\n"), F.lit("\n"))
