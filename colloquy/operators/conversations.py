@@ -84,7 +84,7 @@ def keep_instruction(first: Column, rest: Column, budget: int) -> Column:
 def game_cards(turns: DataFrame, description: Column, scenario: Column, speaker: str = "speaker", text: str = "text", key: str = "game", order: str = "turn", limit: int = 400, least: int = 16, trim=T.strip, trim_end=T.strip_right) -> DataFrame:
     """A card for each turn of a game in language, with up to three turns before it as they were trimmed.
 
-    Turns are cut at a sentence; shorter ones than ``least`` make no card but still lead in to later ones. Turns
+    Turns are trimmed by ``trim`` and cut at a sentence, or closed after ``trim_end``; shorter ones than ``least`` make no card but still lead in to later ones. Turns
     without text or speaker are no turns.
     """
     said = turns.where((F.col(text) != "") & (F.col(speaker) != "")).withColumn("line_", F.concat(F.col(speaker), F.lit(": "), T.truncate_at_sentence(trim(F.col(text)), limit, trim_end)))
