@@ -27,7 +27,7 @@ def cap(df: DataFrame, by: str | list[str] | None, order: str | list, most: int
     return df.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= most).drop("n_")
 
 
-def in_turn(df: DataFrame, order: Column, most: int, ties: list[str]) -> DataFrame:
+def in_turn(df: DataFrame, order: Column, most: int, ties: list) -> DataFrame:
     """The first ``most`` rows by a hex digest of a unique key, with their place from 0.
 
     Digests are counted by their first three digits, and only rows of parts that begin before ``most`` are sorted, each
@@ -59,8 +59,9 @@ def holdout(df: DataFrame, key: Column, seed: int, fraction: float) -> DataFrame
 def convert(df: DataFrame, render: Column, key: Column, seed: int, fraction: float, most: int, most_held: int) -> DataFrame:
     """Renders rows, rejects null and empty ones, splits by chance, shuffles and caps each split."""
     kept = holdout(df.withColumn("text", render).where("text IS NOT NULL AND text <> ''"), key, seed, fraction)
-    order = keyed.digest(key, f"{seed}-order")
-    return cap(kept.withColumn("order_", order), "split", "order_", F.when(F.col("split") == "train", most).otherwise(most_held)).drop("order_")
+    order, ties = keyed.digest(key, f"{seed}-order"), [key]
+    parts = [in_turn(kept.where(F.col("split") == split), order, n, ties) for split, n in (("train", most), ("holdout", most_held))]
+    return parts[0].unionByName(parts[1]).drop("place")
 
 
 def reservoir(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
