@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 
 #: Bytes of a task's range, and of one read.
 SPLIT, READ = 128 << 20, 1 << 20
+#: Bytes of small ranges that one task reads, at least; larger inputs are dealt out to about ``TASKS`` tasks.
+PACK, TASKS = 1 << 20, 256
 #: Rows of an Arrow batch, and the bytes of text after which one is closed.
 ROWS, TEXT = 10_000, 8 << 20
 _LINE_END = re.compile(rb"\r\n|\r|\n")
@@ -50,12 +52,32 @@ def ranges(path: str, split: int) -> list[Range]:
     return [Range(p, n, a, min(a + split, n)) for p, n in files_of(path) for a in range(0, n, split)]
 
 
+class Pack(InputPartition):
+    """Ranges that one task reads, one after another."""
+
+    def __init__(self, parts: list[Range]):
+        self.parts = parts
+
+
+def packs(parts: list[Range]) -> list[Pack]:
+    """Runs of ranges for a task each: the number of tasks is bounded until ranges fill one by themselves."""
+    most = max(PACK, sum(p.end - p.start for p in parts) // TASKS)
+    out, kept, size = [], [], 0
+    for p in parts:
+        if kept and size + p.end - p.start > most:
+            out.append(Pack(kept))
+            kept, size = [], 0
+        kept.append(p)
+        size += p.end - p.start
+    return out + [Pack(kept)] if kept else out
+
+
 class Bytes:
-    """A file that is read at places."""
+    """A file that is read at places, ``read`` bytes at once."""
 
-    def __init__(self, path: str, size: int):
+    def __init__(self, path: str, size: int, read: int = READ):
         system, inner = pafs.FileSystem.from_uri(path)
-        self.file, self.size = system.open_input_file(inner), size
+        self.file, self.size, self.read = system.open_input_file(inner), size, min(READ, max(4096, read))
 
     def at(self, start: int, n: int) -> bytes:
         return self.file.read_at(min(n, self.size - start), start) if start < self.size else b""
@@ -64,7 +86,7 @@ class Bytes:
         """Start, bytes and end (after the line end) of each line from ``at`` on."""
         pieces, start, base = [], at, at
         while base < self.size:
-            chunk = self.at(base, READ)
+            chunk = self.at(base, self.read)
             while chunk.endswith(b"\r") and base + len(chunk) < self.size:
                 chunk += self.at(base + len(chunk), 1)  # whether a line end goes on
             i = 0
@@ -129,7 +151,7 @@ def paragraphs(data: Bytes, at: int) -> Iterator[tuple[int, int, bool, bytes | N
 
 def owned(part: Range) -> Iterator[tuple[int, int, bool, bytes | None]]:
     """The paragraphs that start in a range, and the one after them, or the file's end."""
-    for p in paragraphs(Bytes(part.path, part.size), part.start):
+    for p in paragraphs(Bytes(part.path, part.size, part.end - part.start), part.start):
         yield p
         if p[0] >= part.end:
             return
@@ -165,11 +187,10 @@ class _Reader(DataSourceReader):
         self.arrow, self.rows = schema, rows
 
     def partitions(self):
-        return ranges(self.path, self.split) or [Range(self.path, 0, 0, 0)]
+        return packs(ranges(self.path, self.split)) or [Pack([])]
 
     def read(self, partition):
-        if partition.size:
-            yield from _batched(self.rows(partition, self.options), self.arrow)
+        yield from _batched((row for part in partition.parts for row in self.rows(part, self.options)), self.arrow)
 
 
 def _block_rows(part: Range, options: dict):
@@ -186,13 +207,13 @@ def _block_rows(part: Range, options: dict):
 
 def _delimited_rows(part: Range, options: dict):
     """Texts whose first byte (or, if empty, whose separator) is in the range, and that end with a separator."""
-    mark, data = options["separator"].encode(), Bytes(part.path, part.size)
+    mark, data = options["separator"].encode(), Bytes(part.path, part.size, part.end - part.start)
     # The first text of a range starts after a separator that ends in it or just before.
     at = 0 if part.start == 0 else max(0, part.start - len(mark))
     skipped, pieces, start, tail = part.start == 0, [], 0, b""
     while at < part.size:
-        chunk = tail + data.at(at, READ)
-        base, at, i = at - len(tail), min(at + READ, part.size), 0
+        chunk = tail + data.at(at, data.read)
+        base, at, i = at - len(tail), min(at + data.read, part.size), 0
         while (j := chunk.find(mark, i)) >= 0:
             if skipped:
                 pieces.append(chunk[i:j])
