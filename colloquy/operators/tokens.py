@@ -50,24 +50,51 @@ def round_robin(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return ranked(turned, by, [F.desc_nulls_last("falling_")], "falling_").withColumn("slot", F.pmod(F.col("rank") - 1, F.lit(n))).drop("rank", "of", "falling_")
 
 
-def with_prefix_of(df: DataFrame, other: DataFrame, order: str, ids: str, most: int) -> DataFrame:
-    """All rows of ``df``, then the first ``most`` tokens of ``other``, whose last row is cut where they end: part, order, ids."""
+def cut_at(df: DataFrame, order: str, ids: str, place: int) -> DataFrame:
+    """Adds at_, how many of a row's tokens lie before ``place``, and begins_, whether the row starts there.
+
+    Only keys and sizes are put in order, to find the one row that holds the place; ``order`` is unique.
+    """
     from ..sources.sinks import token_offsets
 
-    sized = other.select(F.col(order), F.col(ids), F.size(ids).cast("bigint").alias("size_"))
-    head = token_offsets(sized, order, "size_").where(F.col("offset") < most).withColumn(ids, F.slice(ids, F.lit(1), F.least(F.col("size_"), most - F.col("offset")).cast("int")))
+    sizes = df.select(F.col(order), F.size(ids).cast("bigint").alias("size_"))
+    reached = token_offsets(sizes, order, "size_").where((F.col("offset") < place) & (F.col("size_") > 0))
+    last = reached.agg(F.max_by(F.struct(F.col(order).alias("key"), "offset", "size_"), "offset").alias("r")).first()["r"]
+    size = F.size(ids)
+    if last is None:
+        return df.withColumn("at_", F.lit(0)).withColumn("begins_", F.lit(place > 0))
+    key, more = F.lit(last["key"]), last["offset"] + last["size_"] < place
+    at = F.when(F.col(order) < key, size).when(F.col(order) == key, F.least(size, F.lit(place - last["offset"]))).otherwise(0)
+    return df.withColumn("at_", at.cast("int")).withColumn("begins_", F.lit(more) | (F.col(order) <= key))
+
+
+def with_prefix_of(df: DataFrame, other: DataFrame, order: str, ids: str, most: int) -> DataFrame:
+    """All rows of ``df``, then the first ``most`` tokens of ``other``, whose last row is cut where they end: part, order, ids."""
+    head = cut_at(other, order, ids, most).where("begins_").withColumn(ids, F.slice(ids, F.lit(1), F.col("at_")))
     return df.select(F.lit(0).alias("part"), order, ids).union(head.select(F.lit(1), order, ids))
 
 
-def split_at(df: DataFrame, ids: str, offset: str, total: int, fraction: float = 0.005, least: int = 1) -> DataFrame:
-    """Tokens before the last ``fraction`` as train, the rest as val: a row across the border gives one of each. Adds split."""
-    border = F.lit(total - max(least, int(total * fraction))) - F.col(offset)
-    at = F.greatest(F.least(border, F.size(ids)), F.lit(0)).cast("int")
+def held_out(total: int, fraction: float, least: int) -> int:
+    return max(least, int(total * fraction))
+
+
+def split_tail(df: DataFrame, order: str, ids: str, total: int, fraction: float = 0.005, least: int = 1) -> DataFrame:
+    """As ``split_at``, by an order: only the row across the border is looked for, and no text is moved."""
+    return _halves(cut_at(df, order, ids, total - held_out(total, fraction, least)), ids, F.col("at_")).drop("at_", "begins_")
+
+
+def _halves(df: DataFrame, ids: str, at: Column) -> DataFrame:
     parts = F.array(F.struct(F.lit("train").alias("split"), F.slice(ids, F.lit(1), at).alias("i")), F.struct(F.lit("val").alias("split"), F.slice(ids, at + 1, F.size(ids)).alias("i")))
     rows = df.withColumn("x_", F.explode(parts)).where(F.size("x_.i") > 0)
     return rows.withColumn("split", F.col("x_.split")).withColumn(ids, F.col("x_.i")).drop("x_")
 
 
+def split_at(df: DataFrame, ids: str, offset: str, total: int, fraction: float = 0.005, least: int = 1) -> DataFrame:
+    """Tokens before the last ``fraction`` as train, the rest as val: a row across the border gives one of each. Adds split."""
+    border = F.lit(total - held_out(total, fraction, least)) - F.col(offset)
+    return _halves(df, ids, F.greatest(F.least(border, F.size(ids)), F.lit(0)).cast("int"))
+
+
 def anchored(times: Column, gap: int, most: int) -> Column:
     """Batch numbers of sorted times: a batch opens with its first arrival, and closes after ``gap`` or at ``most``."""
 

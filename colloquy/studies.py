@@ -421,11 +421,9 @@ def tail_append(spark, sf):
     SELECT doc_id, 'train' AS split, w[: place_] AS ids FROM b WHERE place_ > 0 UNION ALL SELECT doc_id, 'val', w[place_ + 1 :] FROM b WHERE place_ < len(w)""")
 def token_split(spark, sf):
     """K5: the last half percent of the tokens, counted by the token."""
-    from .sources.sinks import token_offsets
-
-    rows = _t(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("ids")).withColumn("n", F.size("ids").cast("bigint"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    return tokens.split_at(token_offsets(rows, "doc_id", "n"), "ids", "offset", total).select("doc_id", "split", "ids")
+    rows = _t(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("ids"))
+    total = rows.agg(F.sum(F.size("ids").cast("bigint"))).first()[0] or 0
+    return tokens.split_tail(rows, "doc_id", "ids", total).select("doc_id", "split", "ids")
 
 
 _HALF = "CASE WHEN s >= 65520 THEN 'inf'::DOUBLE ELSE round_even(s / pow(2, greatest(floor(log2(s)), -14) - 10), 0) * pow(2, greatest(floor(log2(s)), -14) - 10) END"
