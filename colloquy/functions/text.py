@@ -21,19 +21,20 @@ def let(value: Column, body) -> Column:
 
 #: What Python's strip takes: Unicode's white space, and the separators U+001C to U+001F.
 _BLANK = r"[\p{IsWhite_Space}\x1C-\x1F]"
+_BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip_left(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{_BLANK}+", "")
+    return F.ltrim(text, F.lit(_BLANKS))
 
 
 def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{_BLANK}+\z", "")
+    return F.rtrim(text, F.lit(_BLANKS))
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends; F.trim takes spaces only."""
-    return F.regexp_replace(text, rf"\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def is_blank(text: Column) -> Column:
@@ -102,13 +103,16 @@ def last_line_after(text: Column, marker: str) -> Column:
 def parse_action(line: Column) -> Column:
     """verb, arg, price of an action line; null if it is none."""
     verbs = "|".join([*values.ARGUMENT_VERBS, *values.PRICED_VERBS])
-    pattern = rf"^\[({verbs}): ?(.*)\]$"
-    t = strip(line)
-    verb, rest = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
-    name, price = F.regexp_extract(rest, r"^(.*) ([0-9]+)$", 1), F.regexp_extract(rest, r"^(.*) ([0-9]+)$", 2)
-    plain = F.struct(verb.alias("verb"), _some(strip(rest)).alias("arg"), F.lit(None).cast("bigint").alias("price"))
-    priced = F.struct(verb.alias("verb"), strip(name).alias("arg"), price.try_cast("bigint").alias("price"))
-    return F.when(verb.isin(values.ARGUMENT_VERBS), plain).when(verb.isin(values.PRICED_VERBS) & (price != ""), priced)
+    pattern, price = rf"^\[({verbs}): ?(.*)\]$", r"^(.*) ([0-9]+)$"
+    action = lambda verb, arg, price: F.struct(verb.alias("verb"), arg.alias("arg"), price.alias("price"))
+
+    def parts(p):
+        plain = action(p["verb"], let(strip(p["rest"]), _some), F.lit(None).cast("bigint"))
+        found = F.struct(F.regexp_extract(p["rest"], price, 1).alias("name"), F.regexp_extract(p["rest"], price, 2).alias("price"))
+        priced = let(found, lambda q: F.when(q["price"] != "", action(p["verb"], strip(q["name"]), q["price"].try_cast("bigint"))))
+        return F.when(p["verb"].isin(values.ARGUMENT_VERBS), plain).when(p["verb"].isin(values.PRICED_VERBS), priced)
+
+    return let(strip(line), lambda t: let(F.struct(F.regexp_extract(t, pattern, 1).alias("verb"), F.regexp_extract(t, pattern, 2).alias("rest")), parts))
 
 
 def action_lines(text: Column) -> Column:

@@ -21,7 +21,7 @@ def answers(rollouts: DataFrame, oracle: str = "oracle", text: str = "text", pla
     ``formatted``: one action line at most, and it parses. ``action`` is the first action line, null if it doesn't parse.
     ``unknown``: it leads to none of ``places``. ``quoted`` and ``near`` are about prices of answers whose oracle deals.
     """
-    strip = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    strip = lambda t: F.btrim(t, F.lit(" \t\n\x0b\f\r"))
     out = rollouts.withColumn("said", strip(F.substring_index(text, "Player:", 1))).withColumn("lines_", T.action_lines(F.col("said")))
     acts = F.size("lines_.actions")
     out = out.withColumn("action", T.parse_action(F.try_element_at(F.col("lines_.actions"), F.lit(1)))).withColumn("wanted_", T.parse_action(F.col(oracle)))
