@@ -2,19 +2,24 @@
 
 The tokenizer composes characters, lowers case, drops white space, and takes contractions, runs of letters, single
 digits and runs of anything else as words. Between two ASCII characters it is known whether a word ends; fragments
-between such places are encoded by themselves, and a bounded cache in each worker answers nearly all of them.
+between such places are encoded by themselves, each once a batch, through a bounded cache in each worker. Of what it misses,
+Latin words are split here and joined by ranks, or by the library's model beyond ASCII; all else goes through the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import struct
+import unicodedata
 from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
 from .common import TwoGenerations
-from .fragments import cut_positions
+from .fragments import _byte_of_char, cut_positions
 
 
 def word_ends() -> np.ndarray:
@@ -36,6 +41,45 @@ def word_ends() -> np.ndarray:
     return ends
 
 
+#: Letters of the Latin script that NFC leaves alone and that have one lower form.
+_LETTERS = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c not in "\xaa\xb5\xba" and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c)
+_SIGNS = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+_SIGN = "".join(map(re.escape, _SIGNS))
+#: Fragments of such letters, digits, signs and white space, and their words once they are lowered.
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGN}\t-\r ]*")
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_SIGN}]+")
+_BYTES = {b: c for c, b in _byte_of_char().items()}
+_AS_BYTES = {ord(c): "".join(_BYTES[b] for b in c.encode()) for c in _LETTERS if not c.isascii()}
+#: Stand-ins for the last character of a word: capitals, as case is lowered; control characters for signs; a digit is always last.
+_LAST = {chr(c): chr(c - 32) for c in range(97, 123)} | {str(d): str(d) for d in range(10)} | {c: chr(i) for i, c in enumerate(_SIGNS)}
+#: The tokenizer's steps around its merges that ``_PLAIN`` and ``_LAST`` stand for.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+LONGEST = 100
+
+
+def plain_ranks(path: str):
+    """An encoder of words of ASCII by ranks if the tokenizer splits words as here and merges are in the order of ids, which makes both the same; else None."""
+    import tiktoken
+
+    spec = json.load(open(path, encoding="utf-8"))
+    model, end = spec["model"], spec["model"].get("end_of_word_suffix")
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if any(spec.get(k) != v for k, v in _STEPS.items()) or end != "</w>" or odd or None in merged or any(a >= b for a, b in pairwise(merged)):
+        return None
+    ranks = {}
+    for token, i in model["vocab"].items():
+        body = token.removesuffix(end)
+        if body and all(c in _LAST for c in body):
+            last = body[:-1] + _LAST[body[-1]] if body != token else body
+            if body != token or not body.isdigit():
+                ranks[last.encode()] = i
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}) if all(x.encode() in ranks for x in _LAST.values()) else None
+
+
 class WordBpe:
     """A BPE of words of the tokenizers library, run over fragments.
 
@@ -49,10 +93,20 @@ class WordBpe:
         self.specials = {t.content.encode(): i for i, t in self.whole.get_added_tokens_decoder().items()}
         self.special = re.compile(b"(" + b"|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + b")")
         self.ends = word_ends()
+        self.ranks, self.model = plain_ranks(path), self.whole.model
         self.cache = TwoGenerations(self._one, cache)
 
     def _one(self, fragment: bytes) -> bytes:
-        return np.array(self.whole.encode(fragment.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        text = fragment.decode("utf-8", "replace")
+        if self.ranks and len(text) <= LONGEST and _PLAIN.fullmatch(text):
+            ids = [i for w in _WORDS.findall(text.lower()) for i in self._word(w)]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> list[int]:
+        if word.isascii():
+            return self.ranks.encode_ordinary(word[:-1] + _LAST[word[-1]])
+        return [t.id for t in self.model.tokenize(word.translate(_AS_BYTES))]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         body = data.tobytes()
@@ -62,9 +116,19 @@ class WordBpe:
 
     def _plain(self, body: bytes, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         at = cut_positions(data, offsets, self.ends)
-        places, first = at.tolist(), np.searchsorted(at, offsets).tolist()
-        get = self.cache.__getitem__
-        return [b"".join([get(body[s:e]) for s, e in zip(places[a:b], places[a + 1 : b + 1])]) for a, b in pairwise(first)]
+        if len(at) < 2:
+            return [b""] * (len(offsets) - 1)
+        found = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(body)]).dictionary_encode()
+        ids = list(map(self.cache.__getitem__, found.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        starts, which = np.cumsum(sizes) - sizes, found.indices.to_numpy()
+        each = sizes[which]
+        ends = np.cumsum(each)
+        where = np.repeat(starts[which] - ends + each, each)
+        where += np.arange(len(where))
+        out = np.frombuffer(b"".join(ids), dtype="<u4")[where].tobytes()
+        first = 4 * np.concatenate([[0], ends])[np.searchsorted(at, offsets)]
+        return [out[a:b] for a, b in pairwise(first.tolist())]
 
     def _with_specials(self, text: bytes) -> bytes:
         """A text that may hold special strings: the library takes those from the raw text first."""
