@@ -34,18 +34,51 @@ SAID = {
 }
 
 
+#: Rows and items that a task joins.
+PER_TASK = 100_000
+
+
+def numbered(df: DataFrame, by: str, order: str, per_range: int = 200_000) -> DataFrame:
+    """Adds i_, each row's place from 0 in its group: in ranges of the order, then by rows of a range.
+
+    Ranges lie between values that are drawn by their hash, at most 255 of them, so a large group is sorted by many tasks;
+    where they lie doesn't change the places. Rows without a group get none.
+    """
+    rows = df.where(F.col(by).isNotNull())
+    total = rows.count()
+    parts = min(256, -(-total // per_range))
+    cuts: list = []
+    if parts > 1:
+        some = rows.where(F.pmod(F.xxhash64(order), F.lit(max(1, total // (64 * parts)))) == 0).select(order).distinct()
+        drawn = sorted(r[0] for r in some.orderBy(F.xxhash64(order)).limit(64 * parts).collect() if r[0] is not None)
+        cuts = sorted({drawn[k * len(drawn) // parts] for k in range(1, parts)}) if drawn else []
+    kind = df.schema[order].dataType
+    below = F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter(F.array(*(F.lit(c).cast(kind) for c in cuts)), lambda c: c < F.col(order))))
+    ranged = rows.withColumn("part_", below if cuts else F.lit(0))
+    sizes = ranged.groupBy(by, "part_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    sizes = sizes.select(by, "part_", F.coalesce(before, F.lit(0)).alias("before_"))
+    place = F.row_number().over(Window.partitionBy(by, "part_").orderBy(order)) - 1
+    return ranged.withColumn("i_", place).join(sizes, [by, "part_"]).withColumn("i_", F.col("i_").cast("long") + F.col("before_")).select(*df.columns, "i_")
+
+
 def draw(rows: DataFrame, dim: DataFrame, by: str, order: str, key: str, seed: str, names: list[str]) -> DataFrame:
-    """Adds a struct for each of up to three ``names``: distinct rows of the group, null where it has too few."""
-    listed = dim.withColumn("i_", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
+    """Adds a struct for each of up to three ``names``: distinct rows of the group, null where it has too few.
+
+    Joins are dealt out by counts of rows: texts of items compress so well that parts of equal bytes would hold too many.
+    """
+    listed = numbered(dim, by, order)
+    parts = max(dim.sparkSession.sparkContext.defaultParallelism, -(-(rows.count() + dim.count()) // PER_TASK))
     n = F.coalesce("n_", F.lit(0))
     pick = lambda k: keyed.choice(F.col(key), f"{seed}{k}", F.when(n > k, n - k))
     first, step = pick(0), 1 + pick(1)
     places = [first, F.pmod(first + step, n), F.pmod(first + 1 + F.pmod(step + pick(2), n - 1), n)]
     out = rows.join(dim.groupBy(by).agg(F.count("*").alias("n_")), by, "left")
     for k, name in enumerate(names):
-        out = out.withColumn("i_", F.when(n > k, places[k]))
+        nowhere = -1 - F.pmod(F.xxhash64(key), F.lit(1000))  # matches no item, and is dealt out
+        out = out.withColumn("i_", F.coalesce(F.when(n > k, places[k]).cast("long"), nowhere)).repartition(parts, by, "i_")
         own = listed.select(by, "i_", F.struct(*(c for c in dim.columns if c != by)).alias(name))
-        out = out.join(own, [by, "i_"], "left").drop("i_")
+        out = out.join(own.repartition(parts, by, "i_"), [by, "i_"], "left").drop("i_")
     return out.drop("n_")
 
 
