@@ -137,6 +137,12 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"{_BLANK}+", " "))
 
 
+def collapsed_head(text: Column, n: int) -> Column:
+    """The first ``n`` characters of the collapsed text; the whole of it is collapsed only where its start doesn't hold them."""
+    start = F.substring(text, 1, 4 * n)
+    return let(collapse(start), lambda s: F.when((F.length(s) >= n) | (F.length(text) <= 4 * n), F.substring(s, 1, n)).otherwise(F.substring(collapse(text), 1, n)))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 

@@ -102,7 +102,7 @@ def advantage(df: DataFrame, group: str, score: str) -> DataFrame:
 
 def repeat_penalty(df: DataFrame, text: str, order: str, chars: int = 120) -> DataFrame:
     """Adds penalty: -0.5 for each row whose collapsed head occurred before."""
-    key = F.substring(T.collapse(F.col(text)), 1, chars)
+    key = T.collapsed_head(F.col(text), chars)
     return df.withColumn("penalty", F.when(F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1, -0.5).otherwise(0.0))
 
 

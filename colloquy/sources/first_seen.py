@@ -28,16 +28,18 @@ def fresh(df: DataFrame, path: str, key: Column, order: str, folders: int = 256)
     A null key counts as the empty one. ``folders`` must be the same for all runs of a table.
     """
     spark = df.sparkSession
-    rows = first_of(_keyed(df, key, folders), DIGEST, order)
+    keyed = _keyed(df, key, folders)
+    rows = first_of(keyed, [FOLDER, DIGEST], order)
     if not exists(spark, path):
         return rows
-    touched = [r[0] for r in rows.select(FOLDER).distinct().collect()]  # at most ``folders`` numbers
+    touched = [r[0] for r in keyed.select(FOLDER).distinct().collect()]  # at most ``folders`` numbers
     there = read(spark, path).where(F.col(FOLDER).isin(touched)).select(DIGEST, FOLDER)
     return rows.join(there, [FOLDER, DIGEST], "left_anti").select(*rows.columns)
 
 
 def append(df: DataFrame, path: str, key: Column, order: str, folders: int = 256) -> None:
-    fresh(df, path, key, order, folders).write.mode("append").partitionBy(FOLDER).parquet(path)
+    """Adds what is fresh, a folder's rows by one task, so an append makes a file a folder and not one a task and folder."""
+    fresh(df, path, key, order, folders).repartition(FOLDER).write.mode("append").partitionBy(FOLDER).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
